@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, toxicity
+from . import quality_knn, quality_rules, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_knn.learn(docs, table(spark, sf_dir, "labels"), bucket("doc_id", 4) != 2)
+    return quality_knn.score(docs, model).select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_quality_rules": op4_quality_rules,
+        "op5_quality_knn": op5_quality_knn,
     }
 
 

@@ -127,4 +127,4 @@ class Chunk:
 
 
 def join_hash(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-    return mix(a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(kind) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix(a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(kind * 0xC2B2AE3D27D4EB4F % (1 << 64)))
