@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, packing, pii, quality_knn, quality_rules, simhash, toxicity
+from . import chat, html, packing, pii, quality_knn, quality_rules, simhash, syncmers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,13 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.compare_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text("print").alias("fingerprint"), syncmers.as_text("edited_print").alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -74,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pii": op7_pii,
         "op8_simhash": op8_simhash,
         "op9_html": op9_html,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
