@@ -266,15 +266,19 @@ def _listed(found: Column, k: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.lit(1.0).alias("p")))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base (array of start, k, end) and spans (the same with the selected candidates) of every row; k indexes ``KINDS``."""
-    text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    kinds = base_spans(text)
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with text (null: empty), base and spans in its own columns; other columns stay unless named base, more or spans."""
+    kinds = base_spans(F.col("text"))
     listed = [_listed(found, i) for i, found in enumerate(kinds.values())]
-    told = rows.withColumn("base", F.array_sort(F.concat(*listed))).withColumn("more", _candidates(text))
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    told = rows.withColumn("base", F.array_sort(F.concat(*listed))).withColumn("more", _candidates(F.col("text")))
     merged = F.when(F.size("more") == 0, F.col("base")).otherwise(_resolve(F.array_sort(F.concat("base", "more"))))
-    return told.select("doc_id", "text", "base", merged.alias("spans"))
+    return told.withColumn("spans", merged).drop("more")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, text, base (array of start, k, end) and spans (the same with the selected candidates) of every row; k indexes ``KINDS``."""
+    return with_spans(docs.select("doc_id", "text"))
 
 
 def listing(spans_: Column) -> Column:
@@ -283,15 +287,18 @@ def listing(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(found: DataFrame) -> DataFrame:
-    """doc_id and the text with every span replaced by its kind in angle brackets; overlapping spans become one, of the first one's kind."""
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind in angle brackets; overlapping spans become one, of the first one's kind. Columns named base, more or spans are dropped."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    text = F.col("text")
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]
-        gap = F.substring("text", (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
-        return F.struct(F.when(fresh, F.concat(done["out"], gap, F.get(names, s["k"]))).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).cast("int").alias("at"))
+        gap = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
+        return F.struct(
+            F.when(fresh, F.concat(done["out"], F.array(F.concat(gap, F.get(names, s["k"]))))).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).cast("int").alias("at")
+        )
 
-    whole = F.aggregate("spans", start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.lit((1 << 31) - 1))))
-    return found.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(whole).alias("text"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    whole = F.aggregate("spans", start, step, lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.lit((1 << 31) - 1))))
+    return with_spans(docs).withColumn("text", F.when(F.size("spans") == 0, text).otherwise(whole)).drop("base", "spans")

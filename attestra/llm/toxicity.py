@@ -34,6 +34,11 @@ class Model:
     weight: np.ndarray
     bias: float | None  # None: nothing was learned
 
+    def spread(self) -> np.ndarray:
+        table = np.zeros(BUCKETS, np.float32)
+        table[self.index] = self.weight
+        return table
+
 
 def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Coordinate and document of every feature occurrence."""
@@ -91,25 +96,40 @@ def learn(docs: DataFrame, labels: DataFrame, keep=None) -> Model:
     return fit(labelled(docs, labels, "toxic", F.lit(True) if keep is None else keep, SAMPLE), train)
 
 
+def probabilities(model: Model, table: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Scores of texts; ``table`` holds the model's weights by coordinate."""
+    if model.bias is None:
+        return np.zeros(len(texts))
+    chunk = Chunk(texts)
+    x, owner = features(chunk)
+    hit = np.flatnonzero(table[x])
+    key = np.unique(owner[hit] * BUCKETS + x[hit])
+    z = model.bias + chunk.per_document(key // BUCKETS, table[key % BUCKETS])
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the probability of label 1 of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        table = np.zeros(BUCKETS, np.float32)
-        table[m.index] = m.weight
+        table = shared.value.spread()
         for batch in batches:
             for part in chunks(batch):
-                if m.bias is None:
-                    p = np.zeros(part.num_rows)
-                else:
-                    chunk = Chunk(part.column("text"))
-                    x, owner = features(chunk)
-                    hit = np.flatnonzero(table[x])
-                    key = np.unique(owner[hit] * BUCKETS + x[hit])
-                    z = m.bias + chunk.per_document(key >> 20, table[key & (BUCKETS - 1)])
-                    p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+                p = probabilities(shared.value, table, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def filtered(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns, in one pass and without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        table = shared.value.spread()
+        for batch in batches:
+            for part in chunks(batch):
+                yield part.filter(pa.array(probabilities(shared.value, table, part.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
