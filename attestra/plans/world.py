@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.plans.store import checkpointed
 from attestra.tables import ProvenanceTables
 
 #: Each view's SQL runs in Spark and in DuckDB; a view may use the ones before it.
@@ -97,6 +98,7 @@ def provenance(spark: SparkSession, sf_dir: str, max_depth: int = 16) -> Provena
             null("string").alias("trace_id"), F.coalesce(k, F.lit(-1)).alias("load_ord"),
         )
     )
+    assertions = checkpointed(assertions)  # walks and chains read it many times
     e = v["evidence_rows"]
     evidence = e.select(
         "evidence_id", F.lit("document").alias("source_type"), "source_locator", F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("observed_at"), "availability",
