@@ -34,9 +34,11 @@ def fit(sample: DataFrame, train: Callable[[pa.Table], Any]) -> Any:
     """
 
     def run(batches):
-        got = list(batches)
-        table = pa.Table.from_batches(got) if got else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})
-        model = train(table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").collect()[0][0])
+        if got := list(batches):
+            table = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table.combine_chunks()))], pa.binary())], ["model"])
+
+    rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    if rows:
+        return pickle.loads(rows[0][0])
+    return train(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "label": pa.array([], pa.int32())}))

@@ -1,24 +1,5 @@
-"""Cutting lineage in the shared folder that the session names in spark.checkpoint.dir."""
+"""The library's shared folder for checkpoints, under the name that the operators here use."""
 
-from __future__ import annotations
+from attestra.plans.store import checkpointed, shared_folder
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (as in tests) one is made here."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpointed", "shared_folder"]
