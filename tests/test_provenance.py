@@ -242,3 +242,22 @@ def test_chain_counts(spark):
     rows = {r["assertion_id"]: r for r in chain.chains(t).collect()}
     assert [g["kind"] for g in rows["b"]["gaps"]] == ["NO_EVIDENCE_REFS", "LINEAGE_CYCLE"]
     assert rows["a"]["grounded"] and not rows["b"]["grounded"]
+
+
+def test_harness(spark):
+    from attestra.operators import harness
+    from attestra.schemas import EVAL_CASES
+
+    texts = {"review": "Code review finds defects early.", "fifteen": "Fifteen teams joined the study.", "teams": "Teams cause delays in projects."}
+    t = tables(spark, [assertion(k, [(f"e_{k}", "SUPPORTS")], subject=f"s_{k}", value='"x"', kind="string") for k in texts] + [assertion("bare", subject="code review finds")], [evidence(f"e_{k}", content=v) for k, v in texts.items()])
+    cases = spark.createDataFrame([("c1", "What does code review find?", ["review"]), ("c2", "How many teams joined the study?", ["fifteen"]), ("c3", "What do teams cause?", ["teams"])], EVAL_CASES)
+    results = harness.run(t, cases, k=3, dim=128)
+    assert results.count() == 18
+    total = {(r["baseline"], r["perturbation"]): r for r in harness.summary(results).collect()}
+    assert len(total) == 6
+    for p in harness.PERTURBATIONS:
+        assert total["B2", p]["ungrounded_rate"] == 0.0
+    assert total["B2", "none"]["completeness"] == 1.0 and total["B0", "hide_gold_evidence"]["ungrounded_rate"] > 0
+    assert total["B0", "none"]["recall_at_k"] == total["B2", "none"]["recall_at_k"] == 1.0
+    assert total["B2", "none"]["faithfulness"] >= total["B0", "none"]["faithfulness"]
+    assert harness.markdown(harness.summary(results)).count("\n") == 7
