@@ -33,7 +33,7 @@ RANK = 96
 NEIGHBOURS = 16
 SHARPNESS = 6  # power of the cosine in a vote
 SAMPLE = {0: 2500, 1: 4500}  # labelled rows that the fit takes at most, by label
-BLOCK = 256  # documents whose cosines are held at once
+BLOCK = 256  # documents whose vectors and cosines are held at once
 KINDS = {"trigram": 1.0, "shape": 1.5, "pair": 1.0, "repeat": 2.0}
 
 
@@ -58,8 +58,9 @@ def vectors(chunk: Chunk) -> np.ndarray:
 
     def add(owner: np.ndarray, h: np.ndarray, weight: float) -> None:
         key = owner * DIMS + (h >> np.uint64(64 - BITS)).astype(np.int64)
-        share = np.bincount(key, minlength=chunk.n * DIMS).reshape(chunk.n, DIMS)
-        out[:] += (weight * share / np.maximum(share.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+        share = np.bincount(key, minlength=chunk.n * DIMS).reshape(chunk.n, DIMS).astype(np.float32)
+        share *= weight / np.maximum(share.sum(axis=1, keepdims=True), 1)
+        out[:] += share
 
     cp = chunk.cp.astype(np.uint64)
     owner = np.repeat(np.arange(chunk.n), np.diff(chunk.at))
@@ -91,7 +92,7 @@ def train(table: pa.Table) -> Model | None:
     label = table["label"].to_numpy()
     if not len(label):
         return None
-    x = np.concatenate([vectors(Chunk(part.column("text"))) for batch in table.to_batches() for part in chunks(batch)])
+    x = np.concatenate([vectors(Chunk(part.column("text"))) for batch in table.to_batches() for part in chunks(batch, rows=BLOCK)])
     rank = min(RANK, *x.shape)
     y = x.T @ (x @ np.random.default_rng(5).standard_normal((DIMS, min(rank + 16, *x.shape)), np.float32))
     for _ in range(2):
@@ -128,7 +129,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, limit=1 << 19):
+            for part in chunks(batch, limit=1 << 19, rows=BLOCK):
                 p = vote(shared.value, Chunk(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 

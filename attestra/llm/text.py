@@ -21,8 +21,8 @@ _TABLE = 0x20000  # code points beyond it count as letters without case
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch of about ``limit`` bytes of text; a longer text is a slice of its own."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch of about ``limit`` bytes of text and at most ``rows`` rows; a longer text is a slice of its own."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -31,6 +31,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        stop = min(stop, at + rows)
         yield batch.slice(at, stop - at)
         at = stop
 
