@@ -77,7 +77,7 @@ def audited(spark: SparkSession, d: str) -> ProvenanceTables:
 
 
 def q_spans(spark: SparkSession, d: str) -> DataFrame:
-    e = provenance(spark, d).evidence.select("evidence_id", evidence_span(F.col("source_locator"), F.col("span")).alias("s"))
+    e = provenance(spark, d, keep=False).evidence.select("evidence_id", evidence_span(F.col("source_locator"), F.col("span")).alias("s"))
     return e.select("evidence_id", "s.locator", "s.chunk_index", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "s.typed", span_length(F.col("s")).alias("span_length"))
 
 
@@ -88,15 +88,15 @@ def q_assertions_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.links(provenance(spark, d)).select("assertion_id", "ord", "evidence_id", "relationship", "via_candidate", "resolved", "availability", "model_version", "backs")
+    return links.links(provenance(spark, d, keep=False)).select("assertion_id", "ord", "evidence_id", "relationship", "via_candidate", "resolved", "availability", "model_version", "backs")
 
 
 def q_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return links.link_gaps(provenance(spark, d)).select("assertion_id", "phase", "kind", "subject_id", "blocking")
+    return links.link_gaps(provenance(spark, d, keep=False)).select("assertion_id", "phase", "kind", "subject_id", "blocking")
 
 
 def q_grounded(spark: SparkSession, d: str) -> DataFrame:
-    return links.grounded(provenance(spark, d))
+    return links.grounded(provenance(spark, d, keep=False))
 
 
 def q_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ def q_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_citing_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return walks.citing_candidates(provenance(spark, d)).select("evidence_id", F.array_join("candidates", ",").alias("candidates"))
+    return walks.citing_candidates(provenance(spark, d, keep=False)).select("evidence_id", F.array_join("candidates", ",").alias("candidates"))
 
 
 def q_explain(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +270,7 @@ def q_router(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_docs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.documents(provenance(spark, d)).select("assertion_id", F.md5("text").alias("text_md5"))
+    return retrieve.documents(provenance(spark, d, keep=False)).select("assertion_id", F.md5("text").alias("text_md5"))
 
 
 def q_extractive(spark: SparkSession, d: str) -> DataFrame:
@@ -307,7 +307,7 @@ def q_prov_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_render(spark: SparkSession, d: str) -> DataFrame:
-    return verify.rendered_assertions(provenance(spark, d))
+    return verify.rendered_assertions(provenance(spark, d, keep=False))
 
 
 def q_iri(spark: SparkSession, d: str) -> DataFrame:

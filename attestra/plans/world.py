@@ -74,8 +74,8 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]
     return {n: found[n] for n in (names or found)}
 
 
-def provenance(spark: SparkSession, sf_dir: str, max_depth: int = 16) -> ProvenanceTables:
-    """The driver tables as provenance tables: documents are evidence, orders and their sums are assertions."""
+def provenance(spark: SparkSession, sf_dir: str, max_depth: int = 16, keep: bool = True) -> ProvenanceTables:
+    """The driver tables as provenance tables: documents are evidence, orders and their sums are assertions. ``keep``: compute the assertions once, for queries that read them many times."""
     v = views(spark, sf_dir)
     ordered = lambda df, *fields: df.groupBy("assertion_id").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("list"))
     rows = v["assertion_rows"]
@@ -98,7 +98,7 @@ def provenance(spark: SparkSession, sf_dir: str, max_depth: int = 16) -> Provena
             null("string").alias("trace_id"), F.coalesce(k, F.lit(-1)).alias("load_ord"),
         )
     )
-    assertions = checkpointed(assertions)  # walks and chains read it many times
+    assertions = checkpointed(assertions) if keep else assertions
     e = v["evidence_rows"]
     evidence = e.select(
         "evidence_id", F.lit("document").alias("source_type"), "source_locator", F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("observed_at"), "availability",
