@@ -3,11 +3,15 @@
 The page is cut into blocks at block-level tags. Every block knows the words it holds, how many of
 them are in links, how many are stop words, and which containers it lies in. The first pass decides
 each block: what lies in a container that never holds article text (menus, headers of the site,
-footers, sidebars, notices, adverts, forms, comments) is bad; a block of links is bad; inside an
-``article`` or ``main`` element the rest is good; elsewhere length and stop-word density decide, and
-short blocks stay open. The second pass gives each open block the label of its nearest decided
-neighbours: good if both are good or the nearer one is (at equal distance only a heading before good
-text), and good if the page has no decided block at all.
+footers, sidebars, notices, adverts, forms, comments) is bad; a block of links is bad; for the rest
+length and stop-word density decide, and short blocks and headings stay open. The second pass gives
+each open block the label of its nearest decided neighbours: good if both are good or the nearer one
+is (at equal distance only a heading before good text), and good if the page has no decided block at
+all.
+
+An ``article`` or ``main`` element, or a container named after content, is a prior only: inside it a
+long block of few stop words stays open instead of bad, the bad containers around an open block don't
+count as its neighbours, and an open block without any other decided neighbour is good.
 
 Containers are recognised by their tag, role and the words of their class and id.
 
@@ -71,8 +75,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0  # characters in links
     bad: bool = False
-    good: bool = False  # in an element that marks the article
-    likely: bool = False  # in an element whose class or id names content
+    prior: bool = False  # in an element that marks the article or whose class or id names content
     heading: bool = False
     text: str = ""
 
@@ -134,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
         words = m[4]
         if words is not None:
             if not block.parts:
-                block.bad, block.good, block.likely, block.heading = bad > 0, good > 0, likely > 0, heading
+                block.bad, block.prior, block.heading = bad > 0, good + likely > 0, heading
             block.parts.append(words)
             if anchors:
                 block.linked += len(words.strip())
@@ -191,29 +194,21 @@ def decide(block: Block) -> bool | None:
     """First pass: True good, False bad, None open."""
     if block.bad:
         return False
-    if block.good:
-        return True
     if block.linked > MAX_LINK_SHARE * len(block.text):
         return False
-    if block.likely:
-        return True
     words = block.text.lower().split()
     if len(words) < MIN_WORDS or block.heading:
         return None
     stop = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
     if stop >= HIGH_STOP or len(words) >= LONG_WORDS and stop >= LOW_STOP:
         return True
-    if stop < LOW_STOP and len(words) < LONG_WORDS:
+    if stop < LOW_STOP and (block.prior or len(words) < LONG_WORDS):
         return None
     return stop >= LOW_STOP
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    blocks = blocks_of(page or "")
-    first = [decide(b) for b in blocks]
-    if any(b.good and v for b, v in zip(blocks, first, strict=True)):  # the page marks its article: what lies outside is not part of it
-        return "\n".join(b.text for b, v in zip(blocks, first, strict=True) if b.good and v)
+def _neighbours(first: list[bool | None]) -> list[tuple[tuple[int, bool], tuple[int, bool]]]:
+    """The nearest decided block before and after each block, with its label; places out of the page if there is none."""
     before: list[tuple[int, bool]] = []
     last = (-(1 << 60), False)
     for i, v in enumerate(first):
@@ -226,10 +221,19 @@ def extract(page: str | None) -> str:
         if first[i] is not None:
             last = (i, first[i])
         after[i] = last
+    return list(zip(before, after, strict=True))
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    blocks = blocks_of(page or "")
+    first = [decide(b) for b in blocks]
+    every = _neighbours(first)
+    inner = _neighbours([None if b.bad else v for b, v in zip(blocks, first, strict=True)])
     keep = []
     for i, v in enumerate(first):
         if v is None:
-            (p, pv), (n, nv) = before[i], after[i]
+            (p, pv), (n, nv) = (inner if blocks[i].prior else every)[i]
             alone = p < 0 and n >= len(first)
             v = alone or pv and nv or (nv if n - i < i - p else pv if i - p < n - i else nv and blocks[i].heading)
         keep.append(v)
