@@ -6,11 +6,11 @@ of ``S`` tokens. It is an anchor if its smallest inner hash lies at its first or
 depends on the k-mer alone: what surrounds it doesn't matter, so equal passages have equal anchors
 (two thirds of their k-mers) wherever they stand.
 
-A fingerprint holds the ``SIZE`` smallest distinct anchor hashes (32 bits) with their places (16
-bits, in tokens). Two fingerprints are matched by position: of the ``SIZE`` smallest hashes of both
-together, those count as matched that both have and that moved by about the same distance (the median
-of the shared ones, give or take ``SLACK``). Likeness is the matched share of one fingerprint's
-anchors, 2 m / (n + m) for m matched of n.
+A fingerprint holds all distinct anchor hashes (32 bits), each with its first place (31 bits, in
+tokens). Two fingerprints are matched by position: those anchors count as matched that both have and
+that moved by about the same distance (the median of the shared ones, give or take ``SLACK``).
+Likeness is 2 m / (n + m) for m matched of n distinct anchors of both together. Work and size grow
+with the length of the texts (sorting, but no comparison of all pairs of anchors).
 
 Defined results: null and empty texts have no anchors and an empty fingerprint; two empty ones are
 alike (1), an empty and another are not (0); equal texts have equal fingerprints and likeness 1.
@@ -25,12 +25,11 @@ from pyspark.sql import functions as F
 from .store import checkpointed
 
 TOKEN, K, S = 4, 4, 2
-SIZE = 64
 SLACK = 8
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, size: int = SIZE) -> DataFrame:
-    """``df`` with ``name``: an array of longs, hash << 16 | place, in order of hash. Its steps are columns of their own, so each is computed once."""
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with ``name``: an array of longs, hash << 32 | place, in order of the signed hash. Its steps are columns of their own, so each is computed once."""
     t, s, a, o = (f"{name}_{x}" for x in ("tokens", "inner", "anchors", "order"))
     marks = [F.lit(-i - 1).cast("long") for i in range(K - 1)]
     hashed = F.transform(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{TOKEN}}}"), F.lit(0)), lambda x: F.xxhash64(x))
@@ -38,55 +37,58 @@ def with_fingerprint(df: DataFrame, text: str, name: str, size: int = SIZE) -> D
 
     def anchor(first: Column, i: Column) -> Column:
         middle, last = F.get(F.col(s), i + 1), F.get(F.col(s), i + 2)
-        packed = F.shiftleft(F.xxhash64(first, last).bitwiseAND(F.lit(0xFFFFFFFF)), 16).bitwiseOR(i.cast("long").bitwiseAND(F.lit(0xFFFF)))
+        packed = F.shiftleft(F.xxhash64(first, last), 32).bitwiseOR(i.cast("long"))
         return F.when(~((middle < first) & (middle < last)), packed)
 
-    fresh = lambda x, i: (i == 0) | (F.shiftright(x, 16) != F.shiftright(F.get(F.col(o), i - 1), 16))
+    fresh = lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(F.col(o), i - 1), 32))
     return (
         df.withColumn(t, F.concat(F.array(*marks), hashed))
         .withColumn(s, pair)
         .withColumn(a, F.transform(F.slice(s, F.lit(1), F.size(s) - (K - S)), anchor))
         .withColumn(o, F.sort_array(F.array_compact(a)))
-        .withColumn(name, F.slice(F.filter(o, fresh), 1, size))
+        .withColumn(name, F.filter(o, fresh))
         .drop(t, s, a, o)
     )
 
 
 def as_text(fingerprint: str) -> Column:
-    """Twelve hexadecimal digits an anchor."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 12, "0")), "")
+    """Sixteen hexadecimal digits an anchor."""
+    return F.lower(F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def with_likeness(df: DataFrame, left: str, right: str, name: str, size: int = SIZE) -> DataFrame:
+def with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
     """``df`` with ``name``: the likeness of two fingerprint columns, 0 to 1."""
-    a, b, u, m, d = (f"{name}_{x}" for x in ("a", "b", "union", "shared", "moves"))
-    hashes = lambda c: F.transform(c, lambda x: F.shiftright(x, 16))
-    place = lambda fp, h, x: F.get(F.col(fp), F.array_position(h, x).cast("int") - 1).bitwiseAND(F.lit(0xFFFF))
+    u, d, g = (f"{name}_{x}" for x in ("all", "moves", "agree"))
+    side = 1 << 31  # marks the right one's anchors, which so follow the left one's of the same hash
+    place = lambda x: x.bitwiseAND(F.lit(side - 1))
+
+    def move(x: Column, i: Column) -> Column:
+        before = F.get(F.col(u), i - 1)
+        return F.when(F.shiftright(x, 32) == F.shiftright(before, 32), place(x) - place(before))
+
     middle = F.get(F.col(d), F.floor(F.size(d) / 2).cast("int"))
-    agree = F.size(F.filter(d, lambda x: F.abs(x - middle) <= SLACK))
+    distinct = F.size(u) - F.size(d)
     return (
-        df.withColumn(a, hashes(left))
-        .withColumn(b, hashes(right))
-        .withColumn(u, F.slice(F.sort_array(F.array_union(a, b)), 1, size))
-        .withColumn(m, F.array_intersect(F.array_intersect(a, b), u))
-        .withColumn(d, F.sort_array(F.transform(m, lambda x: place(right, F.col(b), x) - place(left, F.col(a), x))))
-        .withColumn(name, F.when(F.size(u) == 0, F.lit(1.0)).when(F.size(m) == 0, F.lit(0.0)).otherwise(2 * agree / (F.size(u) + agree)))
-        .drop(a, b, u, m, d)
+        df.withColumn(u, F.sort_array(F.concat(F.col(left), F.transform(right, lambda x: x.bitwiseOR(F.lit(side))))))
+        .withColumn(d, F.sort_array(F.array_compact(F.transform(u, move))))
+        .withColumn(g, F.size(F.filter(d, lambda x: F.abs(x - middle) <= SLACK)))
+        .withColumn(name, F.when(F.size(u) == 0, F.lit(1.0)).when(F.size(d) == 0, F.lit(0.0)).otherwise(2 * F.col(g) / (distinct + F.col(g))))
+        .drop(u, d, g)
     )
 
 
 def predecessors(ids: DataFrame) -> DataFrame:
-    """For each row (key, n) of distinct keys: the key and n of the row before in order of key; before the first comes the last.
+    """For each row of distinct keys: the key before in order; before the first comes the last.
 
     The keys are dealt into ranges; each range orders its own, and one row a range (as many as there
     are shuffle partitions) tells the next range where the one before ended. No step orders all rows at once.
     """
-    ranged = checkpointed(ids.repartitionByRange("key").select("key", "n", F.spark_partition_id().alias("range")))
-    mine = F.struct("key", "n")
+    ranged = checkpointed(ids.repartitionByRange("key").select("key", F.spark_partition_id().alias("range")))
+    mine = F.struct("key")
     last = ranged.groupBy("range").agg(F.max(mine).alias("last"))
     edge = last.select("range", F.coalesce(F.lag("last").over(W.orderBy("range")), F.last("last").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("edge"))
     inside = ranged.withColumn("before", F.lag(mine).over(W.partitionBy("range").orderBy("key")))
-    return inside.join(F.broadcast(edge), "range").select("key", F.coalesce("before", "edge").alias("before")).select("key", F.col("before.key").alias("before_key"), F.col("before.n").alias("before_n"))
+    return inside.join(F.broadcast(edge), "range").select("key", F.coalesce("before", "edge").alias("before")).select("key", F.col("before.key").alias("before_key"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -94,19 +96,20 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next larger doc_id (nulls first; after the last the first). Where
     an id occurs more than once, the smallest text stands for it as the next document. Texts are
-    shuffled once, by id; besides, the starts of texts and the fingerprints go to the row before.
+    shuffled by id and go to the row before; fingerprints, which are larger than compressed texts,
+    are made of the texts there and never shuffled.
     """
-    rows = with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "print")
-    sizes = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n")).groupBy(F.col("doc_id").alias("key")).agg(F.max("n").alias("n"))
-    before = predecessors(sizes)
-    starts = rows.join(before, rows["doc_id"].eqNullSafe(before["key"])).select("before_key", F.left("text", F.floor(F.col("before_n") / 4).cast("int")).alias("start"), F.col("print").alias("next_print"))
-    nexts = starts.groupBy("before_key").agg(F.min(F.struct("start", "next_print")).alias("next"))
+    whole = lambda key: (F.coalesce(key, F.lit(0)).alias("k"), F.col(key).isNull().alias("none"))  # noqa: E731  plain keys, so that grouping and join share one shuffle
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *whole("doc_id"))
+    before = predecessors(docs.select(F.col("doc_id").alias("key")).distinct())
+    keyed = before.select(*whole("key"), "before_key")
+    nexts = rows.join(keyed, ["k", "none"]).select(*whole("before_key"), "text").groupBy("k", "none").agg(F.min("text").alias("next"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     both = (
-        rows.join(nexts, rows["doc_id"].eqNullSafe(nexts["before_key"]))
+        rows.join(nexts, ["k", "none"])
         .withColumn("n_chars", F.char_length("text").cast("long"))
-        .withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - quarter), F.left("next.start", quarter)))
-        .select("doc_id", "text", "n_chars", "edited", "print", F.col("next.next_print").alias("next_print"))
+        .withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - quarter), F.left("next", quarter)))
+        .select(F.when(~F.col("none"), F.col("k")).alias("doc_id"), "text", "n_chars", "edited", "next")
     )
-    printed = with_fingerprint(both, "edited", "edited_print")
-    return with_likeness(with_likeness(printed, "print", "edited_print", "near_edited"), "print", "next_print", "near_next")
+    printed = with_fingerprint(with_fingerprint(with_fingerprint(both, "text", "print"), "edited", "edited_print"), "next", "next_print")
+    return with_likeness(with_likeness(printed, "print", "edited_print", "near_edited"), "print", "next_print", "near_next").drop("next")
