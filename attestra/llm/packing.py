@@ -48,22 +48,22 @@ def _encoders(files: tuple[str, str]):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(files[0])
-    exact.encode_special_tokens = True  # their strings in a text are ordinary text
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(files[1]).read_bytes().splitlines() if x)}
     return exact, tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @cache
-def _unsafe():
+def _unsafe(files: tuple[str, str]):
     import re
 
-    return re.compile(f"[^\x00-{chr(SAFE_LIMIT - 1)}{SAFE_OTHERS}]")
+    added = [re.escape(t.content) for t in _encoders(files)[0].get_added_tokens_decoder().values()]
+    return re.compile("|".join([f"[^\x00-{chr(SAFE_LIMIT - 1)}{SAFE_OTHERS}]", *added]))
 
 
 def encode(text: str, files: tuple[str, str]) -> list[int]:
-    """The ids of one text. Both encoders hold the same vocabulary; the quick one is used where Unicode versions can't differ."""
+    """The ids of one text, as the tokenizer file gives them. The quick encoder holds the same vocabulary but no added tokens; it is used where neither those nor Unicode versions can make a difference."""
     exact, quick = _encoders(files)
-    return exact.encode(text, add_special_tokens=False).ids if _unsafe().search(text) else quick.encode_ordinary(text)
+    return exact.encode(text, add_special_tokens=False).ids if _unsafe(files).search(text) else quick.encode_ordinary(text)
 
 
 def pieces(docs: DataFrame, files: tuple[str, str] | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
