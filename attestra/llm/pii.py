@@ -7,8 +7,8 @@ Base kinds (email, ip, card, phone) are fixed patterns with fixed checks; they a
 recall generators propose further spans, which may overlap: values after words such as "password",
 long tokens that hold a digit, groups of digits, account numbers. Gradient-boosted trees over the
 candidate's format and the text before it score each one; a Platt calibration turns the score into a
-probability, and ``THRESHOLDS`` select. Where selected candidates overlap, the likelier stays, and a
-base span wins over any candidate. The trees are trained on the driver on ``TRAINING`` rows that a
+probability, and ``THRESHOLDS`` select. Where selected candidates of one kind overlap, they become
+one span; of two kinds the likelier stays, and a base span wins over any candidate. The trees are trained on the driver on ``TRAINING`` rows that a
 fixed rule makes up (the tables hold no labels for spans) and run as one SQL expression.
 
 Patterns are possessive and start at the edge of a run, so they take time linear in the text and no
@@ -40,7 +40,7 @@ KINDS = (*BASE, "secret", "iban", "id")
 _CUE = r"(?i)(?:password|passwd|passphrase|pwd|token|secret|api.?key|key|auth|bearer|credentials?)[^A-Za-z0-9]{0,4}$"
 _ID_CUE = r"(?i)(?:ssn|social|passport|iban|account|konto|cuenta|compte|licen[cs]e|dni|nif|steuer|tel|telefon|phone|call|fax|mobile|id)[^A-Za-z0-9]{0,4}$"
 GENERATORS = {  # name: (kind, pattern, what must be in the text, group of the span or None)
-    "assigned": ("secret", r"(?i)(?<![A-Za-z])(?:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key|auth)\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,200}", r"[:=]", r"[:=]\s{0,3}[\"']?([^\s\"']{6,200})$"),
+    "assigned": ("secret", r"(?i)(?<![A-Za-z])(?:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key|auth)\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,}+", r"[:=]", r"[:=]\s{0,3}[\"']?([^\s\"']{6,}+)$"),
     "token": ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+", r"[0-9]", None),
     "account": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", r"[A-Z]{2}[0-9]{2}", None),
     "digits": ("id", r"(?:\G|(?<![0-9.,]))[0-9]++(?:[\x20().-]{1,2}[0-9]++)++", r"[0-9]", None),
@@ -240,7 +240,7 @@ def _candidates(text: Column) -> Column:
 
 
 def _resolve(all_spans: Column) -> Column:
-    """From spans in order of start: all base ones, and of others that overlap nothing likelier."""
+    """From spans in order of start: all base ones, and of others that overlap nothing likelier; overlapping ones of one kind as one."""
     base = len(BASE)
     kind = "array<struct<start:int,k:int,end:int,p:double>>"
     start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("end"), F.lit(0).alias("base_end"), F.lit(None).cast("double").alias("p"))
@@ -251,10 +251,15 @@ def _resolve(all_spans: Column) -> Column:
         fewer = F.slice(done["kept"], F.lit(1), F.greatest(F.size(done["kept"]) - 1, F.lit(0)))
         grow = lambda kept, end, p: F.struct(F.concat(kept, F.array(s)).alias("kept"), end.alias("end"), F.when(s["k"] < base, F.greatest(done["base_end"], s["end"])).otherwise(done["base_end"]).alias("base_end"), p.alias("p"))
         none = F.lit(None).cast("double")
+        final = F.get(done["kept"], F.size(done["kept"]) - 1)
+        end, p = F.greatest(done["end"], s["end"]), F.greatest(done["p"], s["p"])
+        whole = F.struct(final["start"].alias("start"), s["k"].alias("k"), end.alias("end"), p.alias("p"))
+        joined = F.struct(F.concat(fewer, F.array(whole)).alias("kept"), end.alias("end"), done["base_end"].alias("base_end"), p.alias("p"))
         return (
             F.when((s["k"] < base) & last & clash, grow(fewer, F.greatest(done["base_end"], s["end"]), none))
             .when(s["k"] < base, grow(done["kept"], F.greatest(done["end"], s["end"]), none))
             .when(~clash, grow(done["kept"], s["end"], s["p"]))
+            .when(last & (done["base_end"] <= s["start"]) & (final["k"] == s["k"]), joined)
             .when(last & (done["base_end"] <= s["start"]) & (s["p"] > done["p"]), grow(fewer, s["end"], s["p"]))
             .otherwise(done)
         )
