@@ -6,7 +6,8 @@ everything can be read back.
 
 Prefix sums of the turns' tokens cut a conversation at turns into spans that fit the budget; a turn
 that fills over half a span stands alone (and is the only thing that can pass the budget: turns are
-never cut). Each span becomes a window: the conversation's system turn first, then up to
+never cut). Each span becomes a window: the conversation's first system turn, if an earlier
+window owns it, then up to
 ``HISTORY_TURNS`` turns before the span within ``HISTORY_TOKENS``, then its own turns. The loss mask
 covers the assistant texts of a window's own turns only, so a repeated turn is no target again.
 
@@ -50,20 +51,21 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
         turns.withColumn("size", tokens(F.col("text")))
         .withColumn("rn", F.row_number().over(order))
         .withColumn("before", F.sum("size").over(so_far) - F.col("size"))
-        .withColumn("system", F.first(F.struct(system.alias("s"))).over(so_far)["s"])
+        .withColumn("system", F.first(system, ignorenulls=True).over(so_far))
+        .withColumn("system_rn", F.min(F.when(F.col("role") == "system", F.col("rn"))).over(so_far))
         .withColumn("half", F.greatest(F.lit(budget - history_tokens) - F.coalesce(F.col("system.n"), F.lit(0)), F.lit(LEAST_ROOM)) / 2)
         .withColumn("at", F.struct(F.floor(F.col("before") / F.col("half")).alias("part"), (F.col("size") > F.col("half")).alias("large")))
         .withColumn("opens", F.coalesce(F.col("at") != F.lag("at").over(order), F.lit(True)))
         .withColumn("span", F.sum(F.col("opens").cast("long")).over(so_far))
     )
     backwards = W.partitionBy("conv_id", "span").orderBy(F.col("rn").desc())
-    leads = (F.col("rn") == 1) & (F.col("role") == "system")
+    leads = F.col("rn") == F.coalesce("system_rn", F.lit(0))
     again = (F.row_number().over(backwards) <= history_turns) & (F.sum("size").over(backwards.rowsBetween(W.unboundedPreceding, 0)) <= history_tokens) & ~leads
     head = F.concat(F.lit(START), escape(F.col("role"), True), F.lit("\n"))
     rows = cut.withColumn("again", again).select(
         "conv_id",
         "rn",
-        F.when(F.col("opens") & (F.col("span") > 1), F.concat(F.lit(f"{START}system\n"), escape(F.col("system.t")), F.lit(f"{STOP}\n"))).alias("lead"),
+        F.when(F.col("opens") & (F.col("system_rn") < F.col("rn")), F.concat(F.lit(f"{START}system\n"), escape(F.col("system.t")), F.lit(f"{STOP}\n"))).alias("lead"),
         (F.col("role") == "assistant").alias("target"),
         head.alias("head"),
         escape(F.col("text")).alias("body"),
