@@ -265,7 +265,7 @@ def q_route(spark: SparkSession, d: str) -> DataFrame:
 def q_router(spark: SparkSession, d: str) -> DataFrame:
     """Route, retrieve, fuse and gate for every benchmark question over the assertions' documents."""
     t = provenance(spark, d)
-    router = retrieve.Router(t, retrieve.retrievers_for(t, checkpointed(retrieve.documents(t)), 64))
+    router = retrieve.Router(t, retrieve.retrievers_for(t, checkpointed(retrieve.documents(t))))
     return router.retrieve(questions_of(spark, d), 5)
 
 
@@ -290,7 +290,7 @@ def cases_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_harness_summary(spark: SparkSession, d: str) -> DataFrame:
-    return harness.summary(harness.run(provenance(spark, d), cases_of(spark, d), dim=64))
+    return harness.summary(harness.run(provenance(spark, d), cases_of(spark, d)))
 
 
 def q_hidden_evidence(spark: SparkSession, d: str) -> DataFrame:
