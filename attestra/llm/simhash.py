@@ -68,8 +68,9 @@ def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (its 64 bits as a signed long) for every row."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns ``keep`` and fp (its 64 bits as a signed long) for every row."""
+    names = ["doc_id", *keep]
 
     def run(batches):
         for batch in batches:
@@ -77,9 +78,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 found = [_shingle_hashes((t or "").encode(), words) for t in part.column("text").to_pylist()]
                 h = np.array([x for one in found for x in one], np.uint64)
                 fp = _majority(h, np.array([len(x) for x in found], np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 class _Forest:
@@ -194,12 +195,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return units.groupBy("c1", "p1", "c2", "p2").applyInArrow(run, "a long, b long")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct`` with root, the fingerprint that stands for the component of ``fp``."""
+    roots = components(links(distinct, radius))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def first_rows(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id and row of one row of each component: the one with the smallest doc_id, nulls last, then the smallest row."""
+    prints = fingerprints(docs, words, ("row",))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min(order).alias("first")))
+    return _rooted(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row."""
     prints = checkpointed(fingerprints(docs, words))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct, radius)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = checkpointed(rooted.join(smallest, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -18,10 +18,6 @@ from attestra.llm.store import shared_folder
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and the classifier. It is fitted on the labelled rows of the documents table."""
     model = quality_rules.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,10 +31,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows that repeat its id are dropped too."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return _kept(docs, first).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near copies: the one with the smallest id, null ids last. An id may stand on rows of several groups; each group keeps its row."""
+    rows = docs.withColumn("row", F.xxhash64(*COLUMNS))  # tells apart rows of one id, or of none
+    first = simhash.first_rows(rows).select("row")
+    return rows.join(first, "row", "left_semi").dropDuplicates(["row", "doc_id"]).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
