@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: dict[int, int]) -> DataFrame:
     """At most ``per_class[v]`` documents with ``label`` = v, chosen by a hash of their id: doc_id, text, label.
 
-    A document with several label rows takes the largest; null labels and ids are left out. The
-    bound is the documented sample bound of the classifiers; everything else runs over all rows.
+    A document with several label rows takes the largest; null labels and ids are left out. Of the rows
+    of one id the smallest text counts (nulls only where there is no other), so the bound holds however
+    often an id occurs. It is the documented sample bound of the classifiers; everything else runs over
+    all rows.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = None
     for value, most in per_class.items():
         part = one.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select("doc_id", "text")
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # as many rows as per_class allows
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(sample: DataFrame, train: Callable[[pa.Table], Any]) -> Any:

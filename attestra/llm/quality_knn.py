@@ -103,6 +103,16 @@ def train(table: pa.Table) -> Model | None:
     return Model(projection, _unit(x @ projection), label.astype(np.float32), float(label.mean()))
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` largest values of each row; of equal ones the first places."""
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    taken = cosine >= last
+    for i in np.flatnonzero(taken.sum(axis=1) > k):
+        tied = np.flatnonzero(cosine[i] == last[i])
+        taken[i, tied[k - int((cosine[i] > last[i]).sum()) :]] = False
+    return np.nonzero(taken)[1].reshape(len(cosine), k)
+
+
 def vote(model: Model | None, chunk: Chunk) -> np.ndarray:
     if model is None:
         return np.full(chunk.n, 0.5)
@@ -113,7 +123,7 @@ def vote(model: Model | None, chunk: Chunk) -> np.ndarray:
     k = min(NEIGHBOURS, len(model.labels))
     for at in range(0, chunk.n, BLOCK):
         cosine = z[at : at + BLOCK] @ model.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = _nearest(cosine, k)
         w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** SHARPNESS + 1e-12
         out[at : at + BLOCK] = (w * model.labels[near]).sum(axis=1) / w.sum(axis=1)
     return np.where(some, np.clip(out, 0, 1), model.share)

@@ -56,20 +56,22 @@ def rule_counts(chunk: Chunk) -> tuple[dict[str, np.ndarray], tuple[np.ndarray,
     ls, le, ldoc = chunk.runs(chunk.cp != 10)
     worded = np.searchsorted(start, le, side="left") > np.searchsorted(end, ls, side="right")
     ls, le, ldoc = ls[worded], le[worded], ldoc[worded]
-    line = join_hash(chunk.hashes(ls, le), ldoc.astype(np.uint64), 11)
+    line = chunk.classes(ls, le, chunk.hashes(ls, le)) * chunk.n + ldoc
     first = np.unique(line, return_index=True)[1]
     out["n_dup_lines"] = chunk.per_document(ldoc) - chunk.per_document(ldoc[first])
     word = chunk.hashes(start, end)
+    kind = chunk.classes(start, end, word)
     repeated = np.zeros(len(word), bool)
     if len(word) > 2:
-        window = join_hash(join_hash(word[:-2], word[1:-1], 12), word[2:], 13)
-        window = join_hash(window, doc[2:].astype(np.uint64), 14)
         at = np.flatnonzero(doc[2:] == doc[:-2])
-        order = np.argsort(window[at], kind="stable")
-        value = window[at][order]
-        same = np.zeros(len(value), bool)
-        same[1:] = value[1:] == value[:-1]
-        same[:-1] |= value[1:] == value[:-1]
+        parts = [doc[at], *(kind[at + k] for k in range(3))]
+        window = join_hash(join_hash(word[at], word[at + 1], 12), word[at + 2], 13) + doc[at].astype(np.uint64)
+        order = np.argsort(window, kind="stable")
+        alike, same = _same_as_before([window], order), _same_as_before(parts, order)
+        if (alike & ~same).any():  # windows that share a hash
+            order = np.lexsort(parts)
+            same = _same_as_before(parts, order)
+        same[:-1] |= same[1:]
         hit = at[order[same]]
         for k in range(3):
             repeated[hit + k] = True
@@ -77,6 +79,13 @@ def rule_counts(chunk: Chunk) -> tuple[dict[str, np.ndarray], tuple[np.ndarray,
     return out, (start, end, doc, word)
 
 
+def _same_as_before(parts: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """For each place of the order, whether all parts equal those at the place before."""
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([(x := p[order])[1:] == x[:-1] for p in parts])
+    return same
+
+
 def rule_verdict(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 

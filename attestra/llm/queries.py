@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bucket(column: str, n: int) -> Column:
-    """crc32 of the id's decimal text, modulo n: the split of the labelled rows."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of the id's decimal text (of the empty one for null), modulo n: the split of the labelled rows."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

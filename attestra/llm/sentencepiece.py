@@ -240,7 +240,7 @@ def _marked(chunk: Chunk) -> Chunk:
     """The chunk with a marker before each text that isn't empty, and markers for blanks."""
     length = np.diff(chunk.at)
     new = object.__new__(Chunk)
-    new.n, new._sums = chunk.n, None
+    new.n, new._sums = chunk.n, []
     new.at = np.append(0, np.cumsum(length + (length > 0)))
     new.cp = np.insert(np.where(chunk.cp == 32, np.uint32(MARKER), chunk.cp), chunk.at[:-1][length > 0], np.uint32(MARKER))
     return new

@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+# Two primes below 2**31 and a base for each: a polynomial modulo a power of two would collide on patterned texts whatever its base.
+_PRIMES = ((2**31 - 1, 0x4F1BBCDC), (2**31 - 19, 0x2545F491))
 _TABLE = 0x20000  # code points beyond it count as letters without case
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -64,13 +64,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(prime: int, base: int, n: int) -> np.ndarray:
+    """The first powers (``n`` at least) of the base modulo the prime, by doubling."""
+    known = _POWERS.get((prime, base), np.ones(1, np.uint32))
+    while len(known) < n:
+        step = np.uint64(pow(base, len(known), prime))
+        known = np.concatenate([known, (known.astype(np.uint64) * step % np.uint64(prime)).astype(np.uint32)])
+    _POWERS[prime, base] = known
+    return known[:n]
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] of them, then those of start[1], and so on."""
+    shift = np.cumsum(size) - size
+    return np.repeat(start - shift, size) + np.arange(int(size.sum()))
+
+
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each pair of spans of one size, whether they hold the same code points."""
+    wrong = np.append(0, np.cumsum(a[spread(a_start, size)] != b[spread(b_start, size)]))
+    end = np.cumsum(size)
+    return wrong[end] == wrong[end - size]
 
 
 class Chunk:
@@ -85,11 +99,11 @@ class Chunk:
         np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
         self.n, self.at = n, lead[off - off[0]]
         self.cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        self._sums: np.ndarray | None = None
+        self._sums: list[np.ndarray] = []
 
     def lowered(self) -> Chunk:
         new = object.__new__(Chunk)
-        new.n, new.at, new._sums = self.n, self.at, None
+        new.n, new.at, new._sums = self.n, self.at, []
         new.cp = np.where(self.cp < _TABLE, _lower()[np.minimum(self.cp, _TABLE - 1)], self.cp)
         return new
 
@@ -115,13 +129,27 @@ class Chunk:
         return np.searchsorted(self.at, position, side="right") - 1
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span, from prefix sums of a polynomial: linear in the text."""
-        power, inverse = _powers(len(self.cp) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self.cp) + 1, np.uint64)
-            np.cumsum((self.cp.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self._sums[1:])
-        h = (self._sums[end] - self._sums[start]) * inverse[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """A 64-bit hash of each span, from prefix sums of a polynomial modulo each prime: linear in the text. Different spans can share one; ``classes`` tells them apart."""
+        if not self._sums:
+            for prime, base in _PRIMES:
+                terms = (self.cp.astype(np.uint64) + np.uint64(1)) * _powers(prime, base, len(self.cp)) % np.uint64(prime)
+                self._sums.append(np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64)))
+        out = np.zeros(len(start), np.uint64)
+        for sums, (prime, base) in zip(self._sums, _PRIMES, strict=True):
+            back = _powers(prime, pow(base, -1, prime), len(self.cp) + 1)[start].astype(np.uint64)
+            out = out << np.uint64(32) | (sums[end] - sums[start]) % np.uint64(prime) * back % np.uint64(prime)
+        return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def classes(self, start: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """A number for each span, the same for equal spans only: each one is held against the first of its hash."""
+        _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
+        lead, size = first[number], end - start
+        same = size == size[lead]
+        same[same] = equal_spans(self.cp, start[same], self.cp, start[lead[same]], size[same])
+        others: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same):
+            number[i] = len(first) + others.setdefault(self.cp[start[i] : end[i]].tobytes(), len(others))
+        return number
 
     def per_document(self, owner: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(owner, weights, self.n)

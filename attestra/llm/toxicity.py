@@ -46,7 +46,7 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     start, end, doc = low.runs(low.is_letter())
     word = low.hashes(start, end)
     stem = low.hashes(start, np.minimum(end, start + STEM))
-    parts, owners = [word, stem + np.uint64(1)], [doc, doc]
+    parts, owners = [word, join_hash(stem, stem, 3)], [doc, doc]
     for gap in (1, 2):
         if len(word) > gap:
             same = doc[gap:] == doc[:-gap]
