@@ -7,22 +7,28 @@ Base kinds (email, ip, card, phone) are fixed patterns with fixed checks; they a
 recall generators propose further spans, which may overlap: values after words such as "password",
 long tokens that hold a digit, groups of digits, account numbers. Gradient-boosted trees over the
 candidate's format and the text before it score each one; a Platt calibration turns the score into a
-probability, and ``THRESHOLDS`` select. Where selected candidates of one kind overlap, they become
-one span; of two kinds the likelier stays, and a base span wins over any candidate. The trees are trained on the driver on ``TRAINING`` rows that a
-fixed rule makes up (the tables hold no labels for spans) and run as one SQL expression.
+probability, and ``THRESHOLDS`` select. Selected candidates that overlap a base span go; those that
+overlap each other become one span, of the likeliest one's kind. The trees are trained on the driver
+on ``TRAINING`` rows that a fixed rule makes up (the tables hold no labels for spans) and run as one
+SQL expression.
 
 Patterns are possessive and start at the edge of a run, so they take time linear in the text and no
-stack, whatever the text.
-
-Defined results: null and empty texts have no spans; equal texts have equal spans; positions are code
-points, ends exclusive; an empty table gives an empty result; columns other than doc_id and text are
-not read.
+stack, whatever the text. Positions are running sums, made in as many passes as the number of matches
+has binary digits; no step copies what it found so far for each further match. A text is held as a
+whole, with its matches, while its row is worked on.
+
+Defined results: null and empty texts have no spans; equal texts (so repeated rows too) have equal
+spans; positions are code points, ends exclusive; candidates of equal probability: the kind that is
+listed first in ``KINDS``; an empty table gives an empty result; ``find`` reads doc_id and text only,
+``redacted`` keeps all other columns, whatever their names (attestra_base, attestra_more and
+attestra_spans are its own).
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -48,22 +54,36 @@ GENERATORS = {  # name: (kind, pattern, what must be in the text, group of the s
 THRESHOLDS = {"secret": 0.5, "iban": 0.6, "id": 0.7}
 TRAINING, ROUNDS, DEPTH, RATE = 4000, 16, 3, 0.5
 CONTEXT = 32
+BLOCK = 4096  # code points of the pieces that a text is cut from
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(xs: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Entry i joins the entries up to i: each pass reaches twice as far back."""
+
+    def passes(x: Column) -> Column:
+        far = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(x).cast("double"))).cast("int") - 1, F.lit(0)))
+        return F.aggregate(far, x, lambda done, k: F.transform(done, lambda v, i: F.coalesce(join(v, F.get(done, i - F.call_function("shiftleft", F.lit(1), k))), v)))
+
+    return _let(xs, lambda x: F.when(F.size(x) > 1, passes(x)).otherwise(x))
 
 
 def spans(text: Column, pattern: str, needs: str) -> Column:
     """start, end, value and the ``CONTEXT`` characters before, of the pattern's matches, left to right."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, v: F.struct(b.alias("b"), v.alias("v")))
+    parts = F.zip_with(between, found, lambda b, v: F.struct(F.char_length(b).alias("gap"), F.char_length(v).alias("size"), v.alias("value"), F.right(b, F.lit(CONTEXT)).alias("before")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
 
-    def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.char_length(pair["b"])
-        end = start + F.char_length(pair["v"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["v"].alias("value"), F.right(pair["b"], F.lit(CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(done["all"], F.array(one)).alias("all"))
+    def placed(p: Column) -> Column:
+        ends = _running(F.transform(p, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))), lambda x, y: x + y)
+        each = F.zip_with(p, ends, lambda x, e: F.struct((e - x["size"]).alias("start"), e.alias("end"), x["value"].alias("value"), x["before"].alias("before")))
+        return F.filter(each, lambda x: x["value"].isNotNull())
 
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda done: done["all"])
-    return F.when(text.rlike(needs), folded).otherwise(empty)
+    return F.when(text.rlike(needs), _let(parts, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(empty))).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -239,46 +259,49 @@ def _candidates(text: Column) -> Column:
     return F.filter(scored, lambda s: s["p"] >= F.get(least, s["k"]))
 
 
-def _resolve(all_spans: Column) -> Column:
-    """From spans in order of start: all base ones, and of others that overlap nothing likelier; overlapping ones of one kind as one."""
-    base = len(BASE)
-    kind = "array<struct<start:int,k:int,end:int,p:double>>"
-    start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("end"), F.lit(0).alias("base_end"), F.lit(None).cast("double").alias("p"))
-
-    def step(done: Column, s: Column) -> Column:
-        last = done["p"].isNotNull()  # the last one kept is a candidate
-        clash = done["end"] > s["start"]
-        fewer = F.slice(done["kept"], F.lit(1), F.greatest(F.size(done["kept"]) - 1, F.lit(0)))
-        grow = lambda kept, end, p: F.struct(F.concat(kept, F.array(s)).alias("kept"), end.alias("end"), F.when(s["k"] < base, F.greatest(done["base_end"], s["end"])).otherwise(done["base_end"]).alias("base_end"), p.alias("p"))
-        none = F.lit(None).cast("double")
-        final = F.get(done["kept"], F.size(done["kept"]) - 1)
-        end, p = F.greatest(done["end"], s["end"]), F.greatest(done["p"], s["p"])
-        whole = F.struct(final["start"].alias("start"), s["k"].alias("k"), end.alias("end"), p.alias("p"))
-        joined = F.struct(F.concat(fewer, F.array(whole)).alias("kept"), end.alias("end"), done["base_end"].alias("base_end"), p.alias("p"))
-        return (
-            F.when((s["k"] < base) & last & clash, grow(fewer, F.greatest(done["base_end"], s["end"]), none))
-            .when(s["k"] < base, grow(done["kept"], F.greatest(done["end"], s["end"]), none))
-            .when(~clash, grow(done["kept"], s["end"], s["p"]))
-            .when(last & (done["base_end"] <= s["start"]) & (final["k"] == s["k"]), joined)
-            .when(last & (done["base_end"] <= s["start"]) & (s["p"] > done["p"]), grow(fewer, s["end"], s["p"]))
-            .otherwise(done)
-        )
+def _merged(found: Column, kind: Callable[[Column], Column]) -> Column:
+    """Spans in order of start (one at least) with overlapping ones as one span; ``kind`` chooses its k from those it holds."""
+
+    def merge(x: Column, ends: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.coalesce(F.get(ends, i - 1) <= F.get(x, i)["start"], F.lit(True)))
+
+        def one(at: Column, stop: Column) -> Column:
+            held = F.slice(x, at + 1, stop - at)
+            return F.struct(F.get(x, at)["start"].alias("start"), _let(held, kind).alias("k"), F.get(ends, stop - 1).alias("end"), F.array_max(F.transform(held, lambda s: s["p"])).alias("p"))
 
-    return F.aggregate(all_spans, start, step, lambda done: done["kept"])
+        return _let(opens, lambda o: F.transform(o, lambda at, j: one(at, F.coalesce(F.get(o, j + 1), F.size(x)))))
+
+    return _let(found, lambda x: _let(_running(F.transform(x, lambda s: s["end"]), F.greatest), lambda ends: merge(x, ends)))
+
+
+def _likeliest(held: Column) -> Column:
+    return F.array_max(F.transform(held, lambda s: F.struct(s["p"].alias("p"), (-s["k"]).alias("minus")))).getField("minus") * -1
+
+
+def _resolve(base: Column, more: Column) -> Column:
+    """All base spans, and the candidates that overlap none of them, overlapping ones as one span."""
+    of_base = lambda s: s["k"] < len(BASE)
+
+    def free(x: Column) -> Column:
+        behind = _running(F.transform(x, lambda s: F.when(of_base(s), s["end"]).otherwise(0)), F.greatest)
+        ahead = F.reverse(_running(F.reverse(F.transform(x, lambda s: F.when(of_base(s), s["start"]).otherwise((1 << 31) - 1))), F.least))
+        return _let(behind, lambda b: _let(ahead, lambda a: F.filter(x, lambda s, i: ~of_base(s) & (F.get(b, i) <= s["start"]) & (F.get(a, i) >= s["end"]))))
+
+    added = _let(_let(F.array_sort(F.concat(base, more)), free), lambda x: F.when(F.size(x) > 0, _merged(x, _likeliest)).otherwise(x))
+    return F.array_sort(F.concat(base, added))
 
 
 def _listed(found: Column, k: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.lit(1.0).alias("p")))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with text (null: empty), base and spans in its own columns; other columns stay unless named base, more or spans."""
-    kinds = base_spans(F.col("text"))
-    listed = [_listed(found, i) for i, found in enumerate(kinds.values())]
+def with_spans(docs: DataFrame, base: str = "base", spans_: str = "spans") -> DataFrame:
+    """``docs`` with text (null: empty) and its spans in the two columns named; other columns stay."""
+    listed = [_listed(found, i) for i, found in enumerate(base_spans(F.col("text")).values())]
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    told = rows.withColumn("base", F.array_sort(F.concat(*listed))).withColumn("more", _candidates(F.col("text")))
-    merged = F.when(F.size("more") == 0, F.col("base")).otherwise(_resolve(F.array_sort(F.concat("base", "more"))))
-    return told.withColumn("spans", merged).drop("more")
+    told = rows.withColumn(base, F.array_sort(F.concat(*listed))).withColumn("attestra_more", _candidates(F.col("text")))
+    merged = F.when(F.size("attestra_more") == 0, F.col(base)).otherwise(_resolve(F.col(base), F.col("attestra_more")))
+    return told.withColumn(spans_, merged).drop("attestra_more")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -292,18 +315,23 @@ def listing(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text in blocks of ``BLOCK``: no step counts from the text's beginning."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    piece = lambda at, begin, size: F.coalesce(F.substring(F.get(blocks, at), begin, size), F.lit(""))
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, piece(first, start % BLOCK + 1, end - start)).otherwise(F.concat(piece(first, start % BLOCK + 1, F.lit(BLOCK)), middle, piece(last, F.lit(1), end % BLOCK)))
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind in angle brackets; overlapping spans become one, of the first one's kind. Columns named base, more or spans are dropped."""
+    """``docs`` with every span of the text replaced by its kind in angle brackets; overlapping spans become one, of the first one's kind."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    text = F.col("text")
+    text, found = F.col("text"), F.col("attestra_spans")
 
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        gap = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
-        return F.struct(
-            F.when(fresh, F.concat(done["out"], F.array(F.concat(gap, F.get(names, s["k"]))))).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).cast("int").alias("at")
-        )
+    def told(blocks: Column, x: Column) -> Column:
+        before = F.transform(x, lambda s, i: F.concat(_cut(blocks, F.coalesce(F.get(x, i - 1)["end"], F.lit(0)), s["start"]), F.get(names, s["k"])))
+        return F.concat(F.array_join(before, ""), _cut(blocks, F.get(x, F.size(x) - 1)["end"], F.char_length(text)))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    whole = F.aggregate("spans", start, step, lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.lit((1 << 31) - 1))))
-    return with_spans(docs).withColumn("text", F.when(F.size("spans") == 0, text).otherwise(whole)).drop("base", "spans")
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = _let(blocks, lambda b: _let(_merged(found, lambda held: F.get(held, F.lit(0))["k"]), lambda x: told(b, x)))
+    return with_spans(docs, "attestra_base", "attestra_spans").withColumn("text", F.when(F.size(found) == 0, text).otherwise(whole)).drop("attestra_base", "attestra_spans")
