@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (as in tests) one is made here."""
+    """The folder that driver and executors share. Where the session names none, a local session (as in tests) gets one; on a cluster that is an error, since no other folder is known to be shared."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -22,3 +25,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, computed once and read again from a table in the shared folder, and the table's path. Unlike after a checkpoint the plan then knows the true size, which matters in long loops."""
+    path = f"{shared_folder(df.sparkSession)}/attestra-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
