@@ -10,30 +10,36 @@ holds more than two tiles.
 
 A pair of tiles reports a spanning forest of its links instead of all of them, which keeps every
 connection while a group of thousands of near copies costs thousands of edges, not millions. The
-work grows with the square of the number of distinct fingerprints, at a small constant; the tile
-directory that the driver plans with has 289 rows at most whatever the input.
+comparisons grow with the square of the number of distinct fingerprints, at a small constant. So does
+the shuffle beyond ``TILE`` fingerprints a cell, since a tile goes to each of its partners: n distinct
+ones are sent about 0.4 n / TILE times. Tile pairs are planned by Spark from the number of tiles of
+each of the 289 cells, which is all that is broadcast.
 
 Defined results: null and empty texts have no shingle and fingerprint 0, which links like any other;
 a text of fewer words than a shingle is one shingle; equal texts share fingerprint and component;
-rows without an id keep a fingerprint but name no component; an empty table gives an empty result.
+rows without an id keep a fingerprint but name no component; repeated rows give equal rows; ties can't
+arise; a text is hashed as a whole, in memory of about ten times its size; an empty table gives an
+empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .store import checkpointed
+from .components import components, join_unique
+from .store import written
 from .text import chunks
 
 WORDS = 4
 SEED = 42
 RADIUS = 4
-TILE = 8192
+TILE = 32768
 _STEP = 256  # rows of one block of comparisons
 
 
@@ -68,9 +74,8 @@ def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the long columns ``keep`` and fp (its 64 bits as a signed long) for every row."""
-    names = ["doc_id", *keep]
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id and fp (its 64 bits as a signed long) for every row."""
 
     def run(batches):
         for batch in batches:
@@ -78,9 +83,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()
                 found = [_shingle_hashes((t or "").encode(), words) for t in part.column("text").to_pylist()]
                 h = np.array([x for one in found for x in one], np.uint64)
                 fp = _majority(h, np.array([len(x) for x in found], np.int64))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 class _Forest:
@@ -159,61 +164,63 @@ def links_of_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarr
     return forest.found()
 
 
+def tile_pairs(members: DataFrame, neighbours: Callable[[Column], Column], tile: int) -> DataFrame:
+    """The members (item, cell) in tiles, each tile once for every pair of tiles it takes part in: c1, p1, c2, p2, first, items.
+
+    ``neighbours`` gives the cells that a cell has to be compared with, itself included; it has to be symmetric.
+    """
+    directory = members.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))  # as many rows as cells
+    dealt = members.join(F.broadcast(directory), "cell").select("item", "cell", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part"))
+    tiles = dealt.groupBy("cell", "part").agg(F.collect_list("item").alias("items"))  # about ``tile`` entries
+    partner = tiles.withColumn("other", F.explode(neighbours(F.col("cell")))).join(F.broadcast(directory.withColumnRenamed("cell", "other")), "other")
+    spread = partner.withColumn("opart", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mine, theirs = F.struct(F.col("cell").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("opart").alias("p"))
+    return spread.select(F.least(mine, theirs).alias("lo"), F.greatest(mine, theirs).alias("hi"), (mine <= theirs).alias("first"), "items").select(
+        F.col("lo.c").alias("c1"), F.col("lo.p").alias("p1"), F.col("hi.c").alias("c2"), F.col("hi.p").alias("p2"), "first", "items"
+    )
+
+
+def sides(group: pa.Table) -> tuple[pa.Array | None, pa.Array | None]:
+    """The items of the two tiles of a pair; the second is None for a tile with itself, both are if one tile is empty."""
+    held = dict(zip(group["first"].to_pylist(), (x.values for x in group["items"]), strict=True))
+    own = group["c1"][0] == group["c2"][0] and group["p1"][0] == group["p2"][0]
+    return (held.get(True), held.get(False)) if own or len(held) == 2 else (None, None)
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints ``fp`` that span every connection within ``radius`` bits."""
     count = lambda s: F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(0xFFFF)))
-    cells = distinct.select("fp", (count(48) * 17 + count(32)).cast("int").alias("cell"))
-    directory = {r["cell"]: -(-r["n"] // tile) for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # 289 rows at most
-    if not directory:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    parts = F.create_map(*[F.lit(x) for kv in directory.items() for x in kv])
-    tiles = (
-        cells.select("fp", "cell", F.pmod(F.xxhash64("fp"), parts[F.col("cell")]).cast("int").alias("part"))
-        .groupBy("cell", "part")
-        .agg(F.collect_list("fp").alias("fps"))  # about ``tile`` entries
-    )
-    near = [(dp, dq) for dp in range(-radius, radius + 1) for dq in range(-radius, radius + 1) if abs(dp) + abs(dq) <= radius]
-    partners = {c: [o for dp, dq in near if 0 <= c // 17 + dp <= 16 and 0 <= c % 17 + dq <= 16 and (o := (c // 17 + dp) * 17 + c % 17 + dq) in directory] for c in directory}
-    wide = tiles.sparkSession.createDataFrame([(c, o, k) for c, found in partners.items() for o in found for k in range(directory[o])], "cell int, other int, opart int")
-    spread = tiles.join(F.broadcast(wide), "cell")
-    mine, theirs = F.struct(F.col("cell").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("opart").alias("p"))
-    units = spread.select(F.least(mine, theirs).alias("lo"), F.greatest(mine, theirs).alias("hi"), (mine <= theirs).alias("first"), "fps").select(
-        F.col("lo.c").alias("c1"), F.col("lo.p").alias("p1"), F.col("hi.c").alias("c2"), F.col("hi.p").alias("p2"), "first", "fps"
-    )
+    members = distinct.select(F.col("fp").alias("item"), (count(48) * 17 + count(32)).cast("int").alias("cell"))
+    steps = [(dp, dq) for dp in range(-radius, radius + 1) for dq in range(-radius, radius + 1) if abs(dp) + abs(dq) <= radius]
+
+    def near(cell: Column) -> Column:
+        p, q = F.floor(cell / 17).cast("int"), cell % 17
+        return F.array_compact(F.array(*[F.when((p + dp).between(0, 16) & (q + dq).between(0, 16), cell + dp * 17 + dq) for dp, dq in steps]))
+
+    units = tile_pairs(members, near, tile)
 
     def run(group: pa.Table) -> pa.Table:
-        side = {f: np.asarray(v, np.int64).view(np.uint64) for f, v in zip(group["first"].to_pylist(), (x.values.to_numpy() for x in group["fps"]), strict=True)}
-        own = group["c1"][0] == group["c2"][0] and group["p1"][0] == group["p2"][0]
-        if own:
-            found = links_of_tiles(side[True], None, radius)
-        elif len(side) == 2:
-            found = links_of_tiles(side[True], side[False], radius)
-        else:
-            found = np.zeros((0, 2), np.uint64)
+        a, b = sides(group)
+        bits = lambda x: x.to_numpy(zero_copy_only=False).view(np.uint64)
+        found = np.zeros((0, 2), np.uint64) if a is None else links_of_tiles(bits(a), None if b is None else bits(b), radius)
         return pa.table({"a": np.ascontiguousarray(found[:, 0]).view(np.int64), "b": np.ascontiguousarray(found[:, 1]).view(np.int64)})
 
     return units.groupBy("c1", "p1", "c2", "p2").applyInArrow(run, "a long, b long")
 
 
-def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
-    """``distinct`` with root, the fingerprint that stands for the component of ``fp``."""
-    roots = components(links(distinct, radius))
-    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
-
-
-def first_rows(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id and row of one row of each component: the one with the smallest doc_id, nulls last, then the smallest row."""
-    prints = fingerprints(docs, words, ("row",))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min(order).alias("first")))
-    return _rooted(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row")
+def _kept(df: DataFrame) -> DataFrame:
+    return written(df)[0]
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row."""
-    prints = checkpointed(fingerprints(docs, words))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    rooted = _rooted(distinct, radius)
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = checkpointed(rooted.join(smallest, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints = _kept(fingerprints(docs, words))
+    distinct = _kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    # Only linked fingerprints have a root; all others name their own smallest id.
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    linked = distinct.join(roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()), "fp").select("fp", "root", "first_id")
+    members = _kept(linked)
+    smallest = _kept(members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    renamed = join_unique(members.select("fp", "root"), smallest.select("root", "component_id"), "root", smallest.select("root", "n"))
+    named = _kept(distinct.join(renamed.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
+    return join_unique(prints, named, "fp", distinct.select("fp", "n")).select("doc_id", "fp", "component_id")

@@ -1,5 +1,5 @@
-"""The library's shared folder for checkpoints, under the name that the operators here use."""
+"""The library's shared folder for intermediate results, under the names that the operators here use."""
 
-from attestra.plans.store import checkpointed, shared_folder
+from attestra.plans.store import checkpointed, removed, shared_folder, written
 
-__all__ = ["checkpointed", "shared_folder"]
+__all__ = ["checkpointed", "removed", "shared_folder", "written"]
