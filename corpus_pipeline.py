@@ -1,71 +1,5 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, personal data, packing.
+"""The corpus pipeline, for those who call it from here; its stages are in attestra/llm/pipeline.py."""
 
-Each stage works on all rows that its predecessor kept and returns the columns of documents (the
-last one returns pieces in sequences). Between stages ``run`` writes Parquet in the shared folder and
-reads it again, so a lost executor repeats a task, not the pipeline.
-"""
+from attestra.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from attestra.llm import packing, pii, quality_rules, simhash, toxicity
-from attestra.llm.store import shared_folder
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and the classifier. It is fitted on the labelled rows of the documents table."""
-    model = quality_rules.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.filtered(docs, model).select(*COLUMNS)
-
-
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
-    model = toxicity.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.filtered(docs, model).select(*COLUMNS)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest id, null ids last. An id may stand on rows of several groups; each group keeps its row."""
-    rows = docs.withColumn("row", F.xxhash64(*COLUMNS))  # tells apart rows of one id, or of none
-    first = simhash.first_rows(rows).select("row")
-    return rows.join(first, "row", "left_semi").dropDuplicates(["row", "doc_id"]).select(*COLUMNS)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and offset."""
-    found = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(found, docs.count())
-
-
-STAGES = [
-    ("quality_rules", quality_stage),
-    ("toxicity", toxicity_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("pii", pii_stage),
-    ("packing", packing_stage),
-]
-
-#: SQL can express neither the classifiers nor the packing rule.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
