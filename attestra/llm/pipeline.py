@@ -38,9 +38,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies (five-word shingles, similarity 0.8): the one with the smallest id, nulls last. An id may stand on rows of several classes; each class keeps its row."""
-    columns = list(COLUMNS)
-    rows = docs.select(*COLUMNS).dropDuplicates(columns)
-    return rows.withColumns(dict(zip(("r1", "r2"), resemblance.hashes(columns), strict=True))).join(resemblance.first_rows(rows, columns), ["r1", "r2"], "left_semi").select(*COLUMNS)
+    return resemblance.distinct_rows(docs.select(*COLUMNS), list(COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,13 +222,25 @@ def _groups(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def first_rows(docs: DataFrame, row: list[str], words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, tile: int = TILE, load: int = LOAD) -> DataFrame:
-    """r1, r2 (see ``hashes``) of one row of each class of near-duplicates: the one with the smallest doc_id, nulls last, then the smallest hashes."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
-    distinct = _kept(nodes(docs, row, words).groupBy("node", "n").agg(F.min(order).alias("first")))
+    """r1, r2 (see ``hashes``) of one row of each class of near-duplicates: the one with the smallest doc_id, nulls last, then the smallest hashes; and whether that row is there more than once."""
+    each = nodes(docs, row, words).groupBy("node", "n", "doc_id", "r1", "r2").agg((F.count("*") > 1).alias("repeated"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "repeated")
+    distinct = _kept(each.groupBy("node", "n").agg(F.min(order).alias("first")))
     roots = components(candidates(distinct, similarity, radius, tile))
     roots = _kept(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
-    named = _kept(distinct.join(roots, "node").select("node", "root", "n", "first.r1", "first.r2"))
-    texts = named.join(docs.select(*hashes(row), "text"), ["r1", "r2"]).groupBy("node", "root", "n").agg(F.min("text").alias("text"))
-    classes = components(confirmed(_kept(texts), words, similarity, radius, load)).select("node", F.col("root").alias("class"))
+    named = _kept(distinct.join(roots, "node").select("node", "root", "n", "first.r1", "first.r2", "first.repeated"))
+    texts = named.join(docs.select(*hashes(row), "text"), ["r1", "r2"]).select("node", "root", "n", "text", "repeated")
+    again = texts.where("repeated").groupBy("node", "root", "n").agg(F.min("text").alias("text"))
+    once = texts.where("not repeated").drop("repeated").unionByName(again.select("node", "root", "n", "text"))
+    classes = components(confirmed(_kept(once), words, similarity, radius, load)).select("node", F.col("root").alias("class"))
     told = distinct.join(classes, "node", "left").select(F.coalesce("class", "node").alias("class"), "first")
-    return told.groupBy("class").agg(F.min("first").alias("first")).select("first.r1", "first.r2")
+    return _kept(told.groupBy("class").agg(F.min("first").alias("first")).select("first.r1", "first.r2", "first.repeated"))
+
+
+def distinct_rows(docs: DataFrame, row: list[str], **parameters) -> DataFrame:
+    """One row of each class of near-duplicates, with all columns; ``row`` names those that tell rows apart."""
+    tagged = docs.withColumns(dict(zip(("attestra_r1", "attestra_r2"), hashes(row), strict=True)))
+    keys = first_rows(docs, row, **parameters).withColumnsRenamed({"r1": "attestra_r1", "r2": "attestra_r2", "repeated": "attestra_repeated"})
+    kept = tagged.join(keys, ["attestra_r1", "attestra_r2"])
+    again = kept.where("attestra_repeated").dropDuplicates(["attestra_r1", "attestra_r2"])
+    return kept.where("not attestra_repeated").unionByName(again).select(*docs.columns)

@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
-# Two primes below 2**31 and a base for each: a polynomial modulo a power of two would collide on patterned texts whatever its base.
-_PRIMES = ((2**31 - 1, 0x4F1BBCDC), (2**31 - 19, 0x2545F491))
+CHUNK_BYTES = 1 << 18
+# A prime and two bases: a polynomial modulo a power of two would collide on patterned texts whatever its base.
+_PRIME = 2**31 - 1
+_BASES = (0x4F1BBCDC, 0x2545F491)
 _TABLE = 0x20000  # code points beyond it count as letters without case
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -64,13 +65,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(prime: int, base: int, n: int) -> np.ndarray:
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` (below 2**62) modulo the prime, or the prime itself for 0, without a division."""
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     """The first powers (``n`` at least) of the base modulo the prime, by doubling."""
-    known = _POWERS.get((prime, base), np.ones(1, np.uint32))
+    known = _POWERS.get(base, np.ones(1, np.uint32))
     while len(known) < n:
-        step = np.uint64(pow(base, len(known), prime))
-        known = np.concatenate([known, (known.astype(np.uint64) * step % np.uint64(prime)).astype(np.uint32)])
-    _POWERS[prime, base] = known
+        step = np.uint64(pow(base, len(known), _PRIME))
+        known = np.concatenate([known, (known.astype(np.uint64) * step % np.uint64(_PRIME)).astype(np.uint32)])
+    _POWERS[base] = known
     return known[:n]
 
 
@@ -131,13 +138,14 @@ class Chunk:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each span, from prefix sums of a polynomial modulo each prime: linear in the text. Different spans can share one; ``classes`` tells them apart."""
         if not self._sums:
-            for prime, base in _PRIMES:
-                terms = (self.cp.astype(np.uint64) + np.uint64(1)) * _powers(prime, base, len(self.cp)) % np.uint64(prime)
-                self._sums.append(np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64)))
+            shifted = self.cp.astype(np.uint64) + np.uint64(1)
+            for base in _BASES:
+                self._sums.append(np.append(np.uint64(0), np.cumsum(_reduced(shifted * _powers(base, len(self.cp))), dtype=np.uint64)))
         out = np.zeros(len(start), np.uint64)
-        for sums, (prime, base) in zip(self._sums, _PRIMES, strict=True):
-            back = _powers(prime, pow(base, -1, prime), len(self.cp) + 1)[start].astype(np.uint64)
-            out = out << np.uint64(32) | (sums[end] - sums[start]) % np.uint64(prime) * back % np.uint64(prime)
+        for sums, base in zip(self._sums, _BASES, strict=True):
+            back = _powers(pow(base, -1, _PRIME), len(self.cp) + 1)[start]
+            value = _reduced(_reduced(sums[end] - sums[start]) * back)
+            out = out << np.uint64(32) | np.where(value == np.uint64(_PRIME), np.uint64(0), value)
         return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def classes(self, start: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> np.ndarray:
