@@ -75,30 +75,29 @@ class Judge:
                     rows.append(("UNVERIFIABLE", 0.0, f"the model failed: {type(error).__name__}"))
             return pd.DataFrame(rows, columns=["verdict", "score", "rationale"])
 
-        return df.withColumn("attestra_j", ask.asNondeterministic()(claim, evidence)).withColumn("verdict", F.col("attestra_j.verdict")).withColumn("score", F.col("attestra_j.score")).drop("attestra_j")
+        return df.withColumn("attestra_j", ask.asNondeterministic()(claim, evidence)).withColumn("verdict", F.col("attestra_j.verdict")).withColumn("score", F.col("attestra_j.score")).withColumn("rationale", F.col("attestra_j.rationale")).drop("attestra_j")
 
 
 def controlled(verifier, df: DataFrame, claim: str, evidence: str) -> DataFrame:
-    """``df`` with verdict, score and leaky: entailed, but by nothing as well. The control is asked for entailed rows only, as a plan of its own."""
+    """``df`` with verdict, score, rationale and leaky: entailed, but by nothing as well. The control is asked for entailed rows only, as a plan of its own."""
     judged = verifier.judge(df, claim, evidence)
     if not verifier.can_leak:
         return judged.withColumn("leaky", F.lit(False))
     rest = judged.where("verdict <> 'ENTAILED'").withColumn("leaky", F.lit(False))
-    asked = judged.where("verdict = 'ENTAILED'").withColumnsRenamed({"verdict": "first_verdict", "score": "first_score"}).withColumn("attestra_nothing", F.lit(""))
+    asked = judged.where("verdict = 'ENTAILED'").withColumnsRenamed({c: f"attestra_{c}" for c in ("verdict", "score", "rationale")}).withColumn("attestra_nothing", F.lit(""))
     again = verifier.judge(asked, claim, "attestra_nothing").withColumn("leaky", F.col("verdict") == "ENTAILED")
-    return rest.unionByName(again.drop("verdict", "score", "attestra_nothing").withColumnsRenamed({"first_verdict": "verdict", "first_score": "score"}))
+    return rest.unionByName(again.drop("verdict", "score", "rationale", "attestra_nothing").withColumnsRenamed({f"attestra_{c}": c for c in ("verdict", "score", "rationale")}))
 
 
 def checks(t: ProvenanceTables, answers: DataFrame, verifier) -> DataFrame:
-    """trace_id, i, c, assertion_id, evidence_id, verdict, score, leaky: a row for each citation and readable piece of evidence; citations with none get one UNVERIFIABLE row."""
+    """trace_id, i, c, assertion_id, evidence_id, verdict, score, leaky, rationale, verifier, verifier_version: a row for each citation and readable piece of evidence; citations with none get one UNVERIFIABLE row."""
     cited = citations_of(answers).join(sentences_of(answers).select("trace_id", "i", F.col("text").alias("claim")), ["trace_id", "i"])
     readable = cited_links(t, cited).withColumn("evidence_text", evidence_text(F.col("availability"), F.col("content"), F.col("own_span"))).where("evidence_text is not null")
-    keep = ("trace_id", "i", "c", "assertion_id", "evidence_id", "verdict", "score", "leaky")
+    keep = ("trace_id", "i", "c", "assertion_id", "evidence_id", "verdict", "score", "leaky", "rationale")
     judged = controlled(verifier, readable.select("trace_id", "i", "c", "assertion_id", "evidence_id", "claim", "evidence_text"), "claim", "evidence_text").select(*keep)
     unread = cited.join(readable.select("trace_id", "i", "c").distinct(), ["trace_id", "i", "c"], "left_anti")
-    return judged.unionByName(
-        unread.select("trace_id", "i", "c", "assertion_id", F.lit(None).cast("string").alias("evidence_id"), F.lit("UNVERIFIABLE").alias("verdict"), F.lit(0.0).alias("score"), F.lit(False).alias("leaky"))
-    )
+    none = unread.select("trace_id", "i", "c", "assertion_id", F.lit(None).cast("string").alias("evidence_id"), F.lit("UNVERIFIABLE").alias("verdict"), F.lit(0.0).alias("score"), F.lit(False).alias("leaky"), F.lit("no evidence that can be read").alias("rationale"))
+    return judged.unionByName(none).withColumns({"verifier": F.lit(verifier.name), "verifier_version": F.lit(verifier.version)})
 
 
 def verified_sentences(answers: DataFrame, checked: DataFrame) -> DataFrame:
@@ -143,7 +142,7 @@ def propose(t: ProvenanceTables, verifier, ids: DataFrame | None = None, min_sco
     kind = F.when((F.col("verdict") == "ENTAILED") & (F.col("score") >= min_score) & ~F.col("leaky"), "SUPPORTS_UPGRADE").when(F.col("verdict") == "CONTRADICTED", "CONTRADICTION")
     return judged.withColumn("kind", kind).where("kind is not null").select(
         "kind", "assertion_id", F.col("subject_identity").alias("identity_id"), "evidence_id", F.lit("DERIVED_FROM").alias("current_relationship"), F.when(F.col("kind") == "SUPPORTS_UPGRADE", "SUPPORTS").otherwise("CONTRADICTS").alias("proposed_relationship"),
-        "verdict", "score", F.lit(verifier.name).alias("verifier"), F.lit(verifier.version).alias("verifier_version"), "statement",
+        "verdict", "score", "rationale", F.lit(verifier.name).alias("verifier"), F.lit(verifier.version).alias("verifier_version"), "statement",
     )
 
 

@@ -125,7 +125,7 @@ def impact(t: ProvenanceTables, evidence: DataFrame | None = None) -> DataFrame:
     known = direct
     if t.candidate_refs is not None:
         named = t.assertions.select("assertion_id", F.explode("source_candidate_ids").alias("subject_id"))
-        refs = wanted(t.candidate_refs.select("evidence_id", "subject_id")).distinct()
+        refs = wanted(t.reverse_refs().select("evidence_id", "subject_id")).distinct()
         via = checkpointed(named.join(refs, "subject_id").select("evidence_id", "assertion_id").distinct().join(direct, ["evidence_id", "assertion_id"], "left_anti"))
         found.append(via.withColumn("how", F.lit("via_candidate")))
         known = known.unionByName(via)
@@ -141,7 +141,7 @@ def impact(t: ProvenanceTables, evidence: DataFrame | None = None) -> DataFrame:
 
 def citing_candidates(t: ProvenanceTables) -> DataFrame:
     """evidence_id and the candidates that cite it, once each, in registry order."""
-    first = t.candidate_refs.groupBy("evidence_id", "subject_id").agg(F.min("ord").alias("ord"))
+    first = t.reverse_refs().groupBy("evidence_id", "subject_id").agg(F.min("ord").alias("ord"))
     return first.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("ord", "subject_id"))).alias("c")).select("evidence_id", F.col("c.subject_id").alias("candidates"))
 
 

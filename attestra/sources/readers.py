@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from attestra.plans.store import checkpointed
 from attestra.schemas import ASSERTIONS, AUDIT_RECORDS, AUDIT_REFS, CANDIDATE_REFS, EVIDENCE, MAX_DEPTH
 from attestra.tables import ProvenanceTables, deduplicated
 
@@ -21,18 +22,27 @@ class ConfigError(ValueError):
     """The configuration or an input file can't be used."""
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines of text (value, file, start, id) with line, the number within the file, and load_ord, the number over all files in order of their names. Only the number of lines of each split is ordered as a whole."""
+    lines = checkpointed(lines)
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("file", "start", "first", before(W.partitionBy("file").orderBy("start")).alias("in_file"), before(W.orderBy("file", "start")).alias("in_all"))
+    at = F.col("id") - F.col("first")
+    return lines.join(placed, ["file", "start"]).select("value", "file", (F.col("in_file") + at + 1).alias("line"), (F.col("in_all") + at).alias("load_ord"))
+
+
 def load_assertions(spark: SparkSession, path: str) -> DataFrame:
-    """Assertions from JSON lines. Blank lines are skipped; the first line that isn't a whole record is an error that names it; the last of several records of one id counts."""
+    """Assertions from JSON lines. Blank lines are skipped; the first line that isn't a whole record is an error that names file and line; the last of several records of one id counts."""
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     except Exception as error:
         raise ConfigError(f"{path}: {error}") from error
     schema = ASSERTIONS.replace(", load_ord bigint", ", _bad string")
-    # Files are read whole lines at a time; monotonically_increasing_id follows their order.
-    rows = lines.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("load_ord"), "value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    bad = rows.where(F.col("r._bad").isNotNull() | F.col("r.assertion_id").isNull() | F.col("r.status").isNull()).orderBy("load_ord").select("value").first()
+    rows = _numbered(lines).where(F.trim("value") != "").select("load_ord", "file", "line", "value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = rows.where(F.col("r._bad").isNotNull() | F.col("r.assertion_id").isNull() | F.col("r.status").isNull()).orderBy("load_ord").select("file", "line", "value").first()
     if bad is not None:
-        raise ConfigError(f"{path}: not an assertion: {bad['value'][:80]}")
+        raise ConfigError(f"{bad['file']}:{bad['line']}: not an assertion: {bad['value'][:80]}")
     return deduplicated(rows.select("r.*", "load_ord").drop("_bad"))
 
 

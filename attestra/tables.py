@@ -17,10 +17,16 @@ class ProvenanceTables:
     audit_records: DataFrame | None = None
     audit_refs: DataFrame | None = None
     max_depth: int = 16
+    hidden: DataFrame | None = None  # evidence_id, no longer in evidence
 
     def with_hidden(self, hidden: DataFrame) -> ProvenanceTables:
-        """The same tables without the evidence in ``hidden`` (evidence_id). References to it stay, so they dangle; what finds assertions from evidence no longer finds them from it."""
-        return replace(self, evidence=self.evidence.join(hidden.select("evidence_id").distinct(), "evidence_id", "left_anti"))
+        """The same tables without the evidence in ``hidden`` (evidence_id). References to it stay, so they dangle; the registry no longer tells which candidates cite it."""
+        gone = hidden.select("evidence_id").distinct()
+        return replace(self, evidence=self.evidence.join(gone, "evidence_id", "left_anti"), hidden=gone if self.hidden is None else self.hidden.unionByName(gone).distinct())
+
+    def reverse_refs(self) -> DataFrame | None:
+        """The candidates' references as the registry finds them from a piece of evidence: not from hidden ones."""
+        return self.candidate_refs if self.candidate_refs is None or self.hidden is None else self.candidate_refs.join(self.hidden, "evidence_id", "left_anti").select(*self.candidate_refs.columns)
 
 
 def deduplicated(assertions: DataFrame) -> DataFrame:
