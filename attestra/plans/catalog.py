@@ -13,10 +13,11 @@ from attestra.functions.verdict import with_verdict
 from attestra.operators import answers as A
 from attestra.operators import chain, correct, harness, links, prov, retrieve, verify, walks
 from attestra.operators.audit import decisions
-from attestra.plans.store import checkpointed
+from attestra.plans.store import checkpointed, written
 from attestra.plans.world import provenance, views
 from attestra.schemas import SENTENCES
-from attestra.tables import ProvenanceTables, deduplicated
+from attestra.sources.readers import load_assertions
+from attestra.tables import ProvenanceTables, deduplicated, reachable_assertions
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -139,7 +140,7 @@ def q_citing_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_explain(spark: SparkSession, d: str) -> DataFrame:
-    return chain.explain(audited(spark, d))
+    return chain.explain(audited(spark, d)).select("assertion_id", "grounded", F.md5("summary").alias("summary_md5"))
 
 
 def q_chain_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +185,7 @@ def q_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_lexical_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return with_verdict(claims_of(spark, d), "claim", "text").select("doc_id", "verdict", "score")
+    return with_verdict(claims_of(spark, d), "claim", "text").select("doc_id", "verdict", "score", "rationale")
 
 
 def q_verify_answer(spark: SparkSession, d: str) -> DataFrame:
@@ -202,13 +203,44 @@ def q_unsupported(spark: SparkSession, d: str) -> DataFrame:
     return found.select("trace_id", F.array_join(F.col("unsupported").cast("array<string>"), ",").alias("unsupported"), F.array_join(F.col("uncited").cast("array<string>"), ",").alias("uncited"))
 
 
-def q_supports_proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Proposals for assertions whose statement is the first sentence of one of their pieces of evidence, by the claims' formula."""
+def _proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals for assertions whose statement is the first sentence of their first piece of evidence, as it is, with "not" or with a number."""
     t = provenance(spark, d)
     said = t.evidence.select("evidence_id", F.get(X.sentences(F.coalesce("content", F.lit(""))), F.lit(0)).alias("said"))
-    cited = t.assertions.select("*", F.get("evidence_refs.evidence_id", F.lit(0)).alias("first_ev")).join(said, F.col("first_ev") == F.col("evidence_id"), "left")
-    changed = cited.withColumn("subject_identity", F.coalesce("said", "subject_identity")).select(*t.assertions.columns)
-    return verify.propose(ProvenanceTables(changed, t.evidence, t.candidate_refs), verify.Lexical()).select("kind", "assertion_id", "evidence_id", "proposed_relationship", "verdict", "score")
+    cited = t.assertions.withColumn("first_ev", F.get("evidence_refs.evidence_id", F.lit(0))).join(said, F.col("first_ev") == F.col("evidence_id"), "left")
+    known, turn = F.col("said").isNotNull(), F.col("load_ord") % 4
+    claim = F.when(turn == 1, F.concat("said", F.lit(" not"))).when(turn == 2, F.concat("said", F.lit(" 987654"))).otherwise(F.col("said"))
+    blank = lambda c: F.when(known, F.lit("")).otherwise(F.col(c))
+    changed = cited.withColumns({"subject_identity": F.when(known, claim).otherwise(F.col("subject_identity")), "predicate": blank("predicate"), "object_identity": blank("object_identity")}).select(*t.assertions.columns)
+    return verify.propose(ProvenanceTables(changed, t.evidence, t.candidate_refs), verify.Lexical())
+
+
+def q_supports_proposals(spark: SparkSession, d: str) -> DataFrame:
+    return _proposals(spark, d).select("kind", "assertion_id", "evidence_id", "proposed_relationship", "verdict", "score")
+
+
+def q_triggers(spark: SparkSession, d: str) -> DataFrame:
+    found = verify.trigger(_proposals(spark, d))
+    return found.select("identity_id", "payload.*", F.char_length("reason").alias("reason_chars"))
+
+
+def q_load_assertions(spark: SparkSession, d: str) -> DataFrame:
+    """The assertions written as JSON lines in the shared folder and loaded again."""
+    _, path = written(provenance(spark, d, keep=False).assertions.drop("load_ord").select(F.to_json(F.struct("*")).alias("value")), "text")
+    return load_assertions(spark, path).select("assertion_id", "subject_identity", "status", "superseded_by")
+
+
+def q_reachable(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan from every third customer can see."""
+    entities = _read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("identity_id"))
+    return reachable_assertions(entities, provenance(spark, d, keep=False).assertions).select("assertion_id", "subject_identity")
+
+
+def q_hidden_impact(spark: SparkSession, d: str) -> DataFrame:
+    """Impact after every third piece of evidence (by number, also one that the registry never held) is hidden."""
+    t = provenance(spark, d)
+    named = t.candidate_refs.select("evidence_id").distinct()
+    return walks.impact(t.with_hidden(named.where(F.replace("evidence_id", F.lit("ev_"), F.lit("")).cast("long") % 3 == 0)))
 
 
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +264,7 @@ def q_graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_graph_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds: of every 50th customer the first orders by key, scored by their place."""
+    """Seeds: each customer's first ten orders by key (a ranking of ten), scored by their place."""
     seeds = _seeds(spark, d)
     return retrieve.graph(seeds, walks.neighbours(provenance(spark, d)), 10)
 

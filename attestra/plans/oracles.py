@@ -54,6 +54,16 @@ n{i} AS (SELECT root, ref, row_number() OVER (PARTITION BY root ORDER BY ppos, o
     for i in (1, 2, 3)
 )
 _METHOD = "CASE WHEN {ref} IN (SELECT assertion_id FROM input_rows) THEN 'sum' END"
+_BFS += (
+    ",\nnodes AS (SELECT root AS root_id, 'assertion' AS kind, ref, 0 AS depth, NULL AS parent_ref, " + _METHOD.format(ref="ref") + " AS method, true AS resolved, 'root' AS via FROM n0"
+    + "".join(f" UNION ALL SELECT n.root, 'candidate', c.candidate_id, {i + 1}, n.ref, NULL, true, 'source_candidate' FROM n{i} n JOIN own_candidates c ON c.assertion_id = n.ref" for i in range(4))
+    + "".join(f" UNION ALL SELECT root, 'assertion', ref, {i}, parent, {_METHOD.format(ref='ref')}, ref IN (SELECT assertion_id FROM assertion_rows), 'derivation' FROM f{i}" for i in (1, 2, 3))
+    + "".join(f" UNION ALL SELECT root, kind, ref, {i}, parent, NULL, kind <> 'evidence' OR ref IN (SELECT evidence_id FROM evidence_rows), 'derivation' FROM a{i} WHERE kind <> 'assertion'" for i in (1, 2, 3))
+    + "),\nlineage_gaps AS (" + " UNION ALL ".join(
+        f"SELECT root AS root_id, 'LINEAGE_CYCLE' AS kind, ref AS subject_id, parent AS met_at FROM c{i} UNION ALL SELECT root, 'UNRESOLVED_LINEAGE_INPUT', ref, parent FROM f{i} WHERE ref NOT IN (SELECT assertion_id FROM assertion_rows)"
+        f" UNION ALL SELECT root, 'UNRESOLVED_LINEAGE_INPUT', ref, parent FROM a{i} WHERE kind = 'evidence' AND ref NOT IN (SELECT evidence_id FROM evidence_rows)" for i in (1, 2, 3))
+    + ")"
+)
 _ANSWERS = """,
 n_orders AS (SELECT count(*) AS n FROM orders),
 lines AS (
@@ -68,6 +78,46 @@ _TOKENS = (
     + r", 'n''t', ' not'), '[a-z][a-z''-]*|[0-9]+(?:\.[0-9]+)?%?'), lambda x: coalesce(map_extract_value(MAP {" + _NUMBERS + "}, x), x))"
 )
 _STEM = "CASE " + " ".join(f"WHEN length({{w}}) > {len(s) + 3} AND {{w}} LIKE '%{s}' THEN {{w}}[:-{len(s) + 1}]" for s in X.SUFFIXES) + " ELSE {w} END"
+_STEMS = "list_transform({l}, lambda w: " + _STEM.format(w="w") + ")"
+_QUOTED = lambda words: ", ".join(f"'{w}'" for w in words)
+_BREAKS = {"verifier": r"'([.!?;])\s+'", "generator": r"'([.!?])\s+'"}
+
+
+def _split(text: str, breaks: str = "verifier") -> str:
+    return f"string_split(regexp_replace(regexp_replace({text}, {_BREAKS[breaks]}, '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))"
+
+
+def _verdicts(pairs: str) -> str:
+    """Common table expressions from pairs (claim, evidence_text and any keys) to judged (the same with verdict, score and rationale)."""
+    words = lambda text: _TOKENS.replace("lower(text)", f"lower({text})")
+    number = r"'^[0-9]+(?:\.[0-9]+)?%?$'"
+    opposite = "MAP {" + ", ".join(f"'{x}': '{y}'" for pair in X.OPPOSITES for x, y in (pair, pair[::-1])) + "}"
+    prefixed = " OR ".join(f"list_contains(fresh, '{p}' || w) OR (starts_with(w, '{p}') AND length(w) > {len(p) + 3} AND list_contains(fresh, substring(w, {len(p) + 1})))" for p in X.NEGATING_PREFIXES)
+    no = f"[{_QUOTED(X.NEGATIONS)}]"
+    return f""",
+pairs AS ({pairs}),
+v1 AS (SELECT *, {words("coalesce(claim, '')")} AS c, list_filter(list_transform({_split("coalesce(evidence_text, '')")}, lambda s: {words("s")}), lambda s: len(s) > 0) AS sents FROM pairs),
+v2 AS (SELECT *, {_STEMS.format(l=f"list_filter(c, lambda w: w NOT IN ({_QUOTED((*X.STOPWORDS, *X.NEGATIONS))}))")} AS seq FROM v1),
+v3 AS (SELECT *, list_filter(seq, lambda w, i: list_position(seq, w) = i) AS content FROM v2),
+v4 AS (SELECT *, list_transform(sents, lambda s: len(list_intersect(content, {_STEMS.format(l="s")}))) AS hits FROM v3),
+v5 AS (SELECT *, sents[list_position(hits, list_max(hits))] AS ev, list_max(hits) / nullif(len(content), 0) AS recall FROM v4),
+v6 AS (SELECT *, {_STEMS.format(l="ev")} AS est, list_filter(c, lambda w: regexp_matches(w, {number})) AS nc, list_filter(ev, lambda w: regexp_matches(w, {number})) AS ne,
+              list_filter(c, lambda w: NOT list_contains(ev, w)) AS alone, list_filter(ev, lambda w: NOT list_contains(c, w)) AS fresh FROM v5),
+v7 AS (SELECT *, len(list_filter(nc, lambda w: NOT list_contains(ne, w))) > 0 AS missing, recall >= 0.6::DOUBLE AS full_,
+              list_has_any(c, {no}) <> list_has_any(ev, {no})
+              OR len(list_filter(c, lambda w: coalesce(list_contains(ev, coalesce(map_extract_value({opposite}, w), map_extract_value({opposite}, {_STEM.format(w="w")}))) OR list_contains(est, coalesce(map_extract_value({opposite}, w), map_extract_value({opposite}, {_STEM.format(w="w")}))), false) AND NOT list_contains(ev, w))) > 0
+              OR len(list_filter(alone, lambda w: {prefixed})) > 0 AS clash,
+              list_transform(content, lambda w: coalesce(list_position(est, w), 0)) AS place FROM v6),
+v8 AS (SELECT *, coalesce(list_sum(list_transform(generate_series(1, len(place) - 2), lambda i: CASE WHEN place[i] = 0 OR place[i + 1] = 0 OR place[i + 2] = 0 THEN 0 WHEN place[i] < place[i + 1] AND place[i + 1] < place[i + 2] THEN -1
+              WHEN place[i] > place[i + 1] AND place[i + 1] > place[i + 2] THEN 1 ELSE 0 END)), 0) > 0 AS turned FROM v7),
+v9 AS (SELECT *, CASE WHEN len(content) = 0 THEN 'UNVERIFIABLE' WHEN ev IS NULL THEN 'NOT_ENTAILED' WHEN recall >= 0.6::DOUBLE * 0.5::DOUBLE AND missing AND len(ne) > 0 THEN 'CONTRADICTED' WHEN full_ AND clash THEN 'CONTRADICTED'
+              WHEN full_ AND turned THEN 'NOT_ENTAILED' WHEN full_ AND NOT missing THEN 'ENTAILED' ELSE 'NOT_ENTAILED' END AS verdict FROM v8),
+judged AS (SELECT *, CASE WHEN len(content) = 0 OR ev IS NULL THEN 0.0::DOUBLE ELSE round(recall, 4) END AS score,
+              CASE WHEN len(content) = 0 THEN 'the claim says nothing that can be checked' WHEN ev IS NULL THEN 'there is no evidence text' WHEN verdict = 'CONTRADICTED' AND NOT (full_ AND clash) THEN 'the numbers differ' WHEN verdict = 'CONTRADICTED' THEN 'negated or opposite'
+                   WHEN full_ AND turned THEN 'the words stand in another order' WHEN verdict = 'ENTAILED' THEN 'the evidence has the claim''s words' WHEN full_ THEN 'a number is missing' ELSE 'too few of the claim''s words' END AS rationale FROM v9)"""
+
+
+_READABLE = "CASE WHEN availability = 'PRESENT' THEN coalesce(nullif(content, ''), nullif(span_quote, '')) END"
 _SEEDS = ", seeds AS (SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS query_id, concat('as_o', o_orderkey) AS assertion_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 10)"
 _NEIGHBOURS = """,
 one AS (SELECT assertion_id AS a, ref AS b FROM input_rows WHERE kind = 'assertion' UNION ALL SELECT assertion_id, superseded_by FROM assertion_rows WHERE superseded_by <> ''),
@@ -99,6 +149,57 @@ gaps AS (""" + " UNION ALL ".join([
 ]) + ")"
 
 
+_CHECKED = _LINKS + _ANSWERS + f""",
+spoken AS (SELECT c.trace_id, c.i, c.target, l.evidence_id, {_READABLE} AS evidence_text FROM cites c JOIN ground g ON g.assertion_id = c.target AND g.grounded JOIN links l ON l.assertion_id = c.target AND l.relationship IN ('SUPPORTS', 'DERIVED_FROM') AND (NOT c.narrow OR l.evidence_id = 'ev_1'))""" + _verdicts(
+    "SELECT s.*, said AS claim FROM spoken s JOIN lines USING (trace_id, i) WHERE evidence_text IS NOT NULL"
+) + """,
+checked AS (SELECT trace_id, CAST(i AS INT) AS i, 0 AS c, target AS assertion_id, evidence_id, verdict, score, false AS leaky, rationale FROM judged
+            UNION ALL SELECT trace_id, CAST(i AS INT), 0, target, NULL, 'UNVERIFIABLE', 0.0::DOUBLE, false, 'no evidence that can be read' FROM cites c WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.trace_id = c.trace_id AND j.i = c.i)),
+per_line AS (SELECT l.trace_id, CAST(l.i AS INT) AS i, said, l.i % 5 <> 4 AS cited, coalesce(bool_or(verdict = 'CONTRADICTED'), false) AS contradicted, coalesce(bool_or(verdict = 'ENTAILED'), false) AND NOT coalesce(bool_or(verdict = 'CONTRADICTED'), false) AS supported
+             FROM lines l LEFT JOIN checked k ON k.trace_id = l.trace_id AND k.i = l.i GROUP BY 1, 2, 3, 4)"""
+_EVERYTHING = _GAPS + _WALK.format(depth=16) + ",\n" + _BFS.removeprefix("+ ") + """,
+paths AS (SELECT assertion_id, path, gap, gap_subject FROM walk WHERE nxt IS NULL)"""
+_MADE = """,
+made AS (SELECT concat('as_o', o_orderkey) AS assertion_id, concat('au_', o_orderkey) AS audit_id, CASE WHEN o_orderkey % 2 = 0 THEN 'supersession' ELSE 'unknown' END AS decision_kind, CASE WHEN o_orderkey % 5 = 0 THEN 'ACCEPT' ELSE 'MERGE' END AS final_kind,
+         o_orderkey % 4 <> 0 AS consulted, CASE WHEN o_orderkey % 7 = 0 THEN 'prior' WHEN o_orderkey % 11 = 0 THEN 'resulting' ELSE 'affected' END AS role FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 97 <> 0),
+all_gaps AS (SELECT assertion_id, kind, subject_id FROM gaps UNION ALL SELECT root_id, kind, subject_id FROM lineage_gaps UNION ALL SELECT assertion_id, gap, gap_subject FROM paths WHERE gap IS NOT NULL),
+audit_gaps AS (SELECT concat('as_o', o_orderkey) AS assertion_id, 'STORE_ERROR' AS kind FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 97 = 0 UNION ALL SELECT assertion_id, 'NO_CURATION_AUDIT' FROM assertion_rows WHERE coalesce(k % 3, 1) <> 0),
+seen_gaps AS (SELECT assertion_id, kind FROM all_gaps UNION ALL SELECT * FROM audit_gaps)"""
+
+
+def _triples() -> str:
+    """Every triple of every chain, as a UNION."""
+    name = lambda kind, local: f"concat('urn:attestra:{kind}:', url_encode({local}))"
+    rows: list[str] = []
+
+    def put(source: str, s: str, *each: tuple[str, str, str], where: str = "true") -> None:
+        rows.extend(f"SELECT assertion_id, {s} AS s, '{p}' AS p, CAST({o} AS VARCHAR) AS o, '{kind}' AS kind FROM {source} WHERE {where}" for p, o, kind in each)
+
+    me, ev = name("assertion", "assertion_id"), name("evidence", "evidence_id")
+    put("assertion_rows", me, ("@type", "'prov:Entity'", "text"), ("@type", "'att:Assertion'", "text"), ("att:subject", "subject_identity", "iri"), ("att:predicate", "predicate", "text"), ("att:objectValue", "object_value_json", "text"), ("att:status", "status", "text"), ("att:curationEpoch", "1", "int"), ("generatedAtTime", "'2024-01-01T00:00:00Z'", "text"))
+    for agent, of, subject, label, software, where in (("authority", "assertion_rows", me, "'curation'", False, "true"), ("actor", "facts", ev, "'extractor'", False, "true"), ("model", "facts", ev, "'reader@1'", True, "doc_id % 2 = 0")):
+        put(of, subject, ("wasAttributedTo", name(f"agent:{agent}", label), "iri"), where=where)
+        put(of, name(f"agent:{agent}", label), ("@type", "'prov:Agent'", "text"), ("label", label, "text"), *([("@type", "'prov:SoftwareAgent'", "text")] if software else []), where=where)
+    put("ground", me, ("att:grounded", "CASE WHEN grounded THEN 'true' ELSE 'false' END", "bool"))
+    put("all_gaps", me, ("att:gap", "concat(kind, ' @ ', subject_id)", "text"))
+    more = "CASE WHEN via_candidate IS NOT NULL THEN concat(',\"att:viaCandidate\":\"', via_candidate, '\"') ELSE '' END"
+    put("links", me, ("wasDerivedFrom", ev, "iri"), ("qualifiedDerivation", f"concat('{{\"@type\":\"prov:Derivation\",\"entity\":\"', {ev}, '\",\"att:relationship\":\"', relationship, '\"', {more}, '}}')", "json"))
+    put("links", ev, ("@type", "'prov:Entity'", "text"), ("@type", "'att:Evidence'", "text"))
+    put("links", ev, ("att:resolved", "'false'", "bool"), where="NOT resolved")
+    put("facts", ev, ("att:sourceType", "'document'", "text"), ("att:sourceLocator", "source_locator", "text"), ("att:availability", "availability", "text"), ("generatedAtTime", "'2024-01-01T00:00:00Z'", "text"), ("att:payloadHash", "concat('h', doc_id)", "text"))
+    put("facts", ev, ("att:spanStart", "s_start", "int"), ("att:spanEnd", "s_end", "int"), where="s_start IS NOT NULL")
+    target, parent = "concat('urn:attestra:', kind, ':', url_encode(ref))", name("assertion", "parent_ref")
+    put("below", parent, ("wasDerivedFrom", target, "iri"), ("@type", "'prov:Entity'", "text"))
+    put("below", target, ("@type", "'prov:Entity'", "text"), ("@type", "concat('att:', upper(kind[1]), kind[2:])", "text"))
+    put("below", target, ("att:resolved", "'false'", "bool"), where="NOT resolved")
+    put("below", target, ("att:derivationMethod", "method", "text"), where="method IS NOT NULL")
+    put("later", name("assertion", "nxt"), ("@type", "'prov:Entity'", "text"), ("@type", "'att:Assertion'", "text"), ("wasRevisionOf", name("assertion", "prev"), "iri"))
+    head = """, facts AS (SELECT l.assertion_id, l.evidence_id, e.doc_id, e.source_locator, l.availability, l.s_start, l.s_end FROM links l JOIN evidence_rows e ON e.evidence_id = l.evidence_id),
+        below AS (SELECT root_id AS assertion_id, kind, ref, parent_ref, method, resolved FROM nodes WHERE parent_ref IS NOT NULL),
+        later AS (SELECT assertion_id, path[j] AS prev, path[j + 1] AS nxt FROM (SELECT assertion_id, path, unnest(generate_series(1, len(path) - 1)) AS j FROM paths WHERE len(path) > 1))"""
+    return head + " SELECT DISTINCT * FROM (" + " UNION ALL ".join(rows) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "q_spans": oracle(_SPANNED + " SELECT evidence_id, locator, chunk_index, s_start AS span_start, s_end AS span_end, CASE WHEN s_start IS NOT NULL THEN own END AS typed, s_end - s_start AS span_length FROM ev"),
@@ -113,13 +214,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT assertion_id, 'NO_CURATION_AUDIT' FROM assertion_rows WHERE coalesce(k % 3, 1) <> 0"""),
         "q_successors": oracle("+" + _WALK.format(depth=16).lstrip(",\n") + " SELECT * FROM succ"),
         "q_successors_depth2": oracle("+" + _WALK.format(depth=2).lstrip(",\n") + " SELECT * FROM succ"),
-        "q_lineage": oracle(_BFS + " SELECT root AS root_id, 'assertion' AS kind, ref, 0 AS depth, NULL AS parent_ref, " + _METHOD.format(ref="ref") + " AS method, true AS resolved, 'root' AS via FROM n0"
-            + "".join(f" UNION ALL SELECT n.root, 'candidate', c.candidate_id, {i + 1}, n.ref, NULL, true, 'source_candidate' FROM n{i} n JOIN own_candidates c ON c.assertion_id = n.ref" for i in range(4))
-            + "".join(f" UNION ALL SELECT root, 'assertion', ref, {i}, parent, {_METHOD.format(ref='ref')}, ref IN (SELECT assertion_id FROM assertion_rows), 'derivation' FROM f{i}" for i in (1, 2, 3))
-            + "".join(f" UNION ALL SELECT root, kind, ref, {i}, parent, NULL, kind <> 'evidence' OR ref IN (SELECT evidence_id FROM evidence_rows), 'derivation' FROM a{i} WHERE kind <> 'assertion'" for i in (1, 2, 3))),
-        "q_lineage_gaps": oracle(_BFS + " " + " UNION ALL ".join(
-            f"SELECT root AS root_id, 'LINEAGE_CYCLE' AS kind, ref AS subject_id, parent AS met_at FROM c{i} UNION ALL SELECT root, 'UNRESOLVED_LINEAGE_INPUT', ref, parent FROM f{i} WHERE ref NOT IN (SELECT assertion_id FROM assertion_rows)"
-            f" UNION ALL SELECT root, 'UNRESOLVED_LINEAGE_INPUT', ref, parent FROM a{i} WHERE kind = 'evidence' AND ref NOT IN (SELECT evidence_id FROM evidence_rows)" for i in (1, 2, 3))),
+        "q_lineage": oracle(_BFS + " SELECT * FROM nodes"),
+        "q_lineage_gaps": oracle(_BFS + " SELECT * FROM lineage_gaps"),
         "q_impact": oracle("""+ direct AS (SELECT evidence_id, assertion_id FROM own_refs UNION SELECT ref, assertion_id FROM input_rows WHERE kind = 'evidence'),
             via AS (SELECT r.evidence_id, c.assertion_id FROM own_candidates c JOIN candidate_rows r ON r.subject_id = c.candidate_id EXCEPT SELECT * FROM direct),
             reach AS (SELECT * FROM direct UNION SELECT * FROM via UNION SELECT r.evidence_id, i.assertion_id FROM reach r JOIN input_rows i ON i.kind = 'assertion' AND i.ref = r.assertion_id)
@@ -174,6 +270,55 @@ def oracle_sql() -> dict[str, str]:
             firsts AS (SELECT assertion_id, t, min(ord) AS ord FROM texts WHERE t IS NOT NULL GROUP BY 1, 2), base AS (SELECT assertion_id, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS r FROM assertion_rows),
             more AS (SELECT f.assertion_id, string_agg(t, chr(10) ORDER BY ord) AS m FROM firsts f JOIN base b ON b.assertion_id = f.assertion_id AND f.t <> b.r GROUP BY 1)
             SELECT assertion_id, md5(CASE WHEN m IS NULL THEN r ELSE concat(r, chr(10), m) END) AS text_md5 FROM base LEFT JOIN more USING (assertion_id)"""),
+        "q_chain_payload": oracle(_EVERYTHING + _MADE + """,
+            c_links AS (SELECT assertion_id, count(*) AS n, count(*) FILTER (backs) AS present FROM links GROUP BY 1), c_made AS (SELECT assertion_id, count(*) AS n FROM made GROUP BY 1), c_nodes AS (SELECT root_id AS assertion_id, count(*) AS n FROM nodes GROUP BY 1),
+            c_gaps AS (SELECT assertion_id, count(*) AS n FROM seen_gaps GROUP BY 1)
+            SELECT a.assertion_id, CAST(coalesce(l.n, 0) AS INT) AS n_links, s.n_successors, CAST(coalesce(m.n, 0) AS INT) AS n_decisions, CAST(coalesce(x.n, 0) AS INT) AS n_lineage, CAST(coalesce(q.n, 0) AS INT) AS n_gaps, g.grounded, CAST(coalesce(l.present, 0) AS INT) AS n_present, s.current_assertion_id
+            FROM assertion_rows a JOIN ground g USING (assertion_id) JOIN succ s USING (assertion_id) LEFT JOIN c_links l USING (assertion_id) LEFT JOIN c_made m USING (assertion_id) LEFT JOIN c_nodes x USING (assertion_id) LEFT JOIN c_gaps q USING (assertion_id)"""),
+        "q_explain": oracle(_EVERYTHING + _MADE + """,
+            present AS (SELECT assertion_id, evidence_id FROM links WHERE backs GROUP BY 1, 2),
+            said AS (SELECT l.assertion_id, string_agg(concat('  - ', l.relationship, ' ', CASE WHEN l.s_start IS NOT NULL THEN concat(e2.locator, ' chars ', l.s_start, '-', l.s_end) ELSE e.source_locator END,
+                       CASE WHEN l.own AND coalesce(l.span_quote, '') <> '' THEN concat(' "', l.span_quote, '"') ELSE '' END, ' (actor extractor', CASE WHEN e.doc_id % 2 = 0 THEN ', model reader@1' ELSE '' END, coalesce(', via candidate ' || l.via_candidate, ''), ')'), chr(10) ORDER BY l.ord) AS t
+                     FROM links l JOIN present p ON p.assertion_id = l.assertion_id AND p.evidence_id = l.evidence_id JOIN evidence_rows e ON e.evidence_id = l.evidence_id JOIN ev e2 ON e2.evidence_id = l.evidence_id GROUP BY 1),
+            n_present AS (SELECT assertion_id, count(*) AS n FROM links WHERE backs GROUP BY 1), up AS (SELECT root_id AS assertion_id, count(*) AS n FROM nodes WHERE depth > 0 AND via = 'derivation' GROUP BY 1),
+            told AS (SELECT assertion_id, concat('Curated: ', decision_kind, ' decision ', final_kind, ' at 2024-01-02T03:04:05Z, audit ', audit_id, ' (this assertion: ', role, CASE WHEN consulted THEN ', adviser consulted' ELSE '' END, ').') AS t FROM made),
+            kinds AS (SELECT assertion_id, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS t FROM seen_gaps GROUP BY 1)
+            SELECT a.assertion_id, g.grounded, md5(concat_ws(chr(10), concat(subject_identity, ' ', predicate, ' ', object_value_json, ' [', status, ', epoch 1, authority curation]'), 'From candidate(s): ' || c.candidate_id, 'Backed by ' || n.n || ' present evidence record(s):', s.t,
+                   'Derived via ' || CASE WHEN a.assertion_id IN (SELECT assertion_id FROM derived) THEN 'sum' ELSE '?' END || ' from ' || u.n || ' upstream record(s).', t.t,
+                   CASE WHEN len(p.path) > 1 THEN concat('Superseded by ', array_to_string(p.path[2:], ' -> '), ' (current: ', p.path[-1], ').') END, 'Gaps: ' || q.t, CASE WHEN g.grounded THEN 'Grounded.' ELSE 'NOT grounded.' END)) AS summary_md5
+            FROM assertion_rows a JOIN ground g USING (assertion_id) JOIN paths p USING (assertion_id) LEFT JOIN own_candidates c USING (assertion_id) LEFT JOIN n_present n USING (assertion_id) LEFT JOIN said s USING (assertion_id) LEFT JOIN up u USING (assertion_id)
+            LEFT JOIN told t USING (assertion_id) LEFT JOIN kinds q USING (assertion_id)"""),
+        "q_lexical_verdict": oracle("+ first_ AS (SELECT doc_id, text, " + _split("text") + "[1] AS said FROM documents WHERE text <> '')" + _verdicts(
+            "SELECT f.doc_id, f.text AS evidence_text, CASE f.doc_id % 4 WHEN 0 THEN f.said WHEN 1 THEN f.said || ' not' WHEN 2 THEN f.said || ' 987654' ELSE coalesce(n.said, f.said) END AS claim FROM first_ f LEFT JOIN first_ n ON n.doc_id - 1 = f.doc_id") + " SELECT doc_id, verdict, score, rationale FROM judged"),
+        "q_verify_answer": oracle(_CHECKED + " SELECT *, 'lexical' AS verifier, '2' AS verifier_version FROM checked"),
+        "q_verify_score": oracle(_CHECKED + """ SELECT trace_id, count(*) AS sentences, count(*) FILTER (cited) AS cited_sentences, count(*) FILTER (supported) AS supported_sentences, count(*) FILTER (contradicted) AS contradicted_sentences, count(*) FILTER (cited) AS citations,
+            count(*) FILTER (supported) AS supporting_citations, CAST(0 AS BIGINT) AS leaky_checks, CASE WHEN bool_or(supported) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS minimality, coalesce(count(*) FILTER (supported) / nullif(count(*) FILTER (cited), 0), 0.0) AS faithfulness, coalesce(count(*) FILTER (supported) / nullif(count(*) FILTER (cited), 0), 0.0) AS citation_precision FROM per_line GROUP BY 1"""),
+        "q_unsupported": oracle(_CHECKED + " SELECT trace_id, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (cited AND NOT supported), '') AS unsupported, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (NOT cited), '') AS uncited FROM per_line GROUP BY 1"),
+        "q_correct_answer": oracle(_CHECKED + " SELECT trace_id, 1 AS round, said AS original_text, 'ABSTAIN' AS action, 'no evidence entails it' AS reason FROM per_line WHERE NOT cited OR NOT supported"),
+        "q_supports_proposals": oracle(_LINKS + ", about AS (SELECT a.*, " + _split("coalesce(e.content, '')") + "[1] AS said, e.evidence_id IS NOT NULL AS known FROM assertion_rows a LEFT JOIN own_refs o ON o.assertion_id = a.assertion_id AND o.ord = 0 LEFT JOIN ev e ON e.evidence_id = o.evidence_id)" + _verdicts(
+            f"""SELECT l.assertion_id, l.evidence_id, {_READABLE} AS evidence_text, CASE WHEN known THEN CASE k % 4 WHEN 1 THEN said || ' not' WHEN 2 THEN said || ' 987654' ELSE said END ELSE concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) END AS claim
+            FROM links l JOIN about a USING (assertion_id) WHERE relationship = 'DERIVED_FROM' AND {_READABLE} IS NOT NULL""") + """ SELECT CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS_UPGRADE' ELSE 'CONTRADICTION' END AS kind, assertion_id, evidence_id, CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS' ELSE 'CONTRADICTS' END AS proposed_relationship, verdict, score FROM judged WHERE verdict IN ('ENTAILED', 'CONTRADICTED')"""),
+        "q_triggers": oracle(_LINKS + ", about AS (SELECT a.*, " + _split("coalesce(e.content, '')") + "[1] AS said, e.evidence_id IS NOT NULL AS known FROM assertion_rows a LEFT JOIN own_refs o ON o.assertion_id = a.assertion_id AND o.ord = 0 LEFT JOIN ev e ON e.evidence_id = o.evidence_id)" + _verdicts(
+            f"""SELECT l.assertion_id, l.evidence_id, {_READABLE} AS evidence_text, CASE WHEN known THEN CASE k % 4 WHEN 1 THEN said || ' not' WHEN 2 THEN said || ' 987654' ELSE said END ELSE concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) END AS claim, known, subject_identity
+            FROM links l JOIN about a USING (assertion_id) WHERE relationship = 'DERIVED_FROM' AND {_READABLE} IS NOT NULL""") + """ SELECT CASE WHEN known THEN claim ELSE subject_identity END AS identity_id, assertion_id, evidence_id, CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS' ELSE 'CONTRADICTS' END AS proposed_relationship,
+            CAST(least(500, length(concat(CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS_UPGRADE' ELSE 'CONTRADICTION' END, ' ', assertion_id, ' by ', evidence_id, ' (lexical ', CAST(score AS VARCHAR), '): ', claim, CASE WHEN known THEN '  ' ELSE '' END))) AS INT) AS reason_chars FROM judged WHERE verdict IN ('ENTAILED', 'CONTRADICTED')"""),
+        "q_prov_triples": oracle(_EVERYTHING + ", all_gaps AS (SELECT assertion_id, kind, subject_id FROM gaps UNION ALL SELECT root_id, kind, subject_id FROM lineage_gaps UNION ALL SELECT assertion_id, gap, gap_subject FROM paths WHERE gap IS NOT NULL)" + _triples()),
+        "q_extractive": f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, {_WORDS.format(t='text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+            p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+            asked AS (SELECT CAST(item_id AS VARCHAR) AS query_id, ({_WORDS.format(t='text')})[1:8] AS words FROM benchmark), q AS (SELECT query_id, unnest(words) AS term FROM asked), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY 1, 2),
+            s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
+            top AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 5),
+            cut AS (SELECT query_id, rank, unnest({_split('text', 'generator')}) AS raw, generate_subscripts({_split('text', 'generator')}, 1) AS pos FROM top JOIN d USING (id)),
+            each AS (SELECT query_id, rank, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS said FROM cut),
+            best AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY query_id, rank ORDER BY len(list_intersect(words, {_WORDS.format(t='said')})) DESC, length(said), pos) AS nth FROM each e JOIN asked USING (query_id) WHERE said <> '') WHERE nth = 1),
+            once AS (SELECT *, row_number() OVER (PARTITION BY query_id, said ORDER BY rank) AS again FROM best), kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM once WHERE again = 1)
+            SELECT query_id AS trace_id, coalesce(string_agg(said, ' ' ORDER BY k) FILTER (k <= 3), '') AS text, CAST(count(*) FILTER (k <= 3) AS INT) AS n_sentences FROM asked LEFT JOIN kept USING (query_id) GROUP BY 1""",
+        "q_load_assertions": oracle("SELECT assertion_id, subject_identity, status, superseded_by FROM assertion_rows"),
+        "q_reachable": oracle("SELECT assertion_id, subject_identity FROM assertion_rows WHERE subject_identity IN (SELECT concat('customer/', c_custkey) FROM customer WHERE c_custkey % 3 = 0)"),
+        "q_hidden_impact": oracle("""+ direct AS (SELECT evidence_id, assertion_id FROM own_refs UNION SELECT ref, assertion_id FROM input_rows WHERE kind = 'evidence'),
+            via AS (SELECT r.evidence_id, c.assertion_id FROM own_candidates c JOIN candidate_rows r ON r.subject_id = c.candidate_id WHERE CAST(replace(r.evidence_id, 'ev_', '') AS BIGINT) % 3 <> 0 EXCEPT SELECT * FROM direct),
+            reach AS (SELECT * FROM direct UNION SELECT * FROM via UNION SELECT r.evidence_id, i.assertion_id FROM reach r JOIN input_rows i ON i.kind = 'assertion' AND i.ref = r.assertion_id)
+            SELECT *, 'direct' AS how FROM direct UNION ALL SELECT *, 'via_candidate' FROM via UNION ALL SELECT *, 'transitive' FROM (SELECT * FROM reach EXCEPT SELECT * FROM direct EXCEPT SELECT * FROM via)"""),
         "q_hidden_evidence": oracle(_LINKS + ", gold AS (SELECT CAST(item_id AS VARCHAR) AS case_id, concat('as_o', item_id * 37 % (SELECT count(*) FROM orders)) AS id FROM benchmark) SELECT DISTINCT case_id, evidence_id FROM gold JOIN links ON assertion_id = id WHERE resolved"),
         "q_render": oracle("SELECT assertion_id, subject_identity, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS statement FROM assertion_rows"),
         "q_iri": "SELECT doc_id, concat('urn:x:evidence:', url_encode(left(text, 40))) AS iri, CAST(least(length(text), 257) AS INT) AS n_bounded FROM documents",

@@ -27,11 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
+def written(df: DataFrame, form: str = "parquet") -> tuple[DataFrame, str]:
     """``df``, computed once and read again from a table in the shared folder, and the table's path. Unlike after a checkpoint the plan then knows the true size, which matters in long loops."""
     path = f"{shared_folder(df.sparkSession)}/attestra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    df.write.format(form).save(path)
+    return df.sparkSession.read.schema(df.schema).format(form).load(path), path
 
 
 def removed(spark: SparkSession, path: str) -> None:
