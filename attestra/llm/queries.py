@@ -79,6 +79,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 gives, without formatted_chars, which SQL can't tell."""
+    return op3_chat(spark, sf_dir).drop("formatted_chars")
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 gives without the classifier."""
+    return quality_rules.apply(table(spark, sf_dir, "documents"), None).select("doc_id", *quality_rules.COUNTS, "base_failed")
+
+
+def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 gives without places."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 gives without fingerprints."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -92,8 +112,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html": op9_html,
         "op10_fingerprints": op10_fingerprints,
         "pipeline": pipeline.run,
+        "chat_digests": chat_digests,
+        "rule_counts": rule_counts,
+        "base_pii_counts": base_pii_counts,
+        "edited_texts": edited_texts,
     }
 
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the parts of op3, op4, op7 and op10 that SQL can express."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = "list_sum(list_transform(string_split(reverse(d), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN CAST(x AS INT) * 2 - 9 ELSE CAST(x AS INT) * 2 END)) % 10 = 0"
+    count = lambda pattern, keep: f"(SELECT count(*) FROM (SELECT m, {digits} AS d FROM (SELECT unnest(regexp_extract_all(t, '{pattern}')) AS m)) WHERE {keep})"
+    return {
+        "chat_digests": """WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0), (1)) v(i))
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM turns GROUP BY 1""",
+        "rule_counts": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+            windows AS (SELECT doc_id, i, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
+            twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM windows),
+            covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY 1),
+            lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_WORD}) GROUP BY 1)
+            SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+                   len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)""",
+        "base_pii_counts": rf"""SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+            {count(r'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST(x AS INT) > 255)) = 0")} AS n_ip,
+            {count(r'[0-9]([\x20-]?[0-9])+', "length(d) BETWEEN 12 AND 19 AND " + luhn)} AS n_card, {count(r'\+[0-9][\x20().0-9-]+[0-9]', "length(d) BETWEEN 9 AND 15")} AS n_phone FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nxt FROM d)
+            SELECT doc_id, length(t) AS n_chars, sha256(concat(left(t, length(t) - CAST(floor(length(t) / 4) AS BIGINT)), left(nxt, CAST(floor(length(t) / 4) AS BIGINT)))) AS edited_sha256 FROM n""",
+    }
