@@ -25,12 +25,13 @@ def references(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
     named = rows.select("assertion_id", "evidence_refs", F.posexplode("source_candidate_ids").alias("cand_ord", "subject_id"))
     refs = t.candidate_refs.withColumnRenamed("ord", "ref_ord")
     fresh = ~F.coalesce(F.exists("evidence_refs", lambda r: (r["evidence_id"] == F.col("evidence_id")) & (r["relationship"] == F.col("relationship"))), F.lit(False))
-    found = named.join(refs, "subject_id").where(fresh)
+    # Both windows below, and what is counted by assertion later, go by this one shuffle.
+    found = named.join(refs, "subject_id").where(fresh).select("assertion_id", F.coalesce(F.size("evidence_refs"), F.lit(0)).alias("n_own"), "cand_ord", "ref_ord", "subject_id", "evidence_id", "relationship").repartition("assertion_id")
     place = W.partitionBy("assertion_id", "evidence_id", "relationship").orderBy("cand_ord", "ref_ord")
     once = found.withColumn("n", F.row_number().over(place)).where("n = 1")
     order = W.partitionBy("assertion_id").orderBy("cand_ord", "ref_ord", "evidence_id", "relationship")
     added = once.select(
-        "assertion_id", (F.coalesce(F.size("evidence_refs"), F.lit(0)) + F.row_number().over(order) - 1).alias("ord"), "evidence_id", "relationship", F.col("subject_id").alias("via_candidate")
+        "assertion_id", (F.col("n_own") + F.row_number().over(order) - 1).alias("ord"), "evidence_id", "relationship", F.col("subject_id").alias("via_candidate")
     )
     return own.unionByName(added)
 
@@ -57,7 +58,11 @@ def _gap(kind: str, subject: Column, detail: Column | str) -> Column:
 
 def link_gaps(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
     """assertion_id, phase, ord, sub, kind, subject_id, detail, blocking: all gaps but those of walks and of the audit, in the order (phase, ord, sub)."""
-    found = links(t, ids)
+    # What the gaps need of a piece of evidence is decided on its own row, so that no content goes through the join.
+    span = evidence_span(F.col("source_locator"), F.col("span"))
+    facts = t.evidence.select("evidence_id", "availability", "absence_reason", "error", "redacted_at", "redaction_reason", F.col("content").isNull().alias("bare"), span["typed"].alias("typed"), F.lit(True).alias("held"))
+    found = references(t, ids).join(facts, "evidence_id", "left").withColumn("resolved", F.coalesce("held", F.lit(False)))
+    found = found.withColumn("backs", F.coalesce((F.col("availability") == "PRESENT") & F.col("relationship").isin(*GROUNDING), F.lit(False)))
     own, about = F.col("assertion_id"), F.col("evidence_id")
     resolved, present = F.col("resolved"), F.col("resolved") & (F.col("availability") == "PRESENT")
     redacted = present & F.col("redacted_at").isNotNull()
@@ -66,9 +71,9 @@ def link_gaps(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
         F.when(resolved & (F.col("availability") == "ABSENT"), _gap("EVIDENCE_ABSENT", about, F.concat(F.lit("absent: "), F.coalesce("absence_reason", F.lit("unknown"))))),
         F.when(resolved & (F.col("availability") == "ERROR"), _gap("EVIDENCE_ERROR", about, F.concat(F.lit("error: "), F.coalesce("error", F.lit("unknown"))))),
         F.when(redacted, _gap("REDACTED_EVIDENCE", about, F.concat(F.lit("redacted at "), "redacted_at", F.coalesce(F.concat(F.lit(": "), F.nullif("redaction_reason", F.lit(""))), F.lit(""))))),
-        F.when(present & F.col("redacted_at").isNull() & F.col("content").isNull(), _gap("HASH_ONLY_EVIDENCE", about, "only the payload's hash is kept")),
-        F.when(present & F.col("span").isNull(), _gap("NO_SPAN", about, "no characters are named")),
-        F.when(present & ~F.col("span.typed"), _gap("UNTYPED_SPAN", about, "the characters come from the locator")),
+        F.when(present & F.col("redacted_at").isNull() & F.col("bare"), _gap("HASH_ONLY_EVIDENCE", about, "only the payload's hash is kept")),
+        F.when(present & F.col("typed").isNull(), _gap("NO_SPAN", about, "no characters are named")),
+        F.when(present & ~F.col("typed"), _gap("UNTYPED_SPAN", about, "the characters come from the locator")),
         F.when(resolved & (F.col("relationship") == "CONTRADICTS"), _gap("CONTRADICTING_EVIDENCE", about, F.concat(F.lit("it contradicts "), own))),
     )
     per_link = found.select("assertion_id", F.lit(2).alias("phase"), "ord", F.posexplode(F.transform(each, lambda g: g)).alias("sub", "gap")).where("gap is not null")

@@ -144,7 +144,7 @@ def q_explain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_chain_payload(spark: SparkSession, d: str) -> DataFrame:
-    found = chain.chains(audited(spark, d))
+    found = chain.chains(audited(spark, d), with_content=False)
     return found.select("assertion_id", F.size("links").alias("n_links"), F.size("successors").alias("n_successors"), F.size("decisions").alias("n_decisions"), F.size("lineage").alias("n_lineage"), F.size("gaps").alias("n_gaps"), "grounded", F.size("present_evidence_ids").alias("n_present"), "current_assertion_id")
 
 
