@@ -23,8 +23,8 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame)
 
     Hot keys, at most ``SHARE``, are broadcast; the rest is joined by shuffle.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
-    hot = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("n") * SHARE > F.col("total")).select(key))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") * SHARE > total).select(key))
     return rows.join(F.broadcast(table.join(hot, key)), key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
 
 
