@@ -9,7 +9,8 @@ smallest, and a new sequence is opened only if no gap is wide enough. Groups hol
 
 Defined results: null and empty texts are the end id alone; equal gaps fill the oldest open
 sequence; equal lengths go in order of doc_id and piece; repeated rows are packed as often as they
-occur; an empty table gives an empty result; columns other than doc_id and text are not read.
+occur; a text is encoded as a whole, in memory of about thirty times its size; an empty table gives an
+empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +120,9 @@ def pack(found: DataFrame, n_docs: int, length: int = LENGTH) -> DataFrame:
     names = found.columns
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        sequence, offset = place(group["length"].to_numpy(), length)
+        order = pc.sort_indices(group.select(["length", "doc_id", "piece"]), [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
+        sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        sequence[order], offset[order] = place(group["length"].to_numpy()[order], length)  # the rows stay where they are, since they may hold all ids
         base = group["attestra_group"][0].as_py() << 40
         return group.select(names).append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
 
