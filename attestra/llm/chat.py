@@ -13,7 +13,7 @@ covers the assistant texts of a window's own turns only, so a repeated turn is n
 
 Defined results: null texts and roles are empty ones; turns are ordered by turn, role and text, null
 turns first; repeated rows are turns of their own; rows with a null conv_id form one conversation;
-an empty table gives an empty result; other columns are not read.
+a very long text stays one turn; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,8 +16,10 @@ count as its neighbours, and an open block without any other decided neighbour i
 Containers are recognised by their tag, role and the words of their class and id.
 
 Defined results: a null or empty page has the empty text; unclosed, misnested and cut-off tags never
-fail, an unclosed container ends with the element around it; equal pages give equal texts; an empty
-table gives an empty result; columns other than page_id, url and html are not read.
+fail, an unclosed container ends with the element around it; equal pages (repeated rows too) give equal
+texts; neighbours at equal distance with different labels: see above; a very long page is parsed as a
+whole, in time linear in its length but for its depth; an empty table gives an empty result; columns
+other than page_id, url and html are not read.
 """
 
 from __future__ import annotations

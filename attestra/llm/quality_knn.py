@@ -11,8 +11,9 @@ its size is fixed by the parameters.
 
 Defined results: null and empty texts have no features and score as the share of label 1 in the
 sample; equal texts score alike; a tie for the last neighbour is cut by the order of doc_id in the
-sample; without labelled rows every score is 0.5; an empty table gives an empty result; other
-columns of the input are not read.
+sample; repeated rows get equal scores; without labelled rows every score is 0.5; a very long text is
+worked on as a whole, in memory of about a hundred bytes a character; an empty table gives an empty
+result; other columns of the input are not read.
 """
 
 from __future__ import annotations

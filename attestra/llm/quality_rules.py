@@ -8,8 +8,9 @@ Documents are scored in Arrow batches against the fixed ``THRESHOLD``.
 
 Defined results: a null or empty text has no words, zero counts and fails the rules (fewer than
 ``MIN_WORDS`` words); repeated rows get equal rows; ties at the threshold are kept; without labelled
-rows of both kinds the probability is 1 for every document, so the rules alone decide; an empty
-table gives an empty result; other columns of the input are not read.
+rows of both kinds the probability is 1 for every document, so the rules alone decide; a very long
+text is worked on as a whole, in memory of about a hundred bytes a character; an empty table gives an
+empty result; ``apply`` reads doc_id and text only, ``filtered`` keeps all columns.
 """
 
 from __future__ import annotations

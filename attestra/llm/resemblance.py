@@ -6,8 +6,8 @@ Jaccard similarity of their sets is ``SIMILARITY`` or more. Texts of equal sets
 Candidates: a fingerprint of three 64-bit lanes for each node, compared by tiles with numpy
 exclusive-or and bit counts. Sets of that similarity differ by at most a quarter in size, so nodes
 are dealt into cells by the logarithm of their size and only neighbouring cells meet. At similarity
-0.8 two fingerprints differ in about 27 of 192 bits, unrelated ones in 96; ``RADIUS`` is 48, over four
-standard deviations from the first and almost seven from the second. Pairs of tiles report spanning
+0.8 two fingerprints differ in about 29 of 192 bits, unrelated ones in 96; ``RADIUS`` is 48, almost four
+standard deviations from the first and seven from the second. Pairs of tiles report spanning
 forests, whose components hold all links.
 
 Confirmation goes on inside these components only, on the whole texts. A component of up to ``LOAD``

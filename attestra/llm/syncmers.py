@@ -13,7 +13,11 @@ Likeness is 2 m / (n + m) for m matched of n distinct anchors of both together.
 with the length of the texts (sorting, but no comparison of all pairs of anchors).
 
 Defined results: null and empty texts have no anchors and an empty fingerprint; two empty ones are
-alike (1), an empty and another are not (0); equal texts have equal fingerprints and likeness 1.
+alike (1), an empty and another are not (0); equal texts have equal fingerprints and likeness 1; equal
+inner hashes count as smallest at either place, and of an even number of moves the larger middle one
+counts; repeated rows give equal rows; a very long text's tokens and anchors are held at once, in memory
+of about sixty bytes a token, and places go up to 2**31 tokens; an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ letters), pairs of neighbouring words and pairs with one word between, lower-cas
 leaves most weights exactly zero, so the model that is broadcast is a short list.
 
 Defined results: a null text scores as an empty one (the bias alone); repeated rows get equal
-scores; without labelled rows of both kinds every score is 0; an empty table gives an empty result;
-other columns of the input are not read.
+scores; a score of exactly one half counts as toxic; without labelled rows of both kinds every score is
+0; a very long text is worked on as a whole, in memory of about a hundred bytes a character; an empty
+table gives an empty result; ``score`` reads doc_id and text only, ``filtered`` keeps all columns.
 """
 
 from __future__ import annotations
