@@ -309,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
             top AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 5),
             cut AS (SELECT query_id, rank, unnest({_split('text', 'generator')}) AS raw, generate_subscripts({_split('text', 'generator')}, 1) AS pos FROM top JOIN d USING (id)),
-            each AS (SELECT query_id, rank, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS said FROM cut),
+            each AS (SELECT query_id, rank, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS said FROM cut),
             best AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY query_id, rank ORDER BY len(list_intersect(words, {_WORDS.format(t='said')})) DESC, length(said), pos) AS nth FROM each e JOIN asked USING (query_id) WHERE said <> '') WHERE nth = 1),
             once AS (SELECT *, row_number() OVER (PARTITION BY query_id, said ORDER BY rank) AS again FROM best), kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM once WHERE again = 1)
             SELECT query_id AS trace_id, coalesce(string_agg(said, ' ' ORDER BY k) FILTER (k <= 3), '') AS text, CAST(count(*) FILTER (k <= 3) AS INT) AS n_sentences FROM asked LEFT JOIN kept USING (query_id) GROUP BY 1""",
