@@ -41,17 +41,23 @@ def answers_of(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _sentence(text: Column, n: Column) -> Column:
+    """Sentence n of a text, counted round."""
+    found = X.sentences(text)
+    return F.get(found, F.pmod(n, F.size(found)).cast("int"))
+
+
 def claims_of(spark: SparkSession, d: str) -> DataFrame:
-    """Claims on evidence texts: the text's first sentence as it is, with "not", with a number, or the first sentence of the next document."""
-    rows = _read(spark, d, "documents").where("text <> ''").select("doc_id", "text", F.get(X.sentences(F.col("text")), F.lit(0)).alias("said"))
+    """Claims on whole evidence texts: one sentence of the text (by doc_id, so from any place of it) as it is, with "not", with a number, or that of the next document."""
+    rows = _read(spark, d, "documents").where("text <> ''").select("doc_id", "text", _sentence(F.col("text"), F.col("doc_id")).alias("said"))
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("said").alias("next_said"))
     claim = F.when(F.col("doc_id") % 4 == 0, F.col("said")).when(F.col("doc_id") % 4 == 1, F.concat("said", F.lit(" not"))).when(F.col("doc_id") % 4 == 2, F.concat("said", F.lit(" 987654"))).otherwise(F.coalesce("next_said", "said"))
     return rows.join(other, "doc_id", "left").select("doc_id", claim.alias("claim"), "text")
 
 
 def questions_of(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight words of every benchmark item."""
-    return _read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(X.search_tokens(F.col("text")), 1, 8), " ").alias("query"))
+    """Every benchmark item, its whole text as the question."""
+    return _read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def documents_of(spark: SparkSession, d: str) -> DataFrame:
@@ -172,12 +178,12 @@ def q_answer_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.array_join(F.slice("w", 1, 20), " ").alias("head"))
+    return _read(spark, d, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
 def q_stems(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
-    return t.select("doc_id", F.size("w").alias("n_tokens"), F.size(X.content_stems(F.col("w"))).alias("n_content"), F.size(X.numbers(F.col("w"))).alias("n_numbers"), F.array_join(F.slice(X.stems(F.col("w")), 1, 20), " ").alias("head"))
+    return t.select("doc_id", F.size("w").alias("n_tokens"), F.size(X.content_stems(F.col("w"))).alias("n_content"), F.size(X.numbers(F.col("w"))).alias("n_numbers"), F.md5(F.array_join(X.stems(F.col("w")), " ")).alias("stems_md5"))
 
 
 def q_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -204,9 +210,9 @@ def q_unsupported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Proposals for assertions whose statement is the first sentence of their first piece of evidence, as it is, with "not" or with a number."""
+    """Proposals for assertions whose statement is the sentence of their first piece of evidence (by its number), as it is, with "not" or with a number."""
     t = provenance(spark, d)
-    said = t.evidence.select("evidence_id", F.get(X.sentences(F.coalesce("content", F.lit(""))), F.lit(0)).alias("said"))
+    said = t.evidence.select("evidence_id", _sentence(F.coalesce("content", F.lit("")), F.replace("evidence_id", F.lit("ev_"), F.lit("")).cast("long")).alias("said"))
     cited = t.assertions.withColumn("first_ev", F.get("evidence_refs.evidence_id", F.lit(0))).join(said, F.col("first_ev") == F.col("evidence_id"), "left")
     known, turn = F.col("said").isNotNull(), F.col("load_ord") % 4
     claim = F.when(turn == 1, F.concat("said", F.lit(" not"))).when(turn == 2, F.concat("said", F.lit(" 987654"))).otherwise(F.col("said"))
@@ -255,7 +261,7 @@ def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    v = _read(spark, d, "documents").select("doc_id", retrieve.hash_embedding(F.col("text"), 64).alias("v"))
+    v = _read(spark, d, "documents").select("doc_id", retrieve.hash_embedding(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("dim"), F.round(X.cosine(F.col("v"), F.col("v")), 6).alias("own_cosine"))
 
 
@@ -343,8 +349,9 @@ def q_render(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_iri(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "documents").select("doc_id", F.left("text", F.lit(40)).alias("name"), "text")
-    return rows.select("doc_id", X.iri("evidence", F.col("name"), "urn:x:").alias("iri"), F.char_length(X.bounded(F.col("text"))).alias("n_bounded"))
+    """Whole texts as local names, which need every kind of escape."""
+    rows = _read(spark, d, "documents").select("doc_id", "text")
+    return rows.select("doc_id", F.md5(X.iri("evidence", F.col("text"), "urn:x:")).alias("iri_md5"), F.char_length(X.bounded(F.col("text"))).alias("n_bounded"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

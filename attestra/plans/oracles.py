@@ -87,6 +87,11 @@ def _split(text: str, breaks: str = "verifier") -> str:
     return f"string_split(regexp_replace(regexp_replace({text}, {_BREAKS[breaks]}, '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))"
 
 
+def _sentence(text: str, n: str) -> str:
+    """Sentence n, counted round."""
+    return f"list_extract({_split(text)}, CAST({n} % len({_split(text)}) AS BIGINT) + 1)"
+
+
 def _verdicts(pairs: str) -> str:
     """Common table expressions from pairs (claim, evidence_text and any keys) to judged (the same with verdict, score and rationale)."""
     words = lambda text: _TOKENS.replace("lower(text)", f"lower({text})")
@@ -235,19 +240,19 @@ def oracle_sql() -> dict[str, str]:
             total AS (SELECT trace_id, count(*) AS sentences, count(e.good) AS cited_sentences, count(*) FILTER (e.good) AS grounded_sentences, count(e.good) AS citations, count(*) FILTER (e.good) AS grounded_citations, count(*) FILTER (e.good AND e.spanned) AS span_anchored_citations
                       FROM lines LEFT JOIN each e USING (trace_id, i) GROUP BY 1)
             SELECT *, round(cited_sentences / sentences, 6) AS citation_coverage, round(grounded_sentences / sentences, 6) AS chain_completeness, coalesce(round(span_anchored_citations / nullif(grounded_citations, 0), 6), 0.0) AS span_anchoring FROM total"""),
-        "q_tokens": f"SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, CAST(len(list_distinct(w)) AS INT) AS n_distinct, array_to_string(w[1:20], ' ') AS head FROM (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents)",
+        "q_tokens": f"SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, CAST(len(list_distinct(w)) AS INT) AS n_distinct, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents)",
         "q_stems": "SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, CAST(len(list_filter(w, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in (*X.STOPWORDS, *X.NEGATIONS)) + "))) AS INT) AS n_content, CAST(len(list_distinct(list_filter(w, lambda x: regexp_matches(x, '^[0-9]+(?:\\.[0-9]+)?%?$')))) AS INT) AS n_numbers,"
-            f" array_to_string(list_transform(w[1:20], lambda x: {_STEM.format(w='x')}), ' ') AS head FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)",
+            f" md5(array_to_string(list_transform(w, lambda x: {_STEM.format(w='x')}), ' ')) AS stems_md5 FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)",
         "q_sentences": r"""SELECT doc_id, CAST(len(string_split(regexp_replace(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS INT) AS n_verifier,
             CAST(len(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS INT) AS n_generator FROM documents""",
         "q_bm25_topk": f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_WORDS.format(t='text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
             p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-            q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(({_WORDS.format(t='text')})[1:8]) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY 1, 2),
+            q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest({_WORDS.format(t='text')}) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY 1, 2),
             s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2)
             SELECT query_id, id AS assertion_id, round(round(score, 6), 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
         "q_dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 20 = 0)
             SELECT query_id, id AS assertion_id, round(round(score, 6), 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
-        "q_hash_embed": "SELECT doc_id, 64 AS dim, CASE WHEN len(" + _WORDS.format(t="text") + ") > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS own_cosine FROM documents",
+        "q_hash_embed": "SELECT doc_id, 512 AS dim, CASE WHEN len(" + _WORDS.format(t="text") + ") > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS own_cosine FROM documents",
         "q_graph_neighbours": oracle("+" + _NEIGHBOURS.lstrip(",\n") + " SELECT * FROM near"),
         "q_graph_topk": oracle("+" + _NEIGHBOURS.lstrip(",\n") + _SEEDS + """, every AS (
               SELECT query_id, assertion_id, round(1.0::DOUBLE / rank, 6) AS score, rank AS sr, CAST(NULL AS VARCHAR) AS via, 0 AS o FROM seeds
@@ -288,24 +293,24 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN len(p.path) > 1 THEN concat('Superseded by ', array_to_string(p.path[2:], ' -> '), ' (current: ', p.path[-1], ').') END, 'Gaps: ' || q.t, CASE WHEN g.grounded THEN 'Grounded.' ELSE 'NOT grounded.' END)) AS summary_md5
             FROM assertion_rows a JOIN ground g USING (assertion_id) JOIN paths p USING (assertion_id) LEFT JOIN own_candidates c USING (assertion_id) LEFT JOIN n_present n USING (assertion_id) LEFT JOIN said s USING (assertion_id) LEFT JOIN up u USING (assertion_id)
             LEFT JOIN told t USING (assertion_id) LEFT JOIN kinds q USING (assertion_id)"""),
-        "q_lexical_verdict": oracle("+ first_ AS (SELECT doc_id, text, " + _split("text") + "[1] AS said FROM documents WHERE text <> '')" + _verdicts(
+        "q_lexical_verdict": oracle("+ first_ AS (SELECT doc_id, text, " + _sentence("text", "doc_id") + " AS said FROM documents WHERE text <> '')" + _verdicts(
             "SELECT f.doc_id, f.text AS evidence_text, CASE f.doc_id % 4 WHEN 0 THEN f.said WHEN 1 THEN f.said || ' not' WHEN 2 THEN f.said || ' 987654' ELSE coalesce(n.said, f.said) END AS claim FROM first_ f LEFT JOIN first_ n ON n.doc_id - 1 = f.doc_id") + " SELECT doc_id, verdict, score, rationale FROM judged"),
         "q_verify_answer": oracle(_CHECKED + " SELECT *, 'lexical' AS verifier, '2' AS verifier_version FROM checked"),
         "q_verify_score": oracle(_CHECKED + """ SELECT trace_id, count(*) AS sentences, count(*) FILTER (cited) AS cited_sentences, count(*) FILTER (supported) AS supported_sentences, count(*) FILTER (contradicted) AS contradicted_sentences, count(*) FILTER (cited) AS citations,
             count(*) FILTER (supported) AS supporting_citations, CAST(0 AS BIGINT) AS leaky_checks, CASE WHEN bool_or(supported) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS minimality, coalesce(count(*) FILTER (supported) / nullif(count(*) FILTER (cited), 0), 0.0) AS faithfulness, coalesce(count(*) FILTER (supported) / nullif(count(*) FILTER (cited), 0), 0.0) AS citation_precision FROM per_line GROUP BY 1"""),
         "q_unsupported": oracle(_CHECKED + " SELECT trace_id, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (cited AND NOT supported), '') AS unsupported, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (NOT cited), '') AS uncited FROM per_line GROUP BY 1"),
         "q_correct_answer": oracle(_CHECKED + " SELECT trace_id, 1 AS round, said AS original_text, 'ABSTAIN' AS action, 'no evidence entails it' AS reason FROM per_line WHERE NOT cited OR NOT supported"),
-        "q_supports_proposals": oracle(_LINKS + ", about AS (SELECT a.*, " + _split("coalesce(e.content, '')") + "[1] AS said, e.evidence_id IS NOT NULL AS known FROM assertion_rows a LEFT JOIN own_refs o ON o.assertion_id = a.assertion_id AND o.ord = 0 LEFT JOIN ev e ON e.evidence_id = o.evidence_id)" + _verdicts(
+        "q_supports_proposals": oracle(_LINKS + ", about AS (SELECT a.*, " + _sentence("coalesce(e.content, '')", "CAST(replace(e.evidence_id, 'ev_', '') AS BIGINT)") + " AS said, e.evidence_id IS NOT NULL AS known FROM assertion_rows a LEFT JOIN own_refs o ON o.assertion_id = a.assertion_id AND o.ord = 0 LEFT JOIN ev e ON e.evidence_id = o.evidence_id)" + _verdicts(
             f"""SELECT l.assertion_id, l.evidence_id, {_READABLE} AS evidence_text, CASE WHEN known THEN CASE k % 4 WHEN 1 THEN said || ' not' WHEN 2 THEN said || ' 987654' ELSE said END ELSE concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) END AS claim
             FROM links l JOIN about a USING (assertion_id) WHERE relationship = 'DERIVED_FROM' AND {_READABLE} IS NOT NULL""") + """ SELECT CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS_UPGRADE' ELSE 'CONTRADICTION' END AS kind, assertion_id, evidence_id, CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS' ELSE 'CONTRADICTS' END AS proposed_relationship, verdict, score FROM judged WHERE verdict IN ('ENTAILED', 'CONTRADICTED')"""),
-        "q_triggers": oracle(_LINKS + ", about AS (SELECT a.*, " + _split("coalesce(e.content, '')") + "[1] AS said, e.evidence_id IS NOT NULL AS known FROM assertion_rows a LEFT JOIN own_refs o ON o.assertion_id = a.assertion_id AND o.ord = 0 LEFT JOIN ev e ON e.evidence_id = o.evidence_id)" + _verdicts(
+        "q_triggers": oracle(_LINKS + ", about AS (SELECT a.*, " + _sentence("coalesce(e.content, '')", "CAST(replace(e.evidence_id, 'ev_', '') AS BIGINT)") + " AS said, e.evidence_id IS NOT NULL AS known FROM assertion_rows a LEFT JOIN own_refs o ON o.assertion_id = a.assertion_id AND o.ord = 0 LEFT JOIN ev e ON e.evidence_id = o.evidence_id)" + _verdicts(
             f"""SELECT l.assertion_id, l.evidence_id, {_READABLE} AS evidence_text, CASE WHEN known THEN CASE k % 4 WHEN 1 THEN said || ' not' WHEN 2 THEN said || ' 987654' ELSE said END ELSE concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) END AS claim, known, subject_identity
             FROM links l JOIN about a USING (assertion_id) WHERE relationship = 'DERIVED_FROM' AND {_READABLE} IS NOT NULL""") + """ SELECT CASE WHEN known THEN claim ELSE subject_identity END AS identity_id, assertion_id, evidence_id, CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS' ELSE 'CONTRADICTS' END AS proposed_relationship,
             CAST(least(500, length(concat(CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS_UPGRADE' ELSE 'CONTRADICTION' END, ' ', assertion_id, ' by ', evidence_id, ' (lexical ', CAST(score AS VARCHAR), '): ', claim, CASE WHEN known THEN '  ' ELSE '' END))) AS INT) AS reason_chars FROM judged WHERE verdict IN ('ENTAILED', 'CONTRADICTED')"""),
         "q_prov_triples": oracle(_EVERYTHING + ", all_gaps AS (SELECT assertion_id, kind, subject_id FROM gaps UNION ALL SELECT root_id, kind, subject_id FROM lineage_gaps UNION ALL SELECT assertion_id, gap, gap_subject FROM paths WHERE gap IS NOT NULL)" + _triples()),
         "q_extractive": f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, {_WORDS.format(t='text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
             p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-            asked AS (SELECT CAST(item_id AS VARCHAR) AS query_id, ({_WORDS.format(t='text')})[1:8] AS words FROM benchmark), q AS (SELECT query_id, unnest(words) AS term FROM asked), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY 1, 2),
+            asked AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {_WORDS.format(t='text')} AS words FROM benchmark), q AS (SELECT query_id, unnest(words) AS term FROM asked), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY 1, 2),
             s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
             top AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 5),
             cut AS (SELECT query_id, rank, unnest({_split('text', 'generator')}) AS raw, generate_subscripts({_split('text', 'generator')}, 1) AS pos FROM top JOIN d USING (id)),
@@ -321,6 +326,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, 'direct' AS how FROM direct UNION ALL SELECT *, 'via_candidate' FROM via UNION ALL SELECT *, 'transitive' FROM (SELECT * FROM reach EXCEPT SELECT * FROM direct EXCEPT SELECT * FROM via)"""),
         "q_hidden_evidence": oracle(_LINKS + ", gold AS (SELECT CAST(item_id AS VARCHAR) AS case_id, concat('as_o', item_id * 37 % (SELECT count(*) FROM orders)) AS id FROM benchmark) SELECT DISTINCT case_id, evidence_id FROM gold JOIN links ON assertion_id = id WHERE resolved"),
         "q_render": oracle("SELECT assertion_id, subject_identity, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS statement FROM assertion_rows"),
-        "q_iri": "SELECT doc_id, concat('urn:x:evidence:', url_encode(left(text, 40))) AS iri, CAST(least(length(text), 257) AS INT) AS n_bounded FROM documents",
+        "q_iri": "SELECT doc_id, md5(concat('urn:x:evidence:', url_encode(text))) AS iri_md5, CAST(least(length(text), 257) AS INT) AS n_bounded FROM documents",
     }
     return found
