@@ -4,9 +4,10 @@ A turn is written ``<|im_start|>role\\ntext<|im_end|>\\n``. Backslashes and the
 string inside roles and texts are escaped with a backslash, so a text can never end its own turn and
 everything can be read back.
 
-Prefix sums of the turns' tokens cut a conversation at turns into spans that fit the budget; a turn
-that fills over half a span stands alone (and is the only thing that can pass the budget: turns are
-never cut). Each span becomes a window: the conversation's first system turn, if an earlier
+Prefix sums of the turns' tokens cut a conversation at turns into spans that fit the budget: a turn
+that would fill over half a window stands alone (and is the only thing that can pass the budget: turns
+are never cut); the others are dealt by the place where they begin, on a grid as wide as a window less
+the conversation's largest such turn, which is the most that the last turn of a span can stand out. Each span becomes a window: the conversation's first system turn, if an earlier
 window owns it, then up to
 ``HISTORY_TURNS`` turns before the span within ``HISTORY_TOKENS``, then its own turns. The loss mask
 covers the assistant texts of a window's own turns only, so a repeated turn is no target again.
@@ -53,8 +54,11 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
         .withColumn("before", F.sum("size").over(so_far) - F.col("size"))
         .withColumn("system", F.first(system, ignorenulls=True).over(so_far))
         .withColumn("system_rn", F.min(F.when(F.col("role") == "system", F.col("rn"))).over(so_far))
-        .withColumn("half", F.greatest(F.lit(budget - history_tokens) - F.coalesce(F.col("system.n"), F.lit(0)), F.lit(LEAST_ROOM)) / 2)
-        .withColumn("at", F.struct(F.floor(F.col("before") / F.col("half")).alias("part"), (F.col("size") > F.col("half")).alias("large")))
+        .withColumn("room", F.greatest(F.lit(budget - history_tokens) - F.coalesce(F.col("system.n"), F.lit(0)), F.lit(LEAST_ROOM)))
+        .withColumn("large", F.col("size") * 2 > F.col("room"))
+        .withColumn("most", F.coalesce(F.max(F.when(~F.col("large"), F.col("size"))).over(W.partitionBy("conv_id")), F.lit(0)))
+        .withColumn("grid", F.greatest(F.col("room") - F.col("most"), F.col("room") / 2))  # the room shrinks at the system turn, so a turn before it may be the largest
+        .withColumn("at", F.struct(F.floor(F.col("before") / F.col("grid")).alias("part"), F.when(F.col("large"), F.col("rn")).alias("alone")))
         .withColumn("opens", F.coalesce(F.col("at") != F.lag("at").over(order), F.lit(True)))
         .withColumn("span", F.sum(F.col("opens").cast("long")).over(so_far))
     )
