@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.functions.telemetry import reported
 from attestra.operators import prov
 from attestra.operators.answers import invalid_sentences, provenance_graph, score
 from attestra.operators.chain import chains, payload, summary
@@ -18,10 +20,10 @@ from attestra.tables import ProvenanceTables
 
 
 class Api:
-    """The read-only calls by id; unknown ids give an answer with an UNKNOWN_ASSERTION gap. Only ``parse_answer`` raises, on malformed answers."""
+    """The read-only calls by id; unknown ids give an answer with an UNKNOWN_ASSERTION gap. Only ``parse_answer`` raises, on malformed answers. Each call is told to ``on_call`` by ids and counts, without texts."""
 
-    def __init__(self, spark: SparkSession, tables: ProvenanceTables):
-        self.spark, self.tables = spark, tables
+    def __init__(self, spark: SparkSession, tables: ProvenanceTables, on_call: Callable[[dict[str, Any]], None] | None = None):
+        self.spark, self.tables, self.on_call = spark, tables, on_call
 
     def _ids(self, assertion_id: str) -> DataFrame:
         return self.spark.createDataFrame([(assertion_id,)], "assertion_id string")
@@ -29,22 +31,30 @@ class Api:
     def _chain(self, assertion_id: str) -> DataFrame:
         return chains(self.tables, self._ids(assertion_id))
 
-    def evidence_chain(self, assertion_id: str) -> dict[str, Any]:
+    def _payload(self, assertion_id: str) -> dict[str, Any]:
         return json.loads(payload(self._chain(assertion_id)).first()["payload"])
 
+    @reported(by_id=True)
+    def evidence_chain(self, assertion_id: str) -> dict[str, Any]:
+        return self._payload(assertion_id)
+
+    @reported(by_id=True)
     def explain(self, assertion_id: str) -> dict[str, Any]:
         found = self._chain(assertion_id)
         row = found.select("grounded", summary(found).alias("summary"), F.to_json(F.struct(*found.columns), {"ignoreNullFields": "false"}).alias("chain")).first()
         return {"assertion_id": assertion_id, "summary": row["summary"], "grounded": row["grounded"], "chain": json.loads(row["chain"])}
 
+    @reported(by_id=True)
     def lineage(self, assertion_id: str) -> dict[str, Any]:
-        chain = self.evidence_chain(assertion_id)
+        chain = self._payload(assertion_id)
         return {"assertion_id": assertion_id, "lineage": chain["lineage"], "gaps": chain["gaps"]}
 
+    @reported(by_id=True)
     def successors(self, assertion_id: str) -> dict[str, Any]:
-        chain = self.evidence_chain(assertion_id)
+        chain = self._payload(assertion_id)
         return {"assertion_id": assertion_id, "successors": chain["successors"], "current_assertion_id": chain["current_assertion_id"], "gaps": chain["gaps"]}
 
+    @reported(by_id=True)
     def impacted_by(self, evidence_id: str) -> dict[str, Any]:
         rows = impact(self.tables, self.spark.createDataFrame([(evidence_id,)], "evidence_id string")).collect()
         of = lambda how: sorted(r["assertion_id"] for r in rows if r["how"] == how)
@@ -65,20 +75,25 @@ class Api:
             raise ValueError(f"sentence {wrong[0]['i']}: {wrong[0]['reason']}")
         return rows
 
+    @reported(by_id=False)
     def provenance_graph(self, answer: str | dict) -> list[dict]:
         return [r.asDict() for r in provenance_graph(self.tables, self.parse_answer(answer)).collect()]
 
+    @reported(by_id=False)
     def score_answer(self, answer: str | dict) -> dict[str, Any]:
         return score(self.tables, self.parse_answer(answer)).first().asDict()
 
+    @reported(by_id=False)
     def verify_answer(self, answer: str | dict, verifier=None) -> dict[str, Any]:
         rows = self.parse_answer(answer)
         done = verified_sentences(rows, checks(self.tables, rows, verifier or Lexical()))
         return {"score": verification_score(rows, done).first().asDict(), "sentences": [r.asDict() for r in done.orderBy("i").collect()]}
 
+    @reported(by_id=True)
     def prov(self, assertion_id: str) -> dict[str, Any]:
         """PROV-O JSON-LD of a chain, without texts."""
         return json.loads(prov.json_ld(prov.triples(self.tables, self._ids(assertion_id))).first()["json_ld"])
 
+    @reported(by_id=False)
     def answer_prov(self, answer: str | dict) -> dict[str, Any]:
         return json.loads(prov.json_ld(prov.answer_triples(self.tables, self.parse_answer(answer)), "trace_id").first()["json_ld"])

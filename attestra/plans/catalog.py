@@ -150,8 +150,11 @@ def q_explain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_chain_payload(spark: SparkSession, d: str) -> DataFrame:
-    found = chain.chains(audited(spark, d), with_content=False)
-    return found.select("assertion_id", F.size("links").alias("n_links"), F.size("successors").alias("n_successors"), F.size("decisions").alias("n_decisions"), F.size("lineage").alias("n_lineage"), F.size("gaps").alias("n_gaps"), "grounded", F.size("present_evidence_ids").alias("n_present"), "current_assertion_id")
+    """The JSON of every chain, told by what can be read back from it."""
+    found = chain.payload(chain.chains(audited(spark, d), with_content=False))
+    read = lambda path: F.get_json_object("payload", f"$.{path}")
+    size = lambda path, name: F.json_array_length(read(path)).alias(name)
+    return found.select("assertion_id", *(size(c, f"n_{c}") for c in ("links", "successors", "decisions", "lineage", "gaps")), (read("grounded") == "true").alias("grounded"), size("present_evidence_ids", "n_present"), read("current_assertion_id").alias("current_assertion_id"))
 
 
 def q_answer_valid(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +197,22 @@ def q_lexical_verdict(spark: SparkSession, d: str) -> DataFrame:
     return with_verdict(claims_of(spark, d), "claim", "text").select("doc_id", "verdict", "score", "rationale")
 
 
+def q_judge(spark: SparkSession, d: str) -> DataFrame:
+    """A verifier around a callable whose replies (by doc_id) are right, fenced, out of bounds, not a judgement or an error; entailed claims are asked again without evidence."""
+
+    def complete(prompt: str) -> str:
+        said, _, evidence = prompt.partition("\nClaim: doc ")[2].partition("\nEvidence: ")
+        turn = int(said) % 8
+        if turn == 4:
+            raise RuntimeError("no reply")
+        first = '{"verdict": "ENTAILED", "score": 0.5, "rationale": "r ' + said + '"}' if evidence else '{"verdict": "NOT_ENTAILED"}'
+        long = '{"verdict": "NOT_ENTAILED", "score": NaN, "rationale": "' + "x" * 600 + '"}'
+        return (first, '```json\n{"verdict": "contradicted", "score": 7}\n```', long, "ENTAILED", "", '{"verdict": "MAYBE"}', '{"verdict": "ENTAILED", "score": "high"}', '[{"verdict": "ENTAILED"}]')[turn]
+
+    claims = _read(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), "doc_id").alias("claim"), "text")
+    return verify.controlled(verify.Judge(complete), claims, "claim", "text").select("doc_id", "verdict", "score", "rationale", "leaky")
+
+
 def q_verify_answer(spark: SparkSession, d: str) -> DataFrame:
     return verify.checks(provenance(spark, d), answers_of(spark, d), verify.Lexical())
 

@@ -293,6 +293,10 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN len(p.path) > 1 THEN concat('Superseded by ', array_to_string(p.path[2:], ' -> '), ' (current: ', p.path[-1], ').') END, 'Gaps: ' || q.t, CASE WHEN g.grounded THEN 'Grounded.' ELSE 'NOT grounded.' END)) AS summary_md5
             FROM assertion_rows a JOIN ground g USING (assertion_id) JOIN paths p USING (assertion_id) LEFT JOIN own_candidates c USING (assertion_id) LEFT JOIN n_present n USING (assertion_id) LEFT JOIN said s USING (assertion_id) LEFT JOIN up u USING (assertion_id)
             LEFT JOIN told t USING (assertion_id) LEFT JOIN kinds q USING (assertion_id)"""),
+        "q_judge": """SELECT doc_id, CASE m WHEN 0 THEN CASE WHEN read THEN 'ENTAILED' ELSE 'NOT_ENTAILED' END WHEN 1 THEN 'CONTRADICTED' WHEN 2 THEN 'NOT_ENTAILED' WHEN 6 THEN 'ENTAILED' ELSE 'UNVERIFIABLE' END AS verdict,
+            CASE WHEN m = 0 AND read THEN 0.5::DOUBLE WHEN m = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+            CASE m WHEN 0 THEN CASE WHEN read THEN concat('r ', doc_id) ELSE '' END WHEN 1 THEN '' WHEN 2 THEN repeat('x', 500) WHEN 4 THEN 'the model failed: RuntimeError' WHEN 6 THEN '' ELSE 'the reply is not a judgement' END AS rationale, m = 6 AS leaky
+            FROM (SELECT doc_id, doc_id % 8 AS m, coalesce(text, '') <> '' AS read FROM documents)""",
         "q_lexical_verdict": oracle("+ first_ AS (SELECT doc_id, text, " + _sentence("text", "doc_id") + " AS said FROM documents WHERE text <> '')" + _verdicts(
             "SELECT f.doc_id, f.text AS evidence_text, CASE f.doc_id % 4 WHEN 0 THEN f.said WHEN 1 THEN f.said || ' not' WHEN 2 THEN f.said || ' 987654' ELSE coalesce(n.said, f.said) END AS claim FROM first_ f LEFT JOIN first_ n ON n.doc_id - 1 = f.doc_id") + " SELECT doc_id, verdict, score, rationale FROM judged"),
         "q_verify_answer": oracle(_CHECKED + " SELECT *, 'lexical' AS verifier, '2' AS verifier_version FROM checked"),
