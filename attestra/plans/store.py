@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +39,11 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fits(df: DataFrame, text: str, most: int) -> bool:
+    """Whether ``df``, whose size is that of its column ``text``, may be broadcast: its rows and bytes are counted, unless the files it rests on are already over four times ``most`` bytes (or of unknown size), so that large tables are not read for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > 4 * most:
+        return False
+    return df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64), F.lit(0))).first()[0] <= most

@@ -261,3 +261,18 @@ def test_harness(spark):
     assert total["B0", "none"]["recall_at_k"] == total["B2", "none"]["recall_at_k"] == 1.0
     assert total["B2", "none"]["faithfulness"] >= total["B0", "none"]["faithfulness"]
     assert harness.markdown(harness.summary(results)).count("\n") == 7
+
+
+def test_documents_with_broadcast_and_shuffled_texts(spark, tmp_path, monkeypatch):
+    """Both ways give the same texts: repeats once, in order of links; unreadable and unknown evidence left out."""
+    from attestra.operators import retrieve
+    from attestra.tables import ProvenanceTables
+
+    held = [evidence("e1", content="one"), evidence("e2", content="two"), evidence("e3", content="one"), evidence("e4", "ABSENT", content="gone"), evidence("e5", content="s has 1")]
+    t = tables(spark, [assertion("a", [("e2", "SUPPORTS"), ("e1", "DERIVED_FROM"), ("e2", "SUPPORTS"), ("e3", "SUPPORTS"), ("e4", "SUPPORTS"), ("zz", "SUPPORTS"), ("e5", "SUPPORTS")]), assertion("b", [("e1", "CONTRADICTS")])], held)
+    t.evidence.write.parquet(str(tmp_path / "e"))
+    stored = ProvenanceTables(t.assertions, spark.read.parquet(str(tmp_path / "e")))
+    for most in (64 << 20, 1):
+        monkeypatch.setattr(retrieve, "MAX_TEXTS", most)
+        assert retrieve.fits(stored.evidence.select("evidence_id", "content"), "content", most) == (most > 1)
+        assert dict(retrieve.documents(stored).collect()) == {"a": "s has 1\ntwo\none", "b": "s has 1"}
