@@ -109,6 +109,9 @@ def lineage(t: ProvenanceTables, ids: DataFrame | None = None, max_depth: int |
     return _union(nodes), _union([empty, *gaps])
 
 
+MOST_PARTS = 16
+
+
 def impact(t: ProvenanceTables, evidence: DataFrame | None = None) -> DataFrame:
     """evidence_id, assertion_id, how: what has to be validated again if a piece of evidence changes.
 
@@ -130,12 +133,14 @@ def impact(t: ProvenanceTables, evidence: DataFrame | None = None) -> DataFrame:
         found.append(via.withColumn("how", F.lit("via_candidate")))
         known = known.unionByName(via)
     edges = checkpointed(inputs.where("kind = 'assertion'").select(F.col("ref").alias("assertion_id"), F.col("assertion_id").alias("consumer")).distinct())
-    delta = known
+    delta, rounds = known, 0
     while not delta.isEmpty():
         reached = delta.join(edges, "assertion_id").select("evidence_id", F.col("consumer").alias("assertion_id")).distinct()
         delta = checkpointed(reached.join(known, ["evidence_id", "assertion_id"], "left_anti"))
         found.append(delta.withColumn("how", F.lit("transitive")))
-        known = checkpointed(known.unionByName(delta))
+        known, rounds = known.unionByName(delta), rounds + 1
+        if rounds % MOST_PARTS == 0:
+            known = checkpointed(known)  # the parts are kept already; one table of them keeps the plans of long chains short
     return _union(found)
 
 

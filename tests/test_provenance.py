@@ -265,9 +265,6 @@ def test_harness(spark):
 
 def test_documents_with_broadcast_and_shuffled_texts(spark, tmp_path, monkeypatch):
     """Both ways give the same texts: repeats once, in order of links; unreadable and unknown evidence left out."""
-    from attestra.operators import retrieve
-    from attestra.tables import ProvenanceTables
-
     held = [evidence("e1", content="one"), evidence("e2", content="two"), evidence("e3", content="one"), evidence("e4", "ABSENT", content="gone"), evidence("e5", content="s has 1")]
     t = tables(spark, [assertion("a", [("e2", "SUPPORTS"), ("e1", "DERIVED_FROM"), ("e2", "SUPPORTS"), ("e3", "SUPPORTS"), ("e4", "SUPPORTS"), ("zz", "SUPPORTS"), ("e5", "SUPPORTS")]), assertion("b", [("e1", "CONTRADICTS")])], held)
     t.evidence.write.parquet(str(tmp_path / "e"))
@@ -276,3 +273,13 @@ def test_documents_with_broadcast_and_shuffled_texts(spark, tmp_path, monkeypatc
         monkeypatch.setattr(retrieve, "MAX_TEXTS", most)
         assert retrieve.fits(stored.evidence.select("evidence_id", "content"), "content", most) == (most > 1)
         assert dict(retrieve.documents(stored).collect()) == {"a": "s has 1\ntwo\none", "b": "s has 1"}
+
+
+def test_impact_over_a_long_chain(spark, monkeypatch):
+    """Each step is a round; the parts are put together every few rounds, which changes nothing. Steps back along the chain add no row."""
+    monkeypatch.setattr(walks, "MOST_PARTS", 2)
+    n = 7
+    rows = [assertion("a0", [("e", "SUPPORTS")], inputs=[("assertion", f"a{n}")])]
+    rows += [assertion(f"a{i}", [], inputs=[("assertion", f"a{i - 1}")], candidates=()) for i in range(1, n + 1)]
+    found = [tuple(r) for r in walks.impact(tables(spark, rows, [evidence("e")])).collect()]
+    assert sorted(found) == sorted([("e", "a0", "direct")] + [("e", f"a{i}", "transitive") for i in range(1, n + 1)])
