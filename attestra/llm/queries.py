@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, packing, pii, pipeline, quality_knn, quality_rules, sentencepiece, simhash, syncmers, toxicity
+from . import chat, html, lexical, mixing, negatives, packing, pii, pipeline, quality_knn, quality_rules, sentencepiece, simhash, syncmers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 gives without the draw."""
+    return op13_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 gives, without formatted_chars, which SQL can't tell."""
     return op3_chat(spark, sf_dir).drop("formatted_chars")
@@ -111,23 +129,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_html": op9_html,
         "op10_fingerprints": op10_fingerprints,
+        "op11_search": op11_search,
+        "op12_negatives": op12_negatives,
+        "op13_mixing": op13_mixing,
         "pipeline": pipeline.run,
         "chat_digests": chat_digests,
         "rule_counts": rule_counts,
         "base_pii_counts": base_pii_counts,
         "edited_texts": edited_texts,
+        "mix_targets": mix_targets,
     }
 
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for the parts of op3, op4, op7 and op10 that SQL can express."""
+    """DuckDB SQL for op11 and op12, and for the parts of op3, op4, op7, op10 and op13 that SQL can express."""
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = "list_sum(list_transform(string_split(reverse(d), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN CAST(x AS INT) * 2 - 9 ELSE CAST(x AS INT) * 2 END)) % 10 = 0"
     count = lambda pattern, keep: f"(SELECT count(*) FROM (SELECT m, {digits} AS d FROM (SELECT unnest(regexp_extract_all(t, '{pattern}')) AS m)) WHERE {keep})"
     return {
+        "op11_search": rf"""WITH lowered AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+            words AS (SELECT r, doc_id, unnest(regexp_extract_all(t, {_TERM})) AS term FROM lowered), lengths AS (SELECT r, doc_id, count(*) AS n FROM words GROUP BY 1, 2),
+            total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM lengths), counts AS (SELECT r, term, count(*) AS tf FROM words GROUP BY 1, 2),
+            weights AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM counts, total GROUP BY term, nd),
+            asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_TERM})) AS term FROM benchmark),
+            scored AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) AS BIGINT) AS score FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (r) CROSS JOIN total GROUP BY 1, 2, 3)
+            SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50""",
+        "op12_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+            p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM s WHERE alike) WHERE n <= 5),
+            q AS (SELECT anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+                FROM p JOIN s USING (anchor_id) WHERE NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+            SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM q WHERE rank <= 3""",
+        "mix_targets": rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size FROM documents),
+            s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY 1),
+            o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS i FROM s),
+            c AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+            best AS (SELECT level FROM c WHERE level * w <= 2 * source_size ORDER BY i LIMIT 1)
+            SELECT doc_id, size, source_size, round(least(2.0 * source_size, w * level), 4)::DOUBLE AS target FROM d JOIN (SELECT source, source_size, w, best.level FROM s CROSS JOIN best) x ON d.source IS NOT DISTINCT FROM x.source""",
         "chat_digests": """WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
               UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0), (1)) v(i))
             SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
