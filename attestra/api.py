@@ -13,12 +13,16 @@ from attestra.functions.telemetry import reported
 from attestra.operators import prov
 from attestra.operators.answers import invalid_sentences, provenance_graph, score
 from attestra.operators.chain import chains, payload, summary
+from attestra.operators.lookup import neighbourhood
 from attestra.operators.verify import Lexical, checks, verification_score, verified_sentences
 from attestra.operators.walks import impact
 from attestra.schemas import ANSWERS
 from attestra.tables import ProvenanceTables
 
 
+MOST_ERRORS = 100  # unreadable records that a report names
+
+
 class Api:
     """The read-only calls by id; unknown ids give an answer with an UNKNOWN_ASSERTION gap. Only ``parse_answer`` raises, on malformed answers. Each call is told to ``on_call`` by ids and counts, without texts."""
 
@@ -29,7 +33,7 @@ class Api:
         return self.spark.createDataFrame([(assertion_id,)], "assertion_id string")
 
     def _chain(self, assertion_id: str) -> DataFrame:
-        return chains(self.tables, self._ids(assertion_id))
+        return chains(neighbourhood(self.tables, [assertion_id]), self._ids(assertion_id))
 
     def _payload(self, assertion_id: str) -> dict[str, Any]:
         return json.loads(payload(self._chain(assertion_id)).first()["payload"])
@@ -59,7 +63,10 @@ class Api:
         rows = impact(self.tables, self.spark.createDataFrame([(evidence_id,)], "evidence_id string")).collect()
         of = lambda how: sorted(r["assertion_id"] for r in rows if r["how"] == how)
         direct, via, later = of("direct"), of("via_candidate"), of("transitive")
-        return {"evidence_id": evidence_id, "direct": direct, "via_candidates": via, "transitive": later, "needs_revalidation": list(dict.fromkeys(direct + via + later))}
+        # A catalogue with records that can't be read may hold further assertions that rest on the evidence.
+        errors = [] if self.tables.errors is None else self.tables.errors.where("source = 'assertions'").orderBy("subject_id").limit(MOST_ERRORS).collect()
+        told = [{"kind": "STORE_ERROR", "subject_id": e["subject_id"], "detail": e["detail"]} for e in errors]
+        return {"evidence_id": evidence_id, "direct": direct, "via_candidates": via, "transitive": later, "errors": told, "needs_revalidation": list(dict.fromkeys(direct + via + later))}
 
     def parse_answer(self, answer: str | dict) -> DataFrame:
         """One answer as a row; ValueError if it isn't one or its spans don't hold its sentences."""
@@ -92,7 +99,7 @@ class Api:
     @reported(by_id=True)
     def prov(self, assertion_id: str) -> dict[str, Any]:
         """PROV-O JSON-LD of a chain, without texts."""
-        return json.loads(prov.json_ld(prov.triples(self.tables, self._ids(assertion_id))).first()["json_ld"])
+        return json.loads(prov.json_ld(prov.triples(neighbourhood(self.tables, [assertion_id]), self._ids(assertion_id))).first()["json_ld"])
 
     @reported(by_id=False)
     def answer_prov(self, answer: str | dict) -> dict[str, Any]:

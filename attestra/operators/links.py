@@ -24,6 +24,8 @@ def references(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
         return own
     named = rows.select("assertion_id", "evidence_refs", F.posexplode("source_candidate_ids").alias("cand_ord", "subject_id"))
     refs = t.candidate_refs.withColumnRenamed("ord", "ref_ord")
+    if t.errors is not None:  # a candidate whose references can't all be read has none
+        refs = refs.join(_unreadable(t, "candidate_refs").select("subject_id"), "subject_id", "left_anti")
     fresh = ~F.coalesce(F.exists("evidence_refs", lambda r: (r["evidence_id"] == F.col("evidence_id")) & (r["relationship"] == F.col("relationship"))), F.lit(False))
     # Both windows below, and what is counted by assertion later, go by this one shuffle.
     found = named.join(refs, "subject_id").where(fresh).select("assertion_id", F.coalesce(F.size("evidence_refs"), F.lit(0)).alias("n_own"), "cand_ord", "ref_ord", "subject_id", "evidence_id", "relationship").repartition("assertion_id")
@@ -36,6 +38,26 @@ def references(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
     return own.unionByName(added)
 
 
+def _unreadable(t: ProvenanceTables, *sources: str) -> DataFrame:
+    """subject_id, why: one row for each record of these sources that can't be read."""
+    return t.errors.where(F.col("source").isin(*sources)).groupBy("subject_id").agg(F.min(F.concat("source", F.lit(": "), "detail")).alias("why"))
+
+
+#: Gaps that say a lookup found nothing, and where it looked.
+LOST = {"DANGLING_EVIDENCE_REF": ("evidence",), "UNRESOLVED_LINEAGE_INPUT": ("evidence", "assertions"), "UNRESOLVED_SUCCESSOR": ("assertions",), "UNKNOWN_ASSERTION": ("assertions",)}
+
+
+def store_errors(t: ProvenanceTables, gaps: DataFrame) -> DataFrame:
+    """STORE_ERROR rows (the columns of ``gaps``) for the lookups that found nothing because the record can't be read. Only gaps of these kinds meet the errors."""
+    rows = None
+    for sources in dict.fromkeys(LOST.values()):
+        kinds = [k for k, s in LOST.items() if s == sources]
+        found = gaps.where(F.col("kind").isin(*kinds)).join(_unreadable(t, *sources), "subject_id")
+        rows = found if rows is None else rows.unionByName(found)
+    told = {"kind": F.lit("STORE_ERROR"), "detail": F.concat(F.lit("it can't be read: "), "why"), "blocking": F.lit(False)}
+    return rows.withColumns({c: v for c, v in told.items() if c in gaps.columns}).select(*gaps.columns)
+
+
 def links(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
     """Every reference with the evidence it names (NULL columns if the registry has none), its span and whether it grounds."""
     e = t.evidence.select(
@@ -96,7 +118,12 @@ def link_gaps(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
         missing = ids.select("assertion_id").distinct().join(t.assertions, "assertion_id", "left_anti")
         unknown = missing.select("assertion_id", F.lit(0).alias("phase"), F.lit(0).alias("ord"), F.lit(0).alias("sub"), _gap("UNKNOWN_ASSERTION", own, "no assertion has this id").alias("gap")).select("assertion_id", "phase", "ord", "sub", "gap.*")
         out = out.unionByName(unknown)
-    return out.withColumn("blocking", F.col("kind").isin(*BLOCKING))
+    out = out.withColumn("blocking", F.col("kind").isin(*BLOCKING))
+    if t.errors is None:
+        return out
+    named = selected(t, ids).select("assertion_id", F.posexplode("source_candidate_ids").alias("ord", "subject_id")).groupBy("assertion_id", "subject_id").agg(F.min("ord").alias("ord"))
+    silent = named.join(_unreadable(t, "candidate_refs"), "subject_id").select("assertion_id", F.lit(1).alias("phase"), F.lit(0).alias("ord"), (F.col("ord") + 1).alias("sub"), F.lit("STORE_ERROR").alias("kind"), "subject_id", F.concat(F.lit("it can't be read: "), "why").alias("detail"), F.lit(False).alias("blocking"))
+    return out.unionByName(store_errors(t, out).withColumn("sub", F.lit(-1))).unionByName(silent)
 
 
 def grounded(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:

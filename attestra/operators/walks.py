@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestra.operators.links import selected
+from attestra.operators.links import selected, store_errors
 from attestra.plans.store import checkpointed
 from attestra.tables import ProvenanceTables
 
@@ -59,7 +59,7 @@ def lineage(t: ProvenanceTables, ids: DataFrame | None = None, max_depth: int |
     """What each root was derived from: nodes and gaps.
 
     nodes: root_id, seq (arrival order: level, place of the parent, candidates before inputs, ordinal), kind, ref, depth, parent_ref, method, implementation_version, resolved, via.
-    gaps: root_id, seq, kind, subject_id, at. Within one walk an assertion is a node once; each later arrival, a diamond's too, is a LINEAGE_CYCLE gap and no node.
+    gaps: root_id, seq, kind, subject_id, at; an input whose record can't be read has a STORE_ERROR too. Within one walk an assertion is a node once; each later arrival, a diamond's too, is a LINEAGE_CYCLE gap and no node.
     """
     depth_limit = t.max_depth if max_depth is None else max_depth
     a = t.assertions.select("assertion_id", "derivation", F.coalesce("source_candidate_ids", F.array().cast("array<string>")).alias("candidates"))
@@ -106,7 +106,8 @@ def lineage(t: ProvenanceTables, ids: DataFrame | None = None, max_depth: int |
         if frontier.isEmpty():
             break
     empty = frontier.select("root_id", seq(0, "pos", 0, None), text().alias("kind"), text().alias("subject_id"), text().alias("at")).where("false")
-    return _union(nodes), _union([empty, *gaps])
+    gaps = _union([empty, *gaps])
+    return _union(nodes), gaps if t.errors is None else gaps.unionByName(store_errors(t, gaps))
 
 
 MOST_PARTS = 16

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from attestra.operators.audit import decisions
 from attestra.plans.store import checkpointed, written
 from attestra.plans.world import provenance, views
 from attestra.schemas import SENTENCES
-from attestra.sources.readers import load_assertions
+from attestra.sources.readers import candidate_errors, evidence_records, load_assertions
 from attestra.tables import ProvenanceTables, deduplicated, reachable_assertions
 
 
@@ -102,6 +103,17 @@ def q_gaps(spark: SparkSession, d: str) -> DataFrame:
     return links.link_gaps(provenance(spark, d, keep=False)).select("assertion_id", "phase", "kind", "subject_id", "blocking")
 
 
+def q_store_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The gaps of all assertions over a registry in which one record of evidence in 31 is no JSON and one candidate in 41 has a reference of no known relationship."""
+    t = provenance(spark, d, keep=False)
+    number = lambda column, prefix: F.replace(column, F.lit(prefix), F.lit("")).cast("long")
+    kept = [c for c in t.evidence.columns if not c.startswith("redact")]
+    text = F.when(number("evidence_id", "ev_") % 31 == 7, F.lit("{broken")).otherwise(F.to_json(F.struct(*kept)))
+    evidence, broken = evidence_records(t.evidence.select("evidence_id", text.alias("record_json"), "redacted_at", "redaction_reason"))
+    refs = t.candidate_refs.withColumn("relationship", F.when((number("subject_id", "cand_") % 41 == 3) & (F.col("ord") == 0), F.lit("?")).otherwise(F.col("relationship")))
+    return links.link_gaps(replace(t, evidence=evidence, candidate_refs=refs, errors=broken.unionByName(candidate_errors(refs)))).select("assertion_id", "phase", "kind", "subject_id", "blocking")
+
+
 def q_grounded(spark: SparkSession, d: str) -> DataFrame:
     return links.grounded(provenance(spark, d, keep=False))
 

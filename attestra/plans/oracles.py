@@ -154,6 +154,7 @@ gaps AS (""" + " UNION ALL ".join([
 ]) + ")"
 
 
+_BROKEN = "(CAST(replace({c}, 'cand_', '') AS INT) % 41 = 3)"
 _CHECKED = _LINKS + _ANSWERS + f""",
 spoken AS (SELECT c.trace_id, c.i, c.target, l.evidence_id, {_READABLE} AS evidence_text FROM cites c JOIN ground g ON g.assertion_id = c.target AND g.grounded JOIN links l ON l.assertion_id = c.target AND l.relationship IN ('SUPPORTS', 'DERIVED_FROM') AND (NOT c.narrow OR l.evidence_id = 'ev_1'))""" + _verdicts(
     "SELECT s.*, said AS claim FROM spoken s JOIN lines USING (trace_id, i) WHERE evidence_text IS NOT NULL"
@@ -211,6 +212,11 @@ def oracle_sql() -> dict[str, str]:
         "q_assertions_dedup": "SELECT concat('as_o', o_orderkey) AS assertion_id, CASE WHEN o_orderkey % 5 = 0 THEN 'second' ELSE 'first' END AS object_value_json, o_orderkey AS load_ord FROM orders",
         "q_links": oracle(_LINKS + " SELECT assertion_id, ord, evidence_id, relationship, via_candidate, resolved, availability, model_version, backs FROM links"),
         "q_gaps": oracle(_GAPS + " SELECT * FROM gaps"),
+        "q_store_errors": oracle(
+            _GAPS.replace("FROM evidence_rows)", "FROM evidence_rows WHERE doc_id % 31 <> 7)").replace("JOIN candidate_rows r", f"JOIN (SELECT * FROM candidate_rows WHERE NOT {_BROKEN.format(c='subject_id')}) r")
+            + f""" SELECT * FROM gaps UNION ALL SELECT assertion_id, 2, 'STORE_ERROR', subject_id, false FROM gaps WHERE kind = 'DANGLING_EVIDENCE_REF' AND subject_id IN (SELECT evidence_id FROM evidence_rows WHERE doc_id % 31 = 7)
+            UNION ALL SELECT DISTINCT assertion_id, 1, 'STORE_ERROR', candidate_id, false FROM own_candidates WHERE {_BROKEN.format(c='candidate_id')} AND candidate_id IN (SELECT subject_id FROM candidate_rows)"""
+        ),
         "q_grounded": oracle(_LINKS + " SELECT * FROM ground"),
         "q_decisions": """SELECT concat('as_o', o_orderkey) AS assertion_id, concat('au_', o_orderkey) AS audit_id, CASE WHEN o_orderkey % 2 = 0 THEN 'supersession' ELSE 'unknown' END AS decision_kind,
             CASE WHEN o_orderkey % 5 = 0 THEN 'ACCEPT' ELSE 'MERGE' END AS final_kind, o_orderkey % 4 <> 0 AS consulted_adviser, CASE WHEN o_orderkey % 7 = 0 THEN 'prior' WHEN o_orderkey % 11 = 0 THEN 'resulting' ELSE 'affected' END AS role

@@ -17,6 +17,7 @@ EVIDENCE = (
 CANDIDATE_REFS = "subject_id string, ord int, evidence_id string, relationship string"
 AUDIT_RECORDS = "seq bigint, audit_id string, record_json string"
 AUDIT_REFS = "audit_id string, assertion_id string"
+ERRORS = "source string, subject_id string, detail string"
 CITATIONS = "array<struct<assertion_id:string,evidence_ids:array<string>,confidence:double>>"
 SENTENCES = f"array<struct<text:string,start:int,end:int,citations:{CITATIONS}>>"
 ANSWERS = f"trace_id string, question string, text string, produced_by string, model string, sentences {SENTENCES}"

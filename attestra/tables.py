@@ -18,6 +18,8 @@ class ProvenanceTables:
     audit_refs: DataFrame | None = None
     max_depth: int = 16
     hidden: DataFrame | None = None  # evidence_id, no longer in evidence
+    errors: DataFrame | None = None  # source (evidence, candidate_refs or assertions), subject_id, detail: records that can't be read
+    lookups: frozenset[str] = frozenset()  # tables whose source reads only the rows of the ids it is asked for
 
     def with_hidden(self, hidden: DataFrame) -> ProvenanceTables:
         """The same tables without the evidence in ``hidden`` (evidence_id). References to it stay, so they dangle; the registry no longer tells which candidates cite it."""
