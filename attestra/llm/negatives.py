@@ -275,7 +275,8 @@ def _search(pairs: DataFrame, candidates: DataFrame, k: int, same: bool) -> Data
                     whole = pa.array([int(x) for x in s], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(i.astype(np.int32)), pa.array(ids[i]), pa.array(slot.astype(np.int32)), pa.array(id_), whole], ["block", "i", "anchor_id", "slot", "id", "score"])
 
-    joined = pairs.join(candidates.select("cell", "salt", F.col("data").alias("held")), ["cell", "salt"]).select("block", "data", "held")
+    # Blocks are larger than a plan can tell from their type, so neither side may be broadcast.
+    joined = pairs.hint("merge").join(candidates.select("cell", "salt", F.col("data").alias("held")).hint("merge"), ["cell", "salt"]).select("block", "data", "held")
     return joined.mapInArrow(search, _FOUND)
 
 
@@ -328,7 +329,7 @@ def mine(rows: DataFrame, top_leaves: int = 1024) -> DataFrame:
     bounds = "array<struct<i:int,slot:int,low:bigint,high:bigint>>"
 
     def bounded(by: DataFrame, how: str) -> DataFrame:
-        return anchors.join(by.groupBy("block").agg(F.collect_list(F.struct("i", "slot", "low", "high")).cast(bounds).alias("found")), "block", how)  # ANCHORS * POSITIVES entries
+        return anchors.hint("merge").join(by.groupBy("block").agg(F.collect_list(F.struct("i", "slot", "low", "high")).cast(bounds).alias("found")), "block", how)  # ANCHORS * POSITIVES entries
 
     looked = anchors.withColumn("found", F.lit(None).cast(bounds))
     if sum(top.blocks.values()) > 1:
