@@ -9,6 +9,17 @@ each open block the label of its nearest decided neighbours: good if both are go
 is (at equal distance only a heading before good text), and good if the page has no decided block at
 all.
 
+A class or id is a hint, not a verdict: its words speak against a container only if what density
+accepts lies elsewhere. A container named so (or a form, or an ``article`` or ``main`` named after adverts
+or comments) that holds ``SPARED`` times as much good text as lies outside all such containers, and at
+least half of the page's, wraps the article and stays. Class names with a word such as "no", "has" or
+"with" say what a page has, not what an element is, and don't count. Only tags and roles, and other
+elements named after adverts, comments and the like, are bad in any case.
+
+Stop words are known for English, French, German and Spanish. Where a page has no block that density
+accepts, its long unlinked blocks outside bad containers are good whatever their words; in scripts
+without spaces two characters count as a word.
+
 An ``article`` or ``main`` element, or a container named after content, is a prior only: inside it a
 long block of few stop words stays open instead of bad, the bad containers around an open block don't
 count as its neighbours, and an open block without any other decided neighbour is good.
@@ -37,6 +48,7 @@ from .text import chunks
 
 MIN_WORDS, LONG_WORDS = 8, 30
 LOW_STOP, HIGH_STOP = 0.15, 0.28
+SPARED = 4
 MAX_LINK_SHARE = 0.5
 
 # HTML's void elements, elements whose content is never text, and block-level elements.
@@ -53,6 +65,7 @@ BAD_WORDS = frozenset(
 )
 HARD_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended newsletter cookie cookies".split())
 GOOD_WORDS = frozenset("article content post entry story main".split())
+STATE_WORDS = frozenset("no not has have with without is enabled disabled open closed free layout hide show".split())
 CLOSES = {"p": BLOCKS - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 STOP = frozenset(
     """a about after all also an and are as at be been but by can could do for from had has have he her his how i if in into is it its
@@ -71,37 +84,46 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[\s ]+")
 
+_SLASHED = re.compile(r"=\s*[^\s\"']*/$")  # the slash belongs to a value without quotes
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
 
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0  # characters in links
     bad: bool = False
+    doubted: tuple[int, ...] = ()  # the containers around it that their names speak against
     prior: bool = False  # in an element that marks the article or whose class or id names content
     heading: bool = False
     text: str = ""
 
 
 def _container(tag: str, attributes: str, inside_good: bool) -> int:
-    """-1: never article text; 2: marks the article; 1: is named after content; 0: says nothing."""
-    bad, good, named, hard = tag in BAD_TAGS, tag in GOOD_TAGS, False, False
+    """-2: never article text; -1: its name, or being a form, speaks against it; 2: marks the article; 1: is named after content; 0: says nothing."""
+    bad, good, named, doubted, hard = tag in BAD_TAGS and tag != "form", tag in GOOD_TAGS, False, tag == "form", False
     if tag == "header" and not inside_good:
         bad = True
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next(filter(None, values), "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-                return -1
+                return -2
             if name == "role":
                 bad, good = bad or value in BAD_ROLES, good or value in ("main", "article")
             elif name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", value))
-                bad, hard, named = bad or bool(words & BAD_WORDS), hard or bool(words & HARD_WORDS), named or bool(words & GOOD_WORDS)
+                for one in value.split():
+                    words = set(re.split(r"[^a-z]+", one))
+                    if not words & STATE_WORDS:
+                        doubted, hard = doubted or bool(words & BAD_WORDS), hard or bool(words & HARD_WORDS)
+                    named = named or bool(words & GOOD_WORDS)
     if tag in ("body", "html"):
         return 0
-    if hard or bad and tag not in GOOD_TAGS:
-        return -1
-    return 2 if good else int(named)
+    if tag in GOOD_TAGS:
+        return -1 if hard else 2
+    if bad or hard:
+        return -2
+    return -1 if doubted else 2 if good else int(named)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -109,6 +131,8 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     block = Block()
     stack: list[tuple[str, int]] = []  # open elements and their verdict
+    doubts: list[int] = []  # the doubted ones among them, by number
+    n_doubts = 0
     opened: Counter[str] = Counter()
     bad = good = likely = anchors = 0
     heading = False
@@ -125,7 +149,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal bad, good, likely, anchors
         tag, verdict = stack.pop()
         opened[tag] -= 1
-        bad -= verdict < 0
+        bad -= verdict == -2
+        if verdict == -1:
+            doubts.pop()
         good -= verdict == 2
         likely -= verdict == 1
         anchors -= tag == "a"
@@ -139,7 +165,7 @@ def blocks_of(page: str) -> list[Block]:
         words = m[4]
         if words is not None:
             if not block.parts:
-                block.bad, block.prior, block.heading = bad > 0, good + likely > 0, heading
+                block.bad, block.prior, block.heading, block.doubted = bad > 0, good + likely > 0, heading, tuple(doubts)
             block.parts.append(words)
             if anchors:
                 block.linked += len(words.strip())
@@ -177,25 +203,50 @@ def blocks_of(page: str) -> list[Block]:
                         while len(stack) > depth:
                             pop()
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if m[3].endswith("/") and tag not in BLOCKS:
+        if m[3].endswith("/") and tag not in BLOCKS and not _SLASHED.search(m[3]):
             continue
         verdict = _container(tag, m[3], good > 0)
         stack.append((tag, verdict))
         opened[tag] += 1
-        bad += verdict < 0
+        bad += verdict == -2
+        if verdict == -1:
+            doubts.append(n_doubts)
+            n_doubts += 1
         good += verdict == 2
         likely += verdict == 1
         anchors += tag == "a"
         if verdict < 0 and tag not in BLOCKS:
             flush()
     flush()
+    _settle(out)
     return out
 
 
+def _settle(blocks: list[Block]) -> None:
+    """Blocks in doubted containers are bad, but for those of containers that wrap the article."""
+    inside: Counter[int] = Counter()
+    free = total = 0
+    for b in blocks:
+        if not b.bad and _by_density(b):
+            total += len(b.text)
+            free += 0 if b.doubted else len(b.text)
+            for c in b.doubted:
+                inside[c] += len(b.text)
+    spared = {c for c, n in inside.items() if n >= SPARED * free and 2 * n >= total}
+    for b in blocks:
+        b.bad = b.bad or not spared.issuperset(b.doubted)
+
+
+def _length(text: str) -> int:
+    return max(len(text.split()), 0 if text.isascii() else len(_UNSPACED.findall(text)) // 2)
+
+
 def decide(block: Block) -> bool | None:
     """First pass: True good, False bad, None open."""
-    if block.bad:
-        return False
+    return False if block.bad else _by_density(block)
+
+
+def _by_density(block: Block) -> bool | None:
     if block.linked > MAX_LINK_SHARE * len(block.text):
         return False
     words = block.text.lower().split()
@@ -230,6 +281,8 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     blocks = blocks_of(page or "")
     first = [decide(b) for b in blocks]
+    if True not in first:  # no text of a language that is known: length and links decide
+        first = [True if not (b.bad or b.heading) and b.linked <= MAX_LINK_SHARE * len(b.text) and _length(b.text) >= LONG_WORDS else v for b, v in zip(blocks, first, strict=True)]
     every = _neighbours(first)
     inner = _neighbours([None if b.bad else v for b, v in zip(blocks, first, strict=True)])
     keep = []
