@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents by the sum-of-squares rule.
 
 A document is its ids and the end id. Only documents longer than a sequence are cut, into whole
-sequences; the first piece takes the remainder, so that it can share a sequence. Pieces are dealt
-to groups by a hash of document and piece, and each group is packed on its own: longest first, each
-piece goes to the open gap after which the sum of the squared numbers of open sequences per gap is
-smallest, and a new sequence is opened only if no gap is wide enough. Groups hold about
-``GROUP`` documents, which keeps tasks bounded and leaves a fraction of a per cent of space.
+sequences; the first piece takes the remainder, so that it can share a sequence. A piece of a whole
+sequence has one to itself. The others are dealt to groups by a hash of document, piece and row, and
+each group is packed on its own: longest first, each piece goes to the open gap after which the sum of
+the squared numbers of open sequences per gap is smallest, and a new sequence is opened only if no gap
+is wide enough. Groups hold about ``GROUP`` pieces, which leaves a fraction of a per cent of space, and
+of a piece only its length and a row key: ids are joined to the places afterwards.
 
 Defined results: null and empty texts are the end id alone; equal gaps fill the oldest open
 sequence; equal lengths go in order of doc_id and piece; repeated rows are packed as often as they
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .text import chunks
 
 LENGTH = 1024
@@ -114,18 +116,22 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack(found: DataFrame, n_docs: int, length: int = LENGTH) -> DataFrame:
-    """The pieces (doc_id, piece, length and any other columns) with sequence_id and offset."""
-    groups = max(1, round(n_docs / GROUP))
-    names = found.columns
+def pack(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The pieces (doc_id, piece, length and any other columns) with sequence_id and offset, which replace columns of these names."""
+    names = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    key, at = (next(x + "_" * i for i in range(len(found.columns) + 1) if x + "_" * i not in found.columns) for x in ("row", "at"))
+    kept, _ = written(found.select(*names).withColumn(key, F.monotonically_increasing_id()))
+    whole = kept.where(F.col("length") >= length).select(*names, (-1 - F.col(key)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = kept.where(F.col("length") < length)
+    groups = max(1, round(rest.count() / GROUP))
 
     def run(group: pa.Table) -> pa.Table:
-        order = pc.sort_indices(group.select(["length", "doc_id", "piece"]), [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
-        sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        sequence[order], offset[order] = place(group["length"].to_numpy()[order], length)  # the rows stay where they are, since they may hold all ids
-        base = group["attestra_group"][0].as_py() << 40
-        return group.select(names).append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    keyed = found.withColumn("attestra_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return keyed.groupBy("attestra_group").applyInArrow(run, f"{schema}, sequence_id long, offset long")
+        order = pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
+        sequence, offset = place(group["length"].to_numpy()[order], length)
+        base = group["group"][0].as_py() << 40
+        return pa.table({at: group[key].take(pa.array(order)), "sequence_id": pa.array(sequence + base), "offset": pa.array(offset)})
+
+    # Only keys and lengths meet in a group: 36 bytes a piece, whatever the pieces hold.
+    dealt = rest.select(F.pmod(F.xxhash64("doc_id", "piece", key), F.lit(groups)).alias("group"), key, "doc_id", "piece", "length")
+    placed, _ = written(dealt.groupBy("group").applyInArrow(run, f"`{at}` long, sequence_id long, offset long"))
+    return rest.join(placed.hint("merge"), F.col(key) == F.col(at)).select(*names, "sequence_id", "offset").unionByName(whole)

@@ -48,7 +48,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length, ids, sequence_id and offset."""
-    return packing.pack(packing.pieces(docs), docs.count())
+    return packing.pack(packing.pieces(docs))
 
 
 STAGES = [

@@ -54,7 +54,7 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(found, docs.count())
+    return packing.pack(found)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def test_packing(spark, odd):
     for t in ["don't we'll", "<|endoftext|> x", "日本 é", "a  b\n\n c  ", *("".join(r.choice(" '\n\tstmdrevla1.!éª²¼–“€") for _ in range(12)) for _ in range(500))]:
         assert packing.encode(t, files) == exact.encode(t, add_special_tokens=False).ids
     found = packing.pieces(odd, length=64)
-    rows = packing.pack(found, odd.count(), 64).collect()
+    rows = packing.pack(found, 64).collect()
     by_doc = collections.defaultdict(list)
     for x in rows:
         by_doc[x["doc_id"]].append(x)
@@ -204,7 +204,7 @@ def test_packing(spark, odd):
     sizes = np.sort(np.random.default_rng(0).integers(1, 1024, 5000))[::-1]
     sequence, _ = packing.place(sizes, 1024)
     assert sequence.max() + 1 <= 1.02 * -(-sizes.sum() // 1024)
-    assert packing.pack(packing.pieces(odd.where("false")), 0).count() == 0
+    assert packing.pack(packing.pieces(odd.where("false"))).count() == 0
 
 
 def luhn(digits):
