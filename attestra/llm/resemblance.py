@@ -6,16 +6,22 @@ Jaccard similarity of their sets is ``SIMILARITY`` or more. Texts of equal sets
 Candidates: a fingerprint of three 64-bit lanes for each node, compared by tiles with numpy
 exclusive-or and bit counts. Sets of that similarity differ by at most a quarter in size, so nodes
 are dealt into cells by the logarithm of their size and only neighbouring cells meet. At similarity
-0.8 two fingerprints differ in about 29 of 192 bits, unrelated ones in 96; ``RADIUS`` is 48, almost four
-standard deviations from the first and seven from the second. Pairs of tiles report spanning
-forests, whose components hold all links.
+0.8 two fingerprints differ in about 29 of 192 bits, unrelated ones in 96; ``RADIUS`` is 58, almost six
+standard deviations from either. Pairs of tiles report spanning forests, whose components hold all links.
+
+The fingerprints of small sets spread more, so pairs with a set of fewer than ``SMALL`` shingles go by an
+exact index instead: of two sets with similarity s, each of n shingles has one of the other's among any
+n - ceil(s n) + 1 of its own that come first in an order that all sets share. That order is by rarity, so
+frequent shingles hardly ever count, and texts that share an early shingle are candidates by a link to
+the smallest node that has it.
 
 Confirmation goes on inside these components only, on the whole texts. A component of up to ``LOAD``
 words is one unit of work (small ones share a unit): candidate pairs are checked exactly, except those
 that are connected already. A larger one is dealt into parts; each part is checked against the
 component's first node, and only nodes that aren't linked to it meet the parts of the component, so a
 group of near copies costs one check a copy. No task takes a component as a whole, no pair is listed,
-and nothing is capped.
+and nothing is capped. Texts that are in a large component but not alike its first node go to each of
+its parts, so their shuffle grows with the square of such a component over ``LOAD``.
 
 Defined results: null and blank texts have no shingle and are copies of one another; a text of fewer
 words than a shingle is one shingle; rows without an id are rows like others; of a class the row with
@@ -31,6 +37,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components, join_unique
@@ -38,7 +45,8 @@ from .simhash import _majority, _shingle_hashes, sides, tile_pairs
 from .store import written
 from .text import chunks, mix
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 48
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 58
+SMALL = 32
 TILE, LOAD = 32768, 1_000_000
 _LANES = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # the last one is a sum over the set, not a fingerprint
 _ROWS, _COLUMNS = 128, 2048  # of one block of comparisons
@@ -81,6 +89,40 @@ def near(a: np.ndarray, b: np.ndarray, radius: int):
                 yield i[keep] + x, j[keep] + y
 
 
+def _early(n: np.ndarray | int, similarity: float):
+    """Of n shingles in the common order, how many may have to be looked at to meet one of a similar set."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray], similarity: float):
+    """Blocks (i, j) that hold all pairs of sets of a and b that can be similar, by their rarest shingles here."""
+    flat = np.concatenate([*a, *b, np.zeros(0, np.uint64)])
+    values, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, count))] = np.arange(len(values))
+    held: dict[int, list[int]] = {}
+    ends = np.cumsum([len(s) for s in (*a, *b)])
+    early = [np.sort(rank[number[end - len(s) : end]])[: int(_early(np.int64(len(s)), similarity))] if len(s) else np.zeros(0, np.int64) for s, end in zip((*a, *b), ends, strict=True)]
+    for j, own in enumerate(early[len(a) :]):
+        for x in own.tolist():
+            held.setdefault(x, []).append(j)
+    for i, own in enumerate(early[: len(a)]):
+        for x in own.tolist():
+            if x in held:
+                yield np.full(len(held[x]), i), np.array(held[x])
+
+
+def likely(held: Shingles, left: np.ndarray, right: np.ndarray, similarity: float, radius: int):
+    """Blocks (i, j) of places in left and right that hold all pairs that can be similar."""
+    for i, j in near(held.lanes[left], held.lanes[right], radius):
+        yield left[i], right[j]
+    most = math.ceil(SMALL / similarity)
+    few, few_right = (x[(held.size[x] < most) & (held.size[x] > 0)] for x in (left, right))
+    if len(few) and len(few_right):
+        for i, j in shared([held.sets[k] for k in few], [held.sets[k] for k in few_right], similarity):
+            yield few[i], few_right[j]
+
+
 class _Classes:
     """Classes of places: each link joins two of them."""
 
@@ -114,8 +156,10 @@ class _Classes:
             at_once *= 2
 
 
-def nodes(docs: DataFrame, row: list[str], words: int) -> DataFrame:
-    """doc_id, r1, r2 (the row's hashes), node (its lanes) and n (distinct shingles) of every row."""
+def nodes(docs: DataFrame, row: list[str], words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, r1, r2 (the row's hashes), node (its lanes), n (distinct shingles) and few (the shingles, of small sets only) of every row."""
+
+    most = math.ceil(SMALL / similarity)  # a set that is similar to a small one is smaller than that
 
     def run(batches):
         for batch in batches:
@@ -123,9 +167,10 @@ def nodes(docs: DataFrame, row: list[str], words: int) -> DataFrame:
                 held = Shingles(part.column("text").to_pylist(), words)
                 data = pa.py_buffer(held.lanes.astype("<u8").tobytes())
                 node = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.arange(0, 32 * part.num_rows + 1, 32, dtype=np.int32).tobytes()), data])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "r1", "r2")), node, pa.array(held.size)], ["doc_id", "r1", "r2", "node", "n"])
+                few = pa.array([s.view(np.int64) if 0 < len(s) < most else None for s in held.sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "r1", "r2")), node, pa.array(held.size), few], ["doc_id", "r1", "r2", "node", "n", "few"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(row), "text").mapInArrow(run, "doc_id long, r1 long, r2 long, node binary, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(row), "text").mapInArrow(run, "doc_id long, r1 long, r2 long, node binary, n long, few array<long>")
 
 
 def hashes(row: list[str]) -> tuple[Column, Column]:
@@ -156,6 +201,21 @@ def candidates(distinct: DataFrame, similarity: float, radius: int, tile: int) -
     return units.groupBy("c1", "p1", "c2", "p2").applyInArrow(run, "a binary, b binary")
 
 
+def small_candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the small sets (node, few) that share an early shingle in the order of rarity, each to the smallest node that has it."""
+    each = _kept(distinct.where("few is not null").select("node", F.size("few").alias("n"), F.explode("few").alias("shingle")))
+    counts = _kept(each.groupBy("shingle").agg(F.count("*").alias("n")))
+    often = join_unique(each.select("shingle", "node", F.col("n").alias("size")), counts.where("n > 1").withColumnRenamed("n", "often"), "shingle", counts)
+    # Shingles of one set only come first in the order but link nothing; how many there are is known from the size.
+    early = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    place = F.row_number().over(W.partitionBy("node").orderBy("often", "shingle"))
+    alone = F.col("size") - F.count("*").over(W.partitionBy("node"))
+    signs = _kept(often.withColumn("place", place + alone).where(F.col("place") <= early).select("shingle", "node"))
+    least = signs.groupBy("shingle").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    least = _kept(least.where("n > 1"))
+    return join_unique(signs, least.select("shingle", "least"), "shingle", least.select("shingle", "n")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
 def confirmed(members: DataFrame, words: int, similarity: float, radius: int, load: int) -> DataFrame:
     """Links (a, b) that span the true classes of members: node, root (of its candidates), n, text, one row a node."""
     weight = members.groupBy("root").agg(F.sum("n").alias("weight"))
@@ -183,7 +243,8 @@ def confirmed(members: DataFrame, words: int, similarity: float, radius: int, lo
                 first = np.full(len(names), lead)
                 classes.confirm(first, np.arange(len(names)), alike)
             if some["parts"][0].as_py() <= 1:
-                for i, j in near(held.lanes, held.lanes, radius):
+                every = np.arange(len(names))
+                for i, j in likely(held, every, every, similarity, radius):
                     classes.confirm(i[i < j], j[i < j], alike)
             found += [(names[i], names[j]) for i, j in classes.links]
         return table(found)
@@ -195,8 +256,8 @@ def confirmed(members: DataFrame, words: int, similarity: float, radius: int, lo
         if settled.any():  # they are linked to the first node already
             classes.label[settled] = np.flatnonzero(settled)[0]
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for i, j in near(held.lanes[left], held.lanes[right], radius):
-            classes.confirm(left[i], right[j], lambda x, y: names[x] == names[y] or held.similar(x, y, similarity))
+        for i, j in likely(held, left, right, similarity, radius):
+            classes.confirm(i, j, lambda x, y: names[x] == names[y] or held.similar(x, y, similarity))
         return table([(names[i], names[j]) for i, j in classes.links if names[i] != names[j]])
 
     first = _kept(each.withColumn("unit", unit).select("unit", "root", "node", "parts", "text").groupBy("unit").applyInArrow(within, "a binary, b binary"))
@@ -223,10 +284,10 @@ def _groups(keys: np.ndarray) -> list[np.ndarray]:
 
 def first_rows(docs: DataFrame, row: list[str], words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, tile: int = TILE, load: int = LOAD) -> DataFrame:
     """r1, r2 (see ``hashes``) of one row of each class of near-duplicates: the one with the smallest doc_id, nulls last, then the smallest hashes; and whether that row is there more than once."""
-    each = nodes(docs, row, words).groupBy("node", "n", "doc_id", "r1", "r2").agg((F.count("*") > 1).alias("repeated"))
+    each = nodes(docs, row, words, similarity).groupBy("node", "n", "doc_id", "r1", "r2").agg((F.count("*") > 1).alias("repeated"), F.first("few").alias("few"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "repeated")
-    distinct = _kept(each.groupBy("node", "n").agg(F.min(order).alias("first")))
-    roots = components(candidates(distinct, similarity, radius, tile))
+    distinct = _kept(each.groupBy("node", "n").agg(F.min(order).alias("first"), F.first("few").alias("few")))
+    roots = components(candidates(distinct.where(F.col("n") >= SMALL), similarity, radius, tile).unionByName(small_candidates(distinct, similarity)))
     roots = _kept(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
     named = _kept(distinct.join(roots, "node").select("node", "root", "n", "first.r1", "first.r2", "first.repeated"))
     texts = named.join(docs.select(*hashes(row), "text"), ["r1", "r2"]).select("node", "root", "n", "text", "repeated")
@@ -239,8 +300,9 @@ def first_rows(docs: DataFrame, row: list[str], words: int = WORDS, similarity:
 
 def distinct_rows(docs: DataFrame, row: list[str], **parameters) -> DataFrame:
     """One row of each class of near-duplicates, with all columns; ``row`` names those that tell rows apart."""
-    tagged = docs.withColumns(dict(zip(("attestra_r1", "attestra_r2"), hashes(row), strict=True)))
-    keys = first_rows(docs, row, **parameters).withColumnsRenamed({"r1": "attestra_r1", "r2": "attestra_r2", "repeated": "attestra_repeated"})
-    kept = tagged.join(keys, ["attestra_r1", "attestra_r2"])
-    again = kept.where("attestra_repeated").dropDuplicates(["attestra_r1", "attestra_r2"])
-    return kept.where("not attestra_repeated").unionByName(again).select(*docs.columns)
+    r1, r2, often = (next(x + "_" * i for i in range(len(docs.columns) + 1) if x + "_" * i not in docs.columns) for x in ("r1", "r2", "repeated"))  # whatever the columns are called
+    tagged = docs.withColumns(dict(zip((r1, r2), hashes(row), strict=True)))
+    keys = first_rows(docs, row, **parameters).withColumnsRenamed({"r1": r1, "r2": r2, "repeated": often})
+    kept = tagged.join(keys, [r1, r2])
+    again = kept.where(F.col(often)).dropDuplicates([r1, r2])
+    return kept.where(~F.col(often)).unionByName(again).select(*docs.columns)
