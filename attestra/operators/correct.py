@@ -98,42 +98,59 @@ def _with_parts(answers: DataFrame, parts: DataFrame) -> DataFrame:
     return answers.drop("sentences", "text").join(got.select("trace_id", found.alias("sentences"), text.alias("text")), "trace_id")
 
 
+def _alone(rows: DataFrame) -> DataFrame:
+    """Sentences (key, text, citations) as answers of one sentence each, named by their key."""
+    none = F.lit(None).cast("string")
+    one = F.array(F.struct("text", F.lit(0).alias("start"), F.char_length("text").cast("int").alias("end"), "citations")).cast(SENTENCES)
+    return rows.select(F.col("key").alias("trace_id"), F.lit("").alias("question"), "text", F.lit("").alias("produced_by"), none.alias("model"), one.alias("sentences"))
+
+
 def correct(t: ProvenanceTables, answers: DataFrame, verifier, retrieve: Retriever | None = None, regenerate: Regenerator | None = None, max_rounds: int = 2, drop_uncited: bool = True, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(answers, corrections) for all answers at once.
 
     In each round every bad sentence is cited again (RECITE), else written again (REGENERATE), else
-    left out (ABSTAIN). After ``max_rounds`` what is still bad is left out until nothing is. Answers
-    that lose all sentences are missing from the result: the engine abstains.
+    left out (ABSTAIN). The next round checks only the sentences that this one has changed: the others
+    keep their verdicts. After ``max_rounds`` what is still bad is left out. Answers without a bad
+    sentence stay as they are; those that lose all sentences are missing from the result: the engine
+    abstains.
     corrections: trace_id, round, original_text, action, new_text, new_citation, reason.
     """
     if max_rounds < 1:
         raise ValueError("max_rounds must be >= 1")
     none = F.lit(None).cast("string")
-    current, log, rounds = answers, [], 0
+    columns = ("key", "owner", "place", "text", "citations")
+    key = F.concat_ws("/", "trace_id", F.col("i").cast("string"))
+    fresh = checkpointed(sentences_of(answers).select(key.alias("key"), F.col("trace_id").alias("owner"), F.col("i").alias("place"), "text", "citations"))
+    good, log, touched, rounds = [], [], None, 0
     while True:
-        current = checkpointed(current)
-        verified = verified_sentences(current, checks(t, current, verifier))
-        listed = sentences_of(current).select("trace_id", "i", "text", "citations", F.transform("citations", lambda c: c["assertion_id"]).alias("cited_ids"))
-        bad = checkpointed(listed.join(to_fix(verified, drop_uncited), ["trace_id", "i"], "left_semi"))
+        alone = _alone(fresh)
+        verified = checkpointed(to_fix(verified_sentences(alone, checks(t, alone, verifier)), drop_uncited).select(F.col("trace_id").alias("key")))
+        good.append(fresh.join(verified, "key", "left_anti").select(*columns))
+        bad = checkpointed(fresh.join(verified, "key", "left_semi").select(*columns))
+        touched = bad.select("owner").distinct() if touched is None else touched
         if bad.isEmpty():
             break
-        good = listed.join(bad.select("trace_id", "i"), ["trace_id", "i"], "left_anti").select("trace_id", "i", "text", "citations")
+        listed = bad.select(F.col("key").alias("trace_id"), F.lit(0).alias("i"), "text", "citations", F.transform("citations", lambda c: c["assertion_id"]).alias("cited_ids"), "owner", "place")
         if rounds < max_rounds:
             rounds += 1
-            fixed = bad.withColumn("recite", none) if retrieve is None else bad.join(_recited(t, verifier, bad, retrieve, k), ["trace_id", "i"], "left")
-            fixed = fixed.withColumn("rewrite", none) if regenerate is None else fixed.join(_rewritten(t, verifier, current, bad, regenerate), ["trace_id", "i"], "left")
+            fixed = listed.withColumn("recite", none) if retrieve is None else listed.join(_recited(t, verifier, listed, retrieve, k), ["trace_id", "i"], "left")
+            fixed = fixed.withColumn("rewrite", none) if regenerate is None else fixed.join(_rewritten(t, verifier, _alone(bad), listed, regenerate), ["trace_id", "i"], "left")
             action = F.when(F.col("recite").isNotNull(), "RECITE").when(F.col("rewrite").isNotNull(), "REGENERATE").otherwise("ABSTAIN")
             fixed = checkpointed(fixed.withColumn("action", action))
             reason = F.when(F.col("action") == "RECITE", "another assertion entails it").when(F.col("action") == "REGENERATE", "says what the cited evidence says").otherwise("no evidence entails it")
-            one = F.array(F.struct(F.col("recite").alias("assertion_id"), F.array().cast("array<string>").alias("evidence_ids"), F.lit(1.0).alias("confidence"))).cast(CITATIONS)
-            kept = fixed.where("action <> 'ABSTAIN'").select("trace_id", "i", F.when(F.col("action") == "REGENERATE", F.col("rewrite")).otherwise(F.col("text")).alias("text"), F.when(F.col("action") == "RECITE", one).otherwise(F.col("citations")).alias("citations"))
-            good = good.unionByName(kept)
         else:
-            fixed, reason = bad.withColumns({"action": F.lit("ABSTAIN"), "rewrite": none, "recite": none}), F.lit("still unsupported after the last round")
-        log.append(fixed.select("trace_id", F.lit(rounds).alias("round"), F.col("text").alias("original_text"), "action", F.when(F.col("action") == "REGENERATE", F.col("rewrite")).alias("new_text"), F.col("recite").alias("new_citation"), reason.alias("reason")))
-        current = _with_parts(current, good)
+            fixed, reason = listed.withColumns({"action": F.lit("ABSTAIN"), "rewrite": none, "recite": none}), F.lit("still unsupported after the last round")
+        log.append(fixed.select(F.col("owner").alias("trace_id"), F.lit(rounds).alias("round"), F.col("text").alias("original_text"), "action", F.when(F.col("action") == "REGENERATE", F.col("rewrite")).alias("new_text"), F.col("recite").alias("new_citation"), reason.alias("reason")))
+        one = F.array(F.struct(F.col("recite").alias("assertion_id"), F.array().cast("array<string>").alias("evidence_ids"), F.lit(1.0).alias("confidence"))).cast(CITATIONS)
+        fresh = checkpointed(
+            fixed.where("action <> 'ABSTAIN'").select(F.col("trace_id").alias("key"), "owner", "place", F.when(F.col("action") == "REGENERATE", F.col("rewrite")).otherwise(F.col("text")).alias("text"), F.when(F.col("action") == "RECITE", one).otherwise(F.col("citations")).alias("citations"))
+        )
+    parts = reduce(DataFrame.unionByName, good).select(F.col("owner").alias("trace_id"), F.col("place").alias("i"), "text", "citations")
+    changed = touched.withColumnRenamed("owner", "trace_id")
+    same = answers.join(changed, "trace_id", "left_anti")
+    mended = _with_parts(answers.join(changed, "trace_id", "left_semi"), parts.join(changed, "trace_id", "left_semi")).select(*answers.columns)
     empty = answers.select("trace_id", F.lit(0).alias("round"), none.alias("original_text"), none.alias("action"), none.alias("new_text"), none.alias("new_citation"), none.alias("reason")).where("false")
-    return current, reduce(DataFrame.unionByName, log, empty)
+    return same.select(*answers.columns).unionByName(mended), reduce(DataFrame.unionByName, log, empty)
 
 
 def passages(t: ProvenanceTables, docs: DataFrame, ranking: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,6 +18,7 @@ from attestra.functions.text import rendered
 from attestra.functions.verdict import THRESHOLD, with_verdict
 from attestra.operators.answers import citations_of, cited_links, sentences_of
 from attestra.operators.links import links
+from attestra.plans.store import checkpointed
 from attestra.schemas import VERDICTS
 from attestra.tables import ProvenanceTables
 
@@ -55,27 +58,40 @@ def parse_reply(reply: object) -> tuple[str, float, str]:
 
 @dataclass(frozen=True)
 class Judge:
-    """A verifier around a callable that answers a prompt. It runs in Arrow batches on the executors, once a row: it is marked as non-deterministic, so that no plan calls it again."""
+    """A verifier around a callable that answers a prompt. Equal pairs of claim and evidence are one prompt; prompts are asked in Arrow batches on the executors, ``workers`` at once in a task, each at most ``attempts`` times, and the replies are kept, so that no plan asks again."""
 
     complete: Callable[[str], str]
     name: str = "judge"
     version: str = "1"
     can_leak: bool = True
+    workers: int = 8
+    attempts: int = 2
+
+    def _ask(self, claim: str, evidence: str) -> tuple[str, float, str]:
+        prompt = f"Does the evidence entail the claim? Answer with JSON: verdict (one of {', '.join(VERDICTS)}), score, rationale.\nClaim: {claim or ''}\nEvidence: {evidence or ''}"
+        for turn in range(max(1, self.attempts)):
+            try:
+                return parse_reply(self.complete(prompt))
+            except Exception as error:  # a failing model judges nothing
+                failed, wait = type(error).__name__, 0.05 * 2**turn
+                if turn + 1 < self.attempts:
+                    time.sleep(wait)
+        return "UNVERIFIABLE", 0.0, f"the model failed: {failed}"
 
     def judge(self, df: DataFrame, claim: str, evidence: str) -> DataFrame:
-        complete = self.complete
+        ask, workers = self._ask, max(1, self.workers)
 
         @F.pandas_udf(JUDGEMENT)
-        def ask(claims: pd.Series, texts: pd.Series) -> pd.DataFrame:
-            rows = []
-            for c, e in zip(claims, texts, strict=True):
-                try:
-                    rows.append(parse_reply(complete(f"Does the evidence entail the claim? Answer with JSON: verdict (one of {', '.join(VERDICTS)}), score, rationale.\nClaim: {c or ''}\nEvidence: {e or ''}")))
-                except Exception as error:  # a failing model judges nothing
-                    rows.append(("UNVERIFIABLE", 0.0, f"the model failed: {type(error).__name__}"))
-            return pd.DataFrame(rows, columns=["verdict", "score", "rationale"])
+        def replies(claims: pd.Series, texts: pd.Series) -> pd.DataFrame:
+            with ThreadPoolExecutor(workers) as pool:
+                return pd.DataFrame(list(pool.map(ask, claims, texts)), columns=["verdict", "score", "rationale"])
 
-        return df.withColumn("attestra_j", ask.asNondeterministic()(claim, evidence)).withColumn("verdict", F.col("attestra_j.verdict")).withColumn("score", F.col("attestra_j.score")).withColumn("rationale", F.col("attestra_j.rationale")).drop("attestra_j")
+        text = lambda c: F.coalesce(F.col(c), F.lit(""))
+        prompt = F.sha2(F.concat(F.sha2(text(claim), 256), F.sha2(text(evidence), 256)), 256)
+        rows = checkpointed(df.withColumn("attestra_prompt", prompt))
+        prompts = rows.groupBy("attestra_prompt").agg(F.min(text(claim)).alias("c"), F.min(text(evidence)).alias("e"))
+        asked = checkpointed(prompts.withColumn("j", replies.asNondeterministic()("c", "e")).select("attestra_prompt", "j.verdict", "j.score", "j.rationale"))
+        return rows.join(asked, "attestra_prompt").drop("attestra_prompt")
 
 
 def controlled(verifier, df: DataFrame, claim: str, evidence: str) -> DataFrame:
@@ -150,3 +166,13 @@ def trigger(proposals: DataFrame) -> DataFrame:
     """Each proposal as the arguments of a review trigger: identity, assertion, evidence, and a reason of at most 500 characters."""
     reason = F.concat_ws(" ", "kind", "assertion_id", F.lit("by"), "evidence_id", F.concat(F.lit("("), "verifier", F.lit(" "), F.round("score", 4).cast("string"), F.lit("):")), "statement")
     return proposals.select("identity_id", F.struct("assertion_id", "evidence_id", "proposed_relationship").alias("payload"), F.left(reason, F.lit(500)).alias("reason"))
+
+
+def trigger_arguments(proposals: DataFrame, trace_id: str = "") -> DataFrame:
+    """Each proposal as what a curation trigger takes: kind (NEW_EVIDENCE of an upgrade, CONTRADICTION_DETECTED), identity_ids, assertion_ids, evidence_ids, reason (who judged what, with its rationale, 500 characters at most) and trace_id. Raising it is the caller's."""
+    hundredths = F.format_string("%.2f", F.rint(F.col("score") * 100) / 100)  # exact halves to the even hundredth
+    judged = F.concat(F.lit("attestra "), "kind", F.lit(": "), "verifier", F.lit("@"), "verifier_version", F.lit(" judged "), "verdict", F.lit(" ("), hundredths, F.lit("): "), F.coalesce("rationale", F.lit("")))
+    return proposals.select(
+        F.when(F.col("kind") == "SUPPORTS_UPGRADE", "NEW_EVIDENCE").otherwise("CONTRADICTION_DETECTED").alias("kind"), F.array("identity_id").alias("identity_ids"), F.array("assertion_id").alias("assertion_ids"),
+        F.array("evidence_id").alias("evidence_ids"), F.left(judged, F.lit(500)).alias("reason"), F.lit(trace_id).alias("trace_id"),
+    )

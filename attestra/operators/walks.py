@@ -22,32 +22,46 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _doubled(pointers: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """x, path (the ids that pointers (x, to) lead to from x, ``most`` of them at most) and known (whether the last of them has a row in pointers; to may be null), and the number of joins: each doubles all paths at once."""
+    rows = checkpointed(pointers.where("to is not null").select("x", F.array("to").alias("path")))
+    rounds, reach = 0, 1
+    while reach < most:
+        ends = rows.select(F.col("x").alias("end"), F.col("path").alias("more"))
+        longer = rows.withColumn("end", F.element_at("path", -1)).join(ends, "end", "left").select("x", F.slice(F.concat("path", F.coalesce("more", F.array().cast("array<string>"))), 1, most).alias("path"), F.col("more").isNotNull().alias("grew"))
+        longer = checkpointed(longer)
+        rounds, reach = rounds + 1, 2 * reach
+        grew = not longer.where("grew").isEmpty()
+        rows = longer.drop("grew")
+        if not grew:
+            break
+    known = pointers.select(F.col("x").alias("end"), F.lit(True).alias("known"))
+    return rows.withColumn("end", F.element_at("path", -1)).join(known, "end", "left").select("x", "path", F.coalesce("known", F.lit(False)).alias("known")), rounds
+
+
 def successors(t: ProvenanceTables, ids: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """assertion_id, successors (the ids after it, oldest first), and at most one gap: gap_kind, gap_subject, gap_at.
 
     A pointer back into the chain ends it (LINEAGE_CYCLE), as does one past ``max_depth``
     (LINEAGE_DEPTH_LIMIT). An unknown id ends it too (UNRESOLVED_SUCCESSOR), but stays in the chain.
+    Paths double with each join, so a chain of n takes log2(n) of them; each path is judged on its own row.
     """
     depth = t.max_depth if max_depth is None else max_depth
-    pointers = t.assertions.select(F.col("assertion_id").alias("to"), F.col("superseded_by").alias("then"))
-    none = F.lit(None).cast("string")
-    done = []
-    rows = selected(t, ids).select("assertion_id", F.array().cast("array<string>").alias("successors"), F.col("assertion_id").alias("at"), F.col("superseded_by").alias("next"))
-    columns = ("assertion_id", "successors")
-    for _ in range(depth + 1):
-        ended = rows.where("next is null").select(*columns, none.alias("gap_kind"), none.alias("gap_subject"), none.alias("gap_at"))
-        seen = (F.col("next") == F.col("assertion_id")) | F.array_contains("successors", F.col("next"))
-        going = rows.where("next is not null").withColumn("seen", seen)
-        stops = F.col("seen") | (F.size("successors") >= depth)
-        stopped = going.where(stops).select(*columns, F.when(F.col("seen"), "LINEAGE_CYCLE").otherwise("LINEAGE_DEPTH_LIMIT").alias("gap_kind"), F.col("next").alias("gap_subject"), F.col("at").alias("gap_at"))
-        step = going.where(~stops).join(pointers, F.col("next") == F.col("to"), "left").withColumn("successors", F.array_append("successors", F.col("next")))
-        step = checkpointed(step.select("assertion_id", "successors", "at", "next", "to", "then"))
-        lost = step.where("to is null").select(*columns, F.lit("UNRESOLVED_SUCCESSOR").alias("gap_kind"), F.col("next").alias("gap_subject"), F.col("at").alias("gap_at"))
-        done += [ended, stopped, lost]
-        rows = step.where("to is not null").select("assertion_id", "successors", F.col("to").alias("at"), F.col("then").alias("next"))
-        if rows.isEmpty():
-            break
-    return _union(done)
+    pointers = t.assertions.select(F.col("assertion_id").alias("x"), F.col("superseded_by").alias("to"))
+    paths, _ = _doubled(pointers, depth + 1)
+    rows = selected(t, ids).select("assertion_id").join(paths.withColumnRenamed("x", "assertion_id"), "assertion_id", "left")
+    line = F.concat(F.array("assertion_id"), "path")  # place 1 is the assertion itself
+    place = F.sequence(F.lit(1), F.size("path"))
+    again = F.filter(place, lambda i: F.array_position(F.slice(line, F.lit(1), i), F.element_at("path", i)) > 0)
+    size, none = F.size("path"), F.lit(None).cast("string")
+    cycle = F.try_element_at(again, F.lit(1))
+    kind = F.when(cycle.isNotNull(), "LINEAGE_CYCLE").when(size > depth, "LINEAGE_DEPTH_LIMIT").when(~F.col("known"), "UNRESOLVED_SUCCESSOR")
+    rows = rows.withColumn("path", F.coalesce("path", F.array().cast("array<string>"))).withColumn("cycle", F.when(F.size("path") > 0, cycle)).withColumn("gap_kind", F.when(size > 0, kind))
+    cut = F.when(F.col("gap_kind") == "LINEAGE_CYCLE", F.col("cycle") - 1).when(F.col("gap_kind") == "LINEAGE_DEPTH_LIMIT", F.lit(depth)).otherwise(size)
+    at = F.when(F.col("gap_kind") == "UNRESOLVED_SUCCESSOR", size - 1).otherwise(cut)  # so many steps lead to where it shows
+    subject = F.when(F.col("gap_kind").isNotNull(), F.element_at("path", F.greatest((at + 1).cast("int"), F.lit(1))))
+    where = F.when(F.col("gap_kind").isNotNull(), F.element_at(line, (at + 1).cast("int")))
+    return rows.select("assertion_id", F.slice("path", F.lit(1), cut.cast("int")).alias("successors"), F.coalesce("gap_kind", none).alias("gap_kind"), subject.alias("gap_subject"), where.alias("gap_at"))
 
 
 def current_ids(walked: DataFrame) -> DataFrame:

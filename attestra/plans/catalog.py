@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestra.functions import text as X
 from attestra.functions.spans import evidence_span, span_length
@@ -16,7 +17,7 @@ from attestra.operators import chain, correct, harness, links, prov, retrieve, v
 from attestra.operators.audit import decisions
 from attestra.plans.store import checkpointed, written
 from attestra.plans.world import provenance, views
-from attestra.schemas import SENTENCES
+from attestra.schemas import ASSERTIONS, EVIDENCE, SENTENCES
 from attestra.sources.readers import candidate_errors, evidence_records, load_assertions
 from attestra.tables import ProvenanceTables, deduplicated, reachable_assertions
 
@@ -261,6 +262,11 @@ def q_triggers(spark: SparkSession, d: str) -> DataFrame:
     return found.select("identity_id", "payload.*", F.char_length("reason").alias("reason_chars"))
 
 
+def q_trigger_arguments(spark: SparkSession, d: str) -> DataFrame:
+    found = verify.trigger_arguments(_proposals(spark, d), "run")
+    return found.select("kind", *(F.array_join(c, ",").alias(c) for c in ("identity_ids", "assertion_ids", "evidence_ids")), "reason", "trace_id")
+
+
 def q_load_assertions(spark: SparkSession, d: str) -> DataFrame:
     """The assertions written as JSON lines in the shared folder and loaded again."""
     _, path = written(provenance(spark, d, keep=False).assertions.drop("load_ord").select(F.to_json(F.struct("*")).alias("value")), "text")
@@ -352,6 +358,33 @@ def q_correct_answer(spark: SparkSession, d: str) -> DataFrame:
     return correct.correct(provenance(spark, d), answers_of(spark, d), verify.Lexical())[1].select("trace_id", "round", "original_text", "action", "reason")
 
 
+def repairs_of(spark: SparkSession, d: str) -> tuple[ProvenanceTables, DataFrame, retrieve.Retriever, correct.Regenerator]:
+    """An assertion and an answer for each document with text. The answer is a sentence of it (any, by doc_id): as it is, citing it or (every fourth) the next one; with "not", citing it; or citing none. What says a sentence is found by the sentence itself, but for each eighth document; the writer takes "not" off."""
+    rows = checkpointed(_read(spark, d, "documents").where("text <> ''").select("doc_id", "text", _sentence(F.col("text"), F.col("doc_id")).alias("said")))
+    name = lambda c: F.concat(F.lit("as_"), F.col(c).cast("string"))
+    null = lambda kind: F.lit(None).cast(kind)
+    ev = F.concat(F.lit("ev_"), F.col("doc_id").cast("string"))
+    made = {"assertion_id": name("doc_id"), "subject_identity": F.lit("s"), "predicate": F.lit("says"), "status": F.lit("ACTIVE"), "evidence_refs": F.array(F.struct(ev.alias("evidence_id"), F.lit("SUPPORTS").alias("relationship"))), "source_candidate_ids": F.array().cast("array<string>"), "load_ord": F.col("doc_id")}
+    held = {"evidence_id": ev, "source_locator": F.lit("d"), "availability": F.lit("PRESENT"), "content": F.col("text")}
+    shaped = lambda schema, values: rows.select(*[(values[f.name] if f.name in values else null(f.dataType)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+    t = ProvenanceTables(shaped(ASSERTIONS, made), shaped(EVIDENCE, held))
+    turn = F.col("doc_id") % 4
+    target = F.when(turn == 1, F.concat(F.lit("as_"), (F.col("doc_id") + 1).cast("string"))).otherwise(name("doc_id"))
+    cites = F.array(F.struct(target.alias("assertion_id"), F.array().cast("array<string>").alias("evidence_ids"), F.lit(1.0).alias("confidence")))
+    text = F.when(turn == 2, F.concat("said", F.lit(" not"))).otherwise(F.col("said"))
+    found, joined = correct.rebuilt(F.array(F.struct(text.alias("text"), F.when(turn == 3, F.slice(cites, 1, 0)).otherwise(cites).alias("citations"))))
+    answers = rows.select(F.col("doc_id").cast("string").alias("trace_id"), F.lit("").alias("question"), joined.alias("text"), F.lit("model").alias("produced_by"), null("string").alias("model"), found.cast(SENTENCES).alias("sentences"))
+    known = rows.where("doc_id % 8 <> 7").groupBy(F.col("said").alias("query")).agg(F.min(name("doc_id")).alias("assertion_id"))
+    lookup = lambda q, k: q.join(known, "query").select("query_id", "assertion_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"), null("string").alias("via"))
+    return t, answers, lookup, lambda said, texts: said.removesuffix(" not") if said.endswith(" not") else None
+
+
+def q_correct_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections of all kinds: cited again, written again, left out."""
+    t, answers, lookup, write = repairs_of(spark, d)
+    return correct.correct(t, answers, verify.Lexical(), lookup, write)[1].select("trace_id", "round", "original_text", "action", "new_text", "new_citation")
+
+
 def cases_of(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark question, with an order as gold by a formula."""
     n = _read(spark, d, "orders").agg(F.count("*").alias("n"))

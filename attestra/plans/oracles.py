@@ -317,6 +317,17 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT l.assertion_id, l.evidence_id, {_READABLE} AS evidence_text, CASE WHEN known THEN CASE k % 4 WHEN 1 THEN said || ' not' WHEN 2 THEN said || ' 987654' ELSE said END ELSE concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) END AS claim, known, subject_identity
             FROM links l JOIN about a USING (assertion_id) WHERE relationship = 'DERIVED_FROM' AND {_READABLE} IS NOT NULL""") + """ SELECT CASE WHEN known THEN claim ELSE subject_identity END AS identity_id, assertion_id, evidence_id, CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS' ELSE 'CONTRADICTS' END AS proposed_relationship,
             CAST(least(500, length(concat(CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS_UPGRADE' ELSE 'CONTRADICTION' END, ' ', assertion_id, ' by ', evidence_id, ' (lexical ', CAST(score AS VARCHAR), '): ', claim, CASE WHEN known THEN '  ' ELSE '' END))) AS INT) AS reason_chars FROM judged WHERE verdict IN ('ENTAILED', 'CONTRADICTED')"""),
+        "q_trigger_arguments": oracle(_LINKS + ", about AS (SELECT a.*, " + _sentence("coalesce(e.content, '')", "CAST(replace(e.evidence_id, 'ev_', '') AS BIGINT)") + " AS said, e.evidence_id IS NOT NULL AS known FROM assertion_rows a LEFT JOIN own_refs o ON o.assertion_id = a.assertion_id AND o.ord = 0 LEFT JOIN ev e ON e.evidence_id = o.evidence_id)" + _verdicts(
+            f"""SELECT l.assertion_id, l.evidence_id, {_READABLE} AS evidence_text, CASE WHEN known THEN CASE k % 4 WHEN 1 THEN said || ' not' WHEN 2 THEN said || ' 987654' ELSE said END ELSE concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) END AS claim, known, subject_identity
+            FROM links l JOIN about a USING (assertion_id) WHERE relationship = 'DERIVED_FROM' AND {_READABLE} IS NOT NULL""") + """ SELECT CASE verdict WHEN 'ENTAILED' THEN 'NEW_EVIDENCE' ELSE 'CONTRADICTION_DETECTED' END AS kind, CASE WHEN known THEN claim ELSE subject_identity END AS identity_ids, assertion_id AS assertion_ids, evidence_id AS evidence_ids,
+            left(concat('attestra ', CASE verdict WHEN 'ENTAILED' THEN 'SUPPORTS_UPGRADE' ELSE 'CONTRADICTION' END, ': lexical@2 judged ', verdict, ' (', printf('%.2f', score), '): ', rationale), 500) AS reason, 'run' AS trace_id FROM judged WHERE verdict IN ('ENTAILED', 'CONTRADICTED')"""),
+        "q_correct_repaired": "WITH d AS (SELECT doc_id, text, " + _sentence("text", "doc_id") + " AS said, concat('as_', doc_id) AS own FROM documents WHERE text <> ''), known AS (SELECT said, min(own) AS found FROM d WHERE doc_id % 8 <> 7 GROUP BY 1),"
+            " a AS (SELECT d.doc_id, said, CASE doc_id % 4 WHEN 1 THEN concat('as_', doc_id + 1) WHEN 3 THEN NULL ELSE own END AS cited, CASE WHEN doc_id % 4 = 2 THEN said || ' not' ELSE said END AS original FROM d)" + _verdicts(
+            """SELECT a.doc_id, a.original AS claim, e.text AS evidence_text, 'cited' AS what, a.cited AS about FROM a JOIN d e ON e.own = a.cited UNION ALL SELECT a.doc_id, a.original, e.text, 'found', k.found FROM a JOIN known k ON k.said = a.original JOIN d e ON e.own = k.found WHERE a.cited IS DISTINCT FROM k.found
+            UNION ALL SELECT a.doc_id, a.said, e.text, 'written', NULL FROM a JOIN d e ON e.own = a.cited WHERE a.original <> a.said""") + """
+            SELECT CAST(a.doc_id AS VARCHAR) AS trace_id, 1 AS round, original AS original_text, CASE WHEN f.about IS NOT NULL THEN 'RECITE' WHEN w.claim IS NOT NULL THEN 'REGENERATE' ELSE 'ABSTAIN' END AS action, CASE WHEN f.about IS NULL THEN w.claim END AS new_text, f.about AS new_citation
+            FROM a LEFT JOIN judged f ON f.doc_id = a.doc_id AND f.what = 'found' AND f.verdict = 'ENTAILED' LEFT JOIN judged w ON w.doc_id = a.doc_id AND w.what = 'written' AND w.verdict = 'ENTAILED'
+            WHERE NOT EXISTS (SELECT 1 FROM judged c WHERE c.doc_id = a.doc_id AND c.what = 'cited' AND c.verdict = 'ENTAILED')""",
         "q_prov_triples": oracle(_EVERYTHING + ", all_gaps AS (SELECT assertion_id, kind, subject_id FROM gaps UNION ALL SELECT root_id, kind, subject_id FROM lineage_gaps UNION ALL SELECT assertion_id, gap, gap_subject FROM paths WHERE gap IS NOT NULL)" + _triples()),
         "q_extractive": f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, {_WORDS.format(t='text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
             p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
