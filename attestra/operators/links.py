@@ -18,6 +18,9 @@ def selected(t: ProvenanceTables, ids: DataFrame | None) -> DataFrame:
 
 def references(t: ProvenanceTables, ids: DataFrame | None = None) -> DataFrame:
     """assertion_id, ord, evidence_id, relationship, via_candidate: own references in order (repeats stay), then those of source candidates that add a new pair of evidence and relationship."""
+    if t.refs is not None:
+        kept = t.refs.select("assertion_id", "ord", "evidence_id", "relationship", "via_candidate")
+        return kept if ids is None else kept.join(ids.select("assertion_id").distinct(), "assertion_id", "left_semi")
     rows = selected(t, ids)
     own = rows.select("assertion_id", F.posexplode("evidence_refs").alias("ord", "ref")).select("assertion_id", "ord", "ref.evidence_id", "ref.relationship", F.lit(None).cast("string").alias("via_candidate"))
     if t.candidate_refs is None:

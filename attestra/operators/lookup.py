@@ -49,7 +49,7 @@ def neighbourhood(t: ProvenanceTables, ids: list[str], lineage: bool = True) ->
             break
         if len(seen) + len(frontier) > MOST:
             return t
-    changed = {}
+    changed = {"refs": None}  # few ids make their own from the assertions
     if "assertions" in t.lookups:
         changed["assertions"] = asked(t.assertions, "assertion_id", seen)
     if t.candidate_refs is not None and len(candidates) <= MOST:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,11 +14,12 @@ from attestra.functions import text as X
 from attestra.functions.spans import evidence_span, span_length
 from attestra.functions.verdict import with_verdict
 from attestra.operators import answers as A
-from attestra.operators import chain, correct, harness, links, prov, retrieve, verify, walks
+from attestra.operators import chain, correct, harness, links, prov, refresh, retrieve, verify, walks
 from attestra.operators.audit import decisions
 from attestra.plans.store import checkpointed, written
 from attestra.plans.world import provenance, views
 from attestra.schemas import ASSERTIONS, EVIDENCE, SENTENCES
+from attestra.sources.bucketed import bucketed
 from attestra.sources.readers import candidate_errors, evidence_records, load_assertions
 from attestra.tables import ProvenanceTables, deduplicated, reachable_assertions
 
@@ -100,6 +102,20 @@ def q_links(spark: SparkSession, d: str) -> DataFrame:
     return links.links(provenance(spark, d, keep=False)).select("assertion_id", "ord", "evidence_id", "relationship", "via_candidate", "resolved", "availability", "model_version", "backs")
 
 
+def q_links_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The links again, over tables kept in buckets of their keys."""
+    t = bucketed(provenance(spark, d, keep=False), f"attestra_{uuid.uuid4().hex}", 16)
+    return links.links(t).select("assertion_id", "ord", "evidence_id", "relationship", "via_candidate", "resolved", "availability", "model_version", "backs")
+
+
+def q_refreshed_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a snapshot in which every eleventh assertion, and the evidence after each seventeenth piece, was missing, and which is then refreshed."""
+    t = provenance(spark, d)
+    number = F.replace("evidence_id", F.lit("ev_"), F.lit("")).cast("long")
+    before = replace(t, assertions=t.assertions.where("load_ord % 11 <> 0"), evidence=t.evidence.where(number % 17 != 1))
+    return refresh.refreshed(refresh.snapshot(before, search=False), t).docs.select("assertion_id", F.md5("text").alias("text_md5"))
+
+
 def q_gaps(spark: SparkSession, d: str) -> DataFrame:
     return links.link_gaps(provenance(spark, d, keep=False)).select("assertion_id", "phase", "kind", "subject_id", "blocking")
 

@@ -349,4 +349,5 @@ def oracle_sql() -> dict[str, str]:
         "q_render": oracle("SELECT assertion_id, subject_identity, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS statement FROM assertion_rows"),
         "q_iri": "SELECT doc_id, md5(concat('urn:x:evidence:', url_encode(text))) AS iri_md5, CAST(least(length(text), 257) AS INT) AS n_bounded FROM documents",
     }
+    found |= {"q_links_bucketed": found["q_links"], "q_refreshed_docs": found["q_docs"]}
     return found

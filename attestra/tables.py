@@ -19,6 +19,7 @@ class ProvenanceTables:
     max_depth: int = 16
     hidden: DataFrame | None = None  # evidence_id, no longer in evidence
     errors: DataFrame | None = None  # source (evidence, candidate_refs or assertions), subject_id, detail: records that can't be read
+    refs: DataFrame | None = None  # all references as ``links.references`` gives them, where they are kept
     lookups: frozenset[str] = frozenset()  # tables whose source reads only the rows of the ids it is asked for
 
     def with_hidden(self, hidden: DataFrame) -> ProvenanceTables:
