@@ -360,6 +360,26 @@ def q_router(spark: SparkSession, d: str) -> DataFrame:
     return router.retrieve(questions_of(spark, d), 5)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letters_of(text: Column) -> Column:
+    """An embedding that SQL can tell as well: how often each letter and digit occurs."""
+    return F.array(*[F.char_length(F.lower(text)).cast("double") - F.char_length(F.replace(F.lower(text), F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def q_router_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Route, retrieve, fuse and gate over the assertions' statements, with letter counts as vectors: a question on each nation, relational, exact or neither."""
+    t = provenance(spark, d)
+    docs = checkpointed(verify.rendered_assertions(t).select("assertion_id", F.col("statement").alias("text")))
+    key, name = F.col("n_nationkey").cast("string"), F.lower("n_name")
+    text = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("why is nation/"), key, F.lit(" order sum related"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("customer/"), key, F.lit(" order total"))).otherwise(F.concat(F.lit("order totals of "), name))
+    asked = _read(spark, d, "nation").select(key.alias("query_id"), text.alias("query"))
+    vectors = checkpointed(docs.select("assertion_id", letters_of(F.col("text")).alias("vector")))
+    held = retrieve.retrievers_for(t, docs, embed=letters_of, vectors=vectors)
+    return retrieve.Router(t, held).retrieve(asked, 5)
+
+
 def q_docs(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.documents(provenance(spark, d, keep=False)).select("assertion_id", F.md5("text").alias("text_md5"))
 

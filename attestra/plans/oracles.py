@@ -154,6 +154,7 @@ gaps AS (""" + " UNION ALL ".join([
 ]) + ")"
 
 
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''), lambda c: (length(lower({t})) - length(replace(lower({t}), c, '')))::DOUBLE)"
 _BROKEN = "(CAST(replace({c}, 'cand_', '') AS INT) % 41 = 3)"
 _CHECKED = _LINKS + _ANSWERS + f""",
 spoken AS (SELECT c.trace_id, c.i, c.target, l.evidence_id, {_READABLE} AS evidence_text FROM cites c JOIN ground g ON g.assertion_id = c.target AND g.grounded JOIN links l ON l.assertion_id = c.target AND l.relationship IN ('SUPPORTS', 'DERIVED_FROM') AND (NOT c.narrow OR l.evidence_id = 'ev_1'))""" + _verdicts(
@@ -349,5 +350,26 @@ def oracle_sql() -> dict[str, str]:
         "q_render": oracle("SELECT assertion_id, subject_identity, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS statement FROM assertion_rows"),
         "q_iri": "SELECT doc_id, md5(concat('urn:x:evidence:', url_encode(text))) AS iri_md5, CAST(least(length(text), 257) AS INT) AS n_bounded FROM documents",
     }
+    found["q_router_statements"] = oracle(_LINKS + _WALK.format(depth=16) + _NEIGHBOURS + f""",
+        q AS (SELECT CAST(n_nationkey AS VARCHAR) AS query_id, CASE n_nationkey % 3 WHEN 0 THEN concat('why is nation/', n_nationkey, ' order sum related') WHEN 1 THEN concat('customer/', n_nationkey, ' order total') ELSE concat('order totals of ', lower(n_name)) END AS query FROM nation),
+        routes AS (SELECT *, regexp_matches(query, '{X.SPARSE_CUES}') AS sparse, regexp_matches(lower(query), '{X.GRAPH_CUES}') AS graph FROM q),
+        d AS (SELECT id, text, {_WORDS.format(t='text')} AS w FROM (SELECT assertion_id AS id, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS text FROM assertion_rows)),
+        n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_WORDS.format(t='query')}) AS term FROM q) GROUP BY 1, 2),
+        s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
+        words AS (SELECT query_id, id AS assertion_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10),
+        every AS (SELECT query_id, assertion_id, score, rank AS sr, CAST(NULL AS VARCHAR) AS via, 0 AS o FROM words UNION ALL SELECT query_id, neighbour, round(score * 0.5::DOUBLE, 6), rank, w.assertion_id, 1 FROM words w JOIN near x ON x.assertion_id = w.assertion_id),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, assertion_id ORDER BY score DESC, o, sr) AS k FROM every) WHERE k = 1),
+        around AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, assertion_id) AS rank FROM best) WHERE rank <= 10),
+        dv AS (SELECT id, {_LETTERS.format(t='text')} AS v FROM d), qv AS (SELECT query_id, {_LETTERS.format(t='query')} AS v FROM q), cos AS (SELECT query_id, id AS assertion_id, list_cosine_similarity(qv.v, dv.v) AS score FROM qv, dv),
+        close AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, assertion_id) AS rank FROM cos WHERE score > 0) WHERE rank <= 10),
+        lists AS (SELECT query_id, assertion_id, rank, CAST(NULL AS VARCHAR) AS via, 1 AS place FROM words JOIN routes USING (query_id) WHERE sparse UNION ALL SELECT query_id, assertion_id, rank, via, 2 FROM around JOIN routes USING (query_id) WHERE graph UNION ALL SELECT query_id, assertion_id, rank, NULL, 3 FROM close),
+        fused AS (SELECT query_id, assertion_id, sum(1.0::DOUBLE / (60 + rank)) AS total, first(via ORDER BY place) AS via FROM lists GROUP BY 1, 2),
+        seeds AS (SELECT query_id, assertion_id, round(total, 6) AS score, via, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, assertion_id) AS rank FROM fused) WHERE rank <= 10),
+        now AS (SELECT s.query_id, s.rank, s.score, s.via, s.assertion_id AS original_id, CASE WHEN c.assertion_id IS NOT NULL THEN c.assertion_id ELSE s.assertion_id END AS assertion_id FROM seeds s JOIN succ x ON x.assertion_id = s.assertion_id LEFT JOIN assertion_rows c ON c.assertion_id = x.current_assertion_id),
+        judged AS (SELECT n.*, a.status <> 'ACTIVE' AS inactive, NOT g.grounded AS ungrounded FROM now n JOIN assertion_rows a USING (assertion_id) JOIN ground g USING (assertion_id)),
+        passing AS (SELECT *, CASE WHEN NOT inactive AND NOT ungrounded THEN 1 ELSE 0 END AS ok, sum(CASE WHEN NOT inactive AND NOT ungrounded THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, assertion_id ORDER BY rank) AS nth FROM judged),
+        counted AS (SELECT *, coalesce(sum(CASE WHEN ok = 1 AND nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM passing)
+        SELECT query_id, CAST(rank AS INT) AS rank, original_id, assertion_id, score, via, CASE WHEN ok = 1 AND nth = 1 THEN 'kept' WHEN nth >= 1 THEN 'repeated' WHEN inactive THEN 'inactive' ELSE 'ungrounded' END AS outcome, CASE WHEN ok = 1 AND nth = 1 THEN CAST(before + 1 AS BIGINT) END AS kept_rank FROM counted WHERE before < 5""")
     found |= {"q_links_bucketed": found["q_links"], "q_refreshed_docs": found["q_docs"]}
     return found
