@@ -148,15 +148,26 @@ def impact(t: ProvenanceTables, evidence: DataFrame | None = None) -> DataFrame:
         found.append(via.withColumn("how", F.lit("via_candidate")))
         known = known.unionByName(via)
     edges = checkpointed(inputs.where("kind = 'assertion'").select(F.col("ref").alias("assertion_id"), F.col("assertion_id").alias("consumer")).distinct())
-    delta, rounds = known, 0
+    after = consumers(known.select("assertion_id").distinct(), edges)
+    later = known.join(after, "assertion_id").select("evidence_id", F.col("consumer").alias("assertion_id")).distinct().join(known, ["evidence_id", "assertion_id"], "left_anti")
+    found.append(later.withColumn("how", F.lit("transitive")))
+    return _union(found)
+
+
+def consumers(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """assertion_id, consumer: what is derived from each source over any number of edges (assertion_id, consumer); a source on a cycle isn't its own.
+
+    The closure is one of assertions: evidence, of which each may have many pieces, is joined to it once at the end. A round joins only what the last one has found.
+    """
+    delta = checkpointed(sources.join(edges, "assertion_id").where("assertion_id <> consumer").select("assertion_id", "consumer"))
+    known, parts, rounds = delta, edges.select(F.col("assertion_id").alias("consumer"), F.col("consumer").alias("next")), 0
     while not delta.isEmpty():
-        reached = delta.join(edges, "assertion_id").select("evidence_id", F.col("consumer").alias("assertion_id")).distinct()
-        delta = checkpointed(reached.join(known, ["evidence_id", "assertion_id"], "left_anti"))
-        found.append(delta.withColumn("how", F.lit("transitive")))
+        reached = delta.join(parts, "consumer").where("assertion_id <> next").select("assertion_id", F.col("next").alias("consumer")).distinct()
+        delta = checkpointed(reached.join(known, ["assertion_id", "consumer"], "left_anti"))
         known, rounds = known.unionByName(delta), rounds + 1
         if rounds % MOST_PARTS == 0:
             known = checkpointed(known)  # the parts are kept already; one table of them keeps the plans of long chains short
-    return _union(found)
+    return known
 
 
 def citing_candidates(t: ProvenanceTables) -> DataFrame:
