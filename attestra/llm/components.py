@@ -5,7 +5,7 @@ with the logarithm of the longest chain every node points at the smallest node o
 Neighbours are only ever reduced by min(), never collected, and a node that holds more than one in
 ``SHARE`` of all rows gets its smallest neighbour by broadcast instead of by shuffle, so no task has
 to take all rows of a hub. Nothing but two totals a round reaches the driver. Nodes may be of any
-type that can be ordered.
+type that can be ordered; edges with a null node link nothing.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ A pair of tiles reports a spanning forest of its links instead of all of them, w
 connection while a group of thousands of near copies costs thousands of edges, not millions. The
 comparisons grow with the square of the number of distinct fingerprints, at a small constant. So does
 the shuffle beyond ``TILE`` fingerprints a cell, since a tile goes to each of its partners: n distinct
-ones are sent about 0.4 n / TILE times. Tile pairs are planned by Spark from the number of tiles of
+ones are sent about 0.55 n / TILE times. Tile pairs are planned by Spark from the number of tiles of
 each of the 289 cells, which is all that is broadcast.
 
 Defined results: null and empty texts have no shingle and fingerprint 0, which links like any other;
