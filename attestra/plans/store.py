@@ -28,9 +28,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+KEPT: list[str] = []  # folders that ``written`` has made in this process, for those who can tell when nothing reads them any more
+
+
 def written(df: DataFrame, form: str = "parquet") -> tuple[DataFrame, str]:
     """``df``, computed once and read again from a table in the shared folder, and the table's path. Unlike after a checkpoint the plan then knows the true size, which matters in long loops."""
     path = f"{shared_folder(df.sparkSession)}/attestra-{uuid.uuid4().hex}"
+    KEPT.append(path)
     df.write.format(form).save(path)
     return df.sparkSession.read.schema(df.schema).format(form).load(path), path
 
@@ -41,6 +45,13 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession, mark: int) -> None:
+    """Delete what ``written`` has made since ``KEPT`` was ``mark`` long."""
+    for path in KEPT[mark:]:
+        removed(spark, path)
+    del KEPT[mark:]
+
+
 def fits(df: DataFrame, text: str, most: int) -> bool:
     """Whether ``df``, whose size is that of its column ``text``, may be broadcast: its rows and bytes are counted, unless the files it rests on are already over four times ``most`` bytes (or of unknown size), so that large tables are not read for it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
