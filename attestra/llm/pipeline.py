@@ -3,7 +3,7 @@
 Each stage works on all rows that its predecessor kept and returns the columns of documents (the
 last one returns pieces in sequences). Between stages ``run`` writes Parquet in the shared folder and
 reads it again, so a lost executor repeats a task, not the pipeline; what a stage has read is removed
-once the next one is written.
+once the next one is written, and what it has kept for itself once it is written.
 
 Defined results, for every stage: null texts are empty ones, which the first stage removes and the
 others keep as they are; rows without an id are rows like others; repeated rows are judged alike (the
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packing, pii, quality_rules, resemblance, toxicity
-from .store import removed, shared_folder
+from .store import KEPT, released, removed, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -69,7 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES:
+        mark = len(KEPT)
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        released(spark, mark)  # what the stage has kept for itself
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             removed(spark, before)

@@ -1,5 +1,5 @@
 """The library's shared folder for intermediate results, under the names that the operators here use."""
 
-from attestra.plans.store import checkpointed, removed, shared_folder, written
+from attestra.plans.store import KEPT, checkpointed, released, removed, shared_folder, written
 
-__all__ = ["checkpointed", "removed", "shared_folder", "written"]
+__all__ = ["KEPT", "checkpointed", "released", "removed", "shared_folder", "written"]
