@@ -86,5 +86,6 @@ def refreshed(old: Snapshot, t: ProvenanceTables) -> Snapshot:
     touched = checkpointed(held.join(stale, "assertion_id", "left_semi").select("block").distinct())
     again = held.join(touched, "block", "left_semi").select("assertion_id")
     rebuilt = docs.join(again.unionByName(fresh.select("assertion_id")).distinct(), "assertion_id", "left_semi")
-    kept = old.index.join(touched, "block", "left_anti")
-    return replace(old, docs=docs, records=now, index=checkpointed(kept.select(*old.index.columns).unionByName(index_blocks(rebuilt))), vectors=vectors)
+    kept = old.index.join(touched, "block", "left_anti").drop("block")
+    blocks = kept.unionByName(index_blocks(rebuilt).drop("block")).withColumn("block", F.monotonically_increasing_id())  # numbered anew, so that no two are one
+    return replace(old, docs=docs, records=now, index=checkpointed(blocks), vectors=vectors)

@@ -36,6 +36,8 @@ def test_refresh_equals_building_anew(spark, monkeypatch):
         whole = refresh.snapshot(t, 16)
         assert sorted(map(tuple, old.docs.collect())) == sorted(map(tuple, whole.docs.collect()))
         assert sorted(map(tuple, old.vectors.collect())) == sorted(map(tuple, whole.vectors.collect()))
+        numbers = [r[0] for r in old.index.select("block").collect()]
+        assert len(numbers) == len(set(numbers))
         best = lambda s: sorted(map(tuple, retrieve.bm25(s.docs, asked, 5, s.index).collect()), key=str)  # noqa: E731, B023
         assert best(old) == best(whole)
 
