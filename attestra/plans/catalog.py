@@ -186,6 +186,19 @@ def q_chain_payload(spark: SparkSession, d: str) -> DataFrame:
     return found.select("assertion_id", *(size(c, f"n_{c}") for c in ("links", "successors", "decisions", "lineage", "gaps")), (read("grounded") == "true").alias("grounded"), size("present_evidence_ids", "n_present"), read("current_assertion_id").alias("current_assertion_id"))
 
 
+def q_chain_contents(spark: SparkSession, d: str) -> DataFrame:
+    """What the JSON of every chain holds, read back from it: links and decisions in their order, lineage and gaps sorted."""
+    found = chain.payload(chain.chains(audited(spark, d), with_content=False))
+    shapes = {"links": "evidence_id string, relationship string", "decisions": "audit_id string, final_kind string, role string", "lineage": "kind string, ref string, depth int", "gaps": "kind string, subject_id string"}
+
+    def told(part: str) -> Column:
+        rows = F.transform(F.from_json(F.get_json_object("payload", f"$.{part}"), f"array<struct<{shapes[part].replace(' ', ':').replace(',:', ',')}>>"), lambda x: F.concat_ws("/", *(x[f.split()[0]] for f in shapes[part].split(", "))))
+        return F.md5(F.array_join(F.array_sort(rows) if part in ("lineage", "gaps") else rows, ",")).alias(f"{part}_md5")
+
+    later = F.array_join(F.from_json(F.get_json_object("payload", "$.successors"), "array<string>"), ",").alias("successors")
+    return found.select("assertion_id", *map(told, shapes), later)
+
+
 def q_answer_valid(spark: SparkSession, d: str) -> DataFrame:
     """Answers with every seventh sentence of eleven moved by one, so that its span no longer holds its text."""
     moved = lambda s, i: s.withField("start", s["start"] + F.when(i % 11 == 7, 1).otherwise(0)).withField("end", s["end"] + F.when(i % 11 == 7, 1).otherwise(0))
@@ -222,6 +235,12 @@ def q_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_verifier"), F.size(X.sentences(F.col("text"), X.GENERATOR_BREAK)).alias("n_generator"))
 
 
+def q_sentence_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences themselves, of either splitter."""
+    told = lambda found: F.md5(F.array_join(found, "\x02"))
+    return _read(spark, d, "documents").select("doc_id", told(X.sentences(F.col("text"))).alias("verifier_md5"), told(X.sentences(F.col("text"), X.GENERATOR_BREAK)).alias("generator_md5"))
+
+
 def q_lexical_verdict(spark: SparkSession, d: str) -> DataFrame:
     return with_verdict(claims_of(spark, d), "claim", "text").select("doc_id", "verdict", "score", "rationale")
 
@@ -318,6 +337,13 @@ def q_hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.size("v").alias("dim"), F.round(X.cosine(F.col("v"), F.col("v")), 6).alias("own_cosine"))
 
 
+def q_embedding_components(spark: SparkSession, d: str) -> DataFrame:
+    """The components of every document's hashed vector that aren't 0, in millionths."""
+    v = _read(spark, d, "documents").select("doc_id", retrieve.hash_embedding(F.col("text")).alias("v"))
+    told = F.array_compact(F.transform("v", lambda x, i: F.when(x != 0, F.concat_ws(":", i, F.round(x * 1_000_000).cast("long")))))
+    return v.select("doc_id", F.size(told).alias("n_components"), F.md5(F.array_join(told, ",")).alias("components_md5"))
+
+
 def q_graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return walks.neighbours(provenance(spark, d))
 
@@ -384,6 +410,13 @@ def q_docs(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.documents(provenance(spark, d, keep=False)).select("assertion_id", F.md5("text").alias("text_md5"))
 
 
+def q_passages(spark: SparkSession, d: str) -> DataFrame:
+    """What may be quoted for each customer's first ten orders: their grounding evidence, or else their statements."""
+    t = provenance(spark, d)
+    docs = verify.rendered_assertions(t).select("assertion_id", F.col("statement").alias("text"))
+    return correct.passages(t, docs, _seeds(spark, d)).select("query_id", "rank", "assertion_id", F.md5("passage").alias("passage_md5"))
+
+
 def q_extractive(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = documents_of(spark, d), questions_of(spark, d)
     found = correct.extractive(asked, retrieve.bm25(docs, asked, 5).join(docs, "assertion_id").select("query_id", "rank", "assertion_id", F.col("text").alias("passage")))
@@ -435,11 +468,50 @@ def q_hidden_evidence(spark: SparkSession, d: str) -> DataFrame:
     return harness.hidden_evidence(provenance(spark, d), cases_of(spark, d))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """The answers of answers_of as runs of three baselines with and without loss of evidence, scored against gold and rankings made by formula; a fifth of the cases has no answer."""
+    t, answers = provenance(spark, d), checkpointed(answers_of(spark, d))
+    part = lambda i: F.split_part("trace_id", F.lit("-"), F.lit(i)).cast("long")
+    n = _read(spark, d, "orders").agg(F.count("*").alias("n"))
+    runs = answers.select("trace_id", part(1).alias("conv"), part(2).alias("turn")).crossJoin(F.broadcast(n))  # one row
+    order = lambda key: F.concat(F.lit("as_o"), (key % F.col("n")).cast("string"))
+    first = F.col("conv") * 31 + F.col("turn") * 7
+    keys = runs.select(
+        F.col("trace_id").alias("run_id"), F.col("conv").cast("string").alias("case_id"), F.concat(F.lit("B"), (F.col("turn") % 3).cast("string")).alias("baseline"),
+        F.when(F.col("conv") % 2 == 0, harness.PERTURBATIONS[0]).otherwise(harness.PERTURBATIONS[1]).alias("perturbation"), F.array(order(first), order(first + 3)).alias("gold_assertion_ids"),
+    )
+    top = runs.where("conv % 7 <> 3").select(F.col("trace_id").alias("query_id"), F.array(order(first), order(F.col("conv") * 13 + F.col("turn"))).alias("top"))
+    return harness.scored(t, keys, answers.where(part(1) % 5 != 4), top)
+
+
+def q_case_scores(spark: SparkSession, d: str) -> DataFrame:
+    found = _runs(spark, d)
+    return found.select("run_id", "case_id", "baseline", "perturbation", *(F.round(c, 6).alias(c) for c in ("recall_at_k", "gold_precision", "completeness", "faithfulness")), "n_cited", "n_ungrounded", "abstained")
+
+
+def q_baseline_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = harness.summary(_runs(spark, d))
+    return found.select("baseline", "perturbation", "cases", *(F.round(c, 6).alias(c) for c in found.columns[3:]))
+
+
 def q_prov_triples(spark: SparkSession, d: str) -> DataFrame:
     t = provenance(spark, d)
     return prov.triples(t, t.assertions.select("assertion_id")).select("assertion_id", "s", "p", "o", "kind")
 
 
+def q_answer_triples(spark: SparkSession, d: str) -> DataFrame:
+    return prov.answer_triples(provenance(spark, d), answers_of(spark, d)).select("trace_id", "s", "p", "o", "kind")
+
+
+def q_prov_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of every answer's JSON-LD, read back from it: which properties each has, and how many values."""
+    found = prov.json_ld(prov.answer_triples(provenance(spark, d), answers_of(spark, d)), "trace_id")
+    nodes = found.select("trace_id", F.explode(F.from_json(F.get_json_object("json_ld", "$['@graph']"), "array<map<string,string>>")).alias("node"))
+    names = F.array_sort(F.filter(F.map_keys("node"), lambda p: p != "@id"))
+    values = F.aggregate(names, F.lit(0), lambda n, p: n + F.when(p.isin(*prov.SETS), F.json_array_length(F.try_element_at("node", p))).otherwise(1))
+    return nodes.select("trace_id", F.try_element_at("node", F.lit("@id")).alias("node_id"), F.array_join(names, ",").alias("properties"), values.alias("n_values"))
+
+
 def q_prov_json(spark: SparkSession, d: str) -> DataFrame:
     return prov.json_ld(prov.answer_triples(provenance(spark, d), answers_of(spark, d)), "trace_id")
 

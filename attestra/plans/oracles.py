@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from attestra.functions import text as X
+from attestra.operators.prov import SETS
 from attestra.plans.world import oracle
 
 _SPAN = r"'^(.+)#(?:chunk:([0-9]{1,9})@)?chars:([0-9]{1,9})-([0-9]{1,9})$'"
@@ -122,6 +123,12 @@ judged AS (SELECT *, CASE WHEN len(content) = 0 OR ev IS NULL THEN 0.0::DOUBLE E
                    WHEN full_ AND turned THEN 'the words stand in another order' WHEN verdict = 'ENTAILED' THEN 'the evidence has the claim''s words' WHEN full_ THEN 'a number is missing' ELSE 'too few of the claim''s words' END AS rationale FROM v9)"""
 
 
+_SCORED = """,
+each AS (SELECT c.trace_id, c.i, bool_or(coalesce(g.grounded, false)) AND (NOT bool_or(c.narrow) OR coalesce(bool_or(l.resolved AND l.evidence_id = 'ev_1'), false)) AS good,
+                coalesce(bool_or((NOT c.narrow OR l.evidence_id = 'ev_1') AND l.s_start IS NOT NULL), false) AS spanned
+         FROM cites c LEFT JOIN links l ON l.assertion_id = c.target LEFT JOIN ground g ON g.assertion_id = c.target GROUP BY 1, 2),
+total AS (SELECT trace_id, count(*) AS sentences, count(e.good) AS cited_sentences, count(*) FILTER (e.good) AS grounded_sentences, count(e.good) AS citations, count(*) FILTER (e.good) AS grounded_citations, count(*) FILTER (e.good AND e.spanned) AS span_anchored_citations
+          FROM lines LEFT JOIN each e USING (trace_id, i) GROUP BY 1)"""
 _READABLE = "CASE WHEN availability = 'PRESENT' THEN coalesce(nullif(content, ''), nullif(span_quote, '')) END"
 _SEEDS = ", seeds AS (SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS query_id, concat('as_o', o_orderkey) AS assertion_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 10)"
 _NEIGHBOURS = """,
@@ -164,6 +171,15 @@ checked AS (SELECT trace_id, CAST(i AS INT) AS i, 0 AS c, target AS assertion_id
             UNION ALL SELECT trace_id, CAST(i AS INT), 0, target, NULL, 'UNVERIFIABLE', 0.0::DOUBLE, false, 'no evidence that can be read' FROM cites c WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.trace_id = c.trace_id AND j.i = c.i)),
 per_line AS (SELECT l.trace_id, CAST(l.i AS INT) AS i, said, l.i % 5 <> 4 AS cited, coalesce(bool_or(verdict = 'CONTRADICTED'), false) AS contradicted, coalesce(bool_or(verdict = 'ENTAILED'), false) AND NOT coalesce(bool_or(verdict = 'CONTRADICTED'), false) AS supported
              FROM lines l LEFT JOIN checked k ON k.trace_id = l.trace_id AND k.i = l.i GROUP BY 1, 2, 3, 4)"""
+_CASES = _CHECKED + _SCORED + """,
+runs AS (SELECT DISTINCT trace_id, CAST(split_part(trace_id, '-', 1) AS BIGINT) AS conv, CAST(split_part(trace_id, '-', 2) AS BIGINT) AS turn, n FROM lines CROSS JOIN n_orders),
+keyed AS (SELECT *, [concat('as_o', (conv * 31 + turn * 7) % n), concat('as_o', (conv * 31 + turn * 7 + 3) % n)] AS gold, CASE WHEN conv % 7 <> 3 THEN [concat('as_o', (conv * 31 + turn * 7) % n), concat('as_o', (conv * 13 + turn) % n)] ELSE [] END AS top FROM runs),
+cited AS (SELECT trace_id, list(target) AS cited, count(*) AS n_cited, count(*) FILTER (NOT coalesce(grounded, false)) AS n_ungrounded FROM (SELECT DISTINCT trace_id, target FROM cites WHERE CAST(split_part(trace_id, '-', 1) AS BIGINT) % 5 <> 4) LEFT JOIN ground ON assertion_id = target GROUP BY 1),
+faith AS (SELECT trace_id, coalesce(count(*) FILTER (supported) / nullif(count(*) FILTER (cited), 0), 0.0) AS faithfulness FROM per_line GROUP BY 1),
+cases AS (SELECT k.trace_id AS run_id, CAST(conv AS VARCHAR) AS case_id, concat('B', turn % 3) AS baseline, CASE WHEN conv % 2 = 0 THEN 'none' ELSE 'hide_gold_evidence' END AS perturbation, len(list_intersect(gold, top)) / len(gold) AS recall_at_k,
+                 coalesce(len(list_intersect(gold, cited)) / n_cited, 0.0) AS gold_precision, CASE WHEN n_cited IS NULL THEN 0.0 ELSE grounded_sentences / sentences END AS completeness, CASE WHEN n_cited IS NULL THEN 0.0 ELSE faithfulness END AS faithfulness,
+                 coalesce(n_cited, 0) AS n_cited, coalesce(n_ungrounded, 0) AS n_ungrounded, n_cited IS NULL AS abstained
+          FROM keyed k JOIN total USING (trace_id) JOIN faith USING (trace_id) LEFT JOIN cited USING (trace_id))"""
 _EVERYTHING = _GAPS + _WALK.format(depth=16) + ",\n" + _BFS.removeprefix("+ ") + """,
 paths AS (SELECT assertion_id, path, gap, gap_subject FROM walk WHERE nxt IS NULL)"""
 _MADE = """,
@@ -204,7 +220,54 @@ def _triples() -> str:
     head = """, facts AS (SELECT l.assertion_id, l.evidence_id, e.doc_id, e.source_locator, l.availability, l.s_start, l.s_end FROM links l JOIN evidence_rows e ON e.evidence_id = l.evidence_id),
         below AS (SELECT root_id AS assertion_id, kind, ref, parent_ref, method, resolved FROM nodes WHERE parent_ref IS NOT NULL),
         later AS (SELECT assertion_id, path[j] AS prev, path[j + 1] AS nxt FROM (SELECT assertion_id, path, unnest(generate_series(1, len(path) - 1)) AS j FROM paths WHERE len(path) > 1))"""
-    return head + " SELECT DISTINCT * FROM (" + " UNION ALL ".join(rows) + ")"
+    return head + ", chain_triples AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(rows) + "))"
+
+
+def _answer_triples() -> str:
+    """The triples of every answer, with those of the chains that it cites."""
+    name = lambda kind, local: f"concat('urn:attestra:{kind}:', url_encode({local}))"
+    act, by, span = name("answer", "trace_id"), name("agent:producer", "'model'"), name("output", "concat(trace_id, '/', node)")
+    answer = ((act, "@type", "'prov:Activity'", "text"), (act, "@type", "'att:AnswerGeneration'", "text"), (act, "wasAssociatedWith", by, "iri"), (by, "@type", "'prov:Agent'", "text"), (by, "@type", "'prov:SoftwareAgent'", "text"), (by, "label", "'model'", "text"))
+    cited = ((span, "@type", "'prov:Entity'", "text"), (span, "@type", "'att:OutputSpan'", "text"), (span, "wasGeneratedBy", act, "iri"), (span, "att:span", "node", "text"), (span, "wasDerivedFrom", name("assertion", "target"), "iri"))
+    rows = [f"SELECT trace_id, {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS kind FROM {source}" for source, each in (("lines", answer), ("cites", cited)) for s, p, o, kind in each]
+    rows.append("SELECT c.trace_id, t.s, t.p, t.o, t.kind FROM (SELECT DISTINCT trace_id, target FROM cites) c JOIN chain_triples t ON t.assertion_id = c.target")
+    gaps = ", all_gaps AS (SELECT assertion_id, kind, subject_id FROM gaps UNION ALL SELECT root_id, kind, subject_id FROM lineage_gaps UNION ALL SELECT assertion_id, gap, gap_subject FROM paths WHERE gap IS NOT NULL)"
+    return _EVERYTHING + gaps + _triples() + _ANSWERS + ", answer_triples AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(rows) + "))"
+
+
+#: Fixed values of BLAKE2b (RFC 7693): the first words of its state and, for each of ten rounds, the order of the message's words.
+_BLAKE_IV = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+_BLAKE_ORDER = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15), (14, 10, 4, 8, 9, 15, 13, 6, 1, 12, 0, 2, 11, 7, 5, 3), (11, 8, 12, 0, 5, 2, 15, 13, 10, 14, 3, 6, 7, 1, 9, 4),
+    (7, 9, 3, 1, 13, 12, 11, 14, 2, 6, 5, 10, 4, 0, 15, 8), (9, 0, 5, 7, 2, 4, 10, 15, 14, 1, 11, 12, 6, 8, 3, 13), (2, 12, 6, 10, 0, 11, 8, 3, 4, 13, 7, 5, 15, 14, 1, 9),
+    (12, 5, 1, 15, 14, 13, 4, 10, 0, 7, 6, 3, 9, 2, 8, 11), (13, 11, 7, 14, 12, 1, 3, 9, 5, 0, 15, 4, 8, 6, 2, 10), (6, 15, 14, 9, 11, 3, 0, 8, 12, 2, 13, 7, 1, 4, 10, 5),
+    (10, 2, 8, 4, 7, 6, 1, 5, 15, 11, 9, 14, 3, 12, 13, 0),
+)
+
+
+def _blake(features: str) -> str:
+    """Common table expressions from features (f, ASCII, up to 128 characters: one block) to hashed (f, h: the first word of its BLAKE2b with a digest of eight bytes)."""
+    word = lambda i: f"list_sum(list_transform(generate_series(0, 7), lambda b: CASE WHEN {i} * 8 + b < length(f) THEN ord(f[{i} * 8 + b + 1]) * CAST(256 ** b AS UBIGINT) ELSE 0 END))::UBIGINT"
+    start = (_BLAKE_IV[0] ^ 0x01010008, *_BLAKE_IV[1:], *_BLAKE_IV[:6], _BLAKE_IV[6] ^ (1 << 64) - 1, _BLAKE_IV[7])
+    first = ", ".join(f"xor({x}::UBIGINT, length(f)::UBIGINT) AS v{i}" if i == 12 else f"{x}::UBIGINT AS v{i}" for i, x in enumerate(start))
+    order = "[" + ", ".join(str(x + 1) for row in _BLAKE_ORDER for x in row) + "]"
+    turned = lambda x, n: f"(({x} >> {n}) | (({x} & {(1 << n) - 1}::UBIGINT) * {1 << (64 - n)}::UBIGINT))"
+    added = lambda *xs: f"(({' + '.join(f'{x}::UHUGEINT' for x in xs)}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    level = "mix"
+    for half, quads in enumerate((((0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15)), ((0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14)))):
+        for second in (0, 1):
+            said = lambda g: f"m[ord[(r % 10) * 16 + {half * 8 + g * 2 + second + 1}]]"  # noqa: E731, B023
+            for change in (
+                lambda g, a, b, c, d: f"{added(f'v{a}', f'v{b}', said(g))} AS v{a}",  # noqa: B023
+                lambda g, a, b, c, d: f"{turned(f'xor(v{d}, v{a})', 16 if second else 32)} AS v{d}",  # noqa: B023
+                lambda g, a, b, c, d: f"{added(f'v{c}', f'v{d}')} AS v{c}",
+                lambda g, a, b, c, d: f"{turned(f'xor(v{b}, v{c})', 63 if second else 24)} AS v{b}",  # noqa: B023
+            ):
+                level = f"(SELECT * REPLACE ({', '.join(change(g, *q) for g, q in enumerate(quads))}) FROM {level})"
+    level = level.replace("FROM mix)", "FROM mix WHERE r < 12)", 1)
+    return f"""mix AS (SELECT f, {order} AS ord, list_transform(generate_series(0, 15), lambda i: {word('i')}) AS m, 0 AS r, {first} FROM ({features})
+        UNION ALL SELECT * REPLACE (r + 1 AS r) FROM {level}),
+        hashed AS (SELECT f, xor(xor(v0, v8), {start[0]}::UBIGINT) AS h FROM mix WHERE r = 12)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -240,18 +303,26 @@ def oracle_sql() -> dict[str, str]:
             SELECT trace_id, 'CITES' AS kind, node AS source, target, NULL AS label FROM cites
             UNION ALL SELECT trace_id, 'BACKED_BY', target, concat(evidence_id, CASE WHEN s_start IS NOT NULL THEN concat('#chars:', s_start, '-', s_end) ELSE '' END), relationship FROM who JOIN links ON assertion_id = target
             UNION ALL SELECT trace_id, 'DERIVED_FROM', target, candidate_id, 'candidate' FROM who JOIN own_candidates ON assertion_id = target"""),
-        "q_answer_score": oracle(_LINKS + _ANSWERS + """,
-            each AS (SELECT c.trace_id, c.i, bool_or(coalesce(g.grounded, false)) AND (NOT bool_or(c.narrow) OR coalesce(bool_or(l.resolved AND l.evidence_id = 'ev_1'), false)) AS good,
-                            coalesce(bool_or((NOT c.narrow OR l.evidence_id = 'ev_1') AND l.s_start IS NOT NULL), false) AS spanned
-                     FROM cites c LEFT JOIN links l ON l.assertion_id = c.target LEFT JOIN ground g ON g.assertion_id = c.target GROUP BY 1, 2),
-            total AS (SELECT trace_id, count(*) AS sentences, count(e.good) AS cited_sentences, count(*) FILTER (e.good) AS grounded_sentences, count(e.good) AS citations, count(*) FILTER (e.good) AS grounded_citations, count(*) FILTER (e.good AND e.spanned) AS span_anchored_citations
-                      FROM lines LEFT JOIN each e USING (trace_id, i) GROUP BY 1)
+        "q_answer_score": oracle(_LINKS + _ANSWERS + _SCORED + """
             SELECT *, round(cited_sentences / sentences, 6) AS citation_coverage, round(grounded_sentences / sentences, 6) AS chain_completeness, coalesce(round(span_anchored_citations / nullif(grounded_citations, 0), 6), 0.0) AS span_anchoring FROM total"""),
         "q_tokens": f"SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, CAST(len(list_distinct(w)) AS INT) AS n_distinct, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents)",
         "q_stems": "SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, CAST(len(list_filter(w, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in (*X.STOPWORDS, *X.NEGATIONS)) + "))) AS INT) AS n_content, CAST(len(list_distinct(list_filter(w, lambda x: regexp_matches(x, '^[0-9]+(?:\\.[0-9]+)?%?$')))) AS INT) AS n_numbers,"
             f" md5(array_to_string(list_transform(w, lambda x: {_STEM.format(w='x')}), ' ')) AS stems_md5 FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)",
         "q_sentences": r"""SELECT doc_id, CAST(len(string_split(regexp_replace(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS INT) AS n_verifier,
             CAST(len(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS INT) AS n_generator FROM documents""",
+        "q_sentence_texts": f"SELECT doc_id, md5(array_to_string({_split('text')}, chr(2))) AS verifier_md5, md5(array_to_string({_split('text', 'generator')}, chr(2))) AS generator_md5 FROM documents",
+        "q_passages": oracle(_LINKS + _SEEDS + f""", texts AS (SELECT assertion_id, string_agg({_READABLE}, chr(10) ORDER BY ord) AS t FROM links WHERE relationship IN ('SUPPORTS', 'DERIVED_FROM') AND {_READABLE} IS NOT NULL GROUP BY 1)
+            SELECT query_id, CAST(rank AS INT) AS rank, s.assertion_id, md5(coalesce(nullif(t, ''), concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json))) AS passage_md5 FROM seeds s JOIN assertion_rows a USING (assertion_id) LEFT JOIN texts USING (assertion_id)"""),
+        "q_case_scores": oracle(_CASES + " SELECT run_id, case_id, baseline, perturbation, round(recall_at_k, 6) AS recall_at_k, round(gold_precision, 6) AS gold_precision, round(completeness, 6) AS completeness, round(faithfulness, 6) AS faithfulness, n_cited, n_ungrounded, abstained FROM cases"),
+        "q_baseline_summary": oracle(_CASES + """ SELECT baseline, perturbation, count(*) AS cases, round(avg(recall_at_k), 6) AS recall_at_k, round(coalesce(avg(gold_precision) FILTER (NOT abstained), 0), 6) AS gold_precision,
+            round(coalesce(avg(completeness) FILTER (NOT abstained), 0), 6) AS completeness, round(coalesce(avg(faithfulness) FILTER (NOT abstained), 0), 6) AS faithfulness, round(coalesce(sum(n_ungrounded) / nullif(sum(n_cited), 0), 0.0), 6) AS ungrounded_rate,
+            round(avg(CASE WHEN abstained THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS abstention_rate, round(avg(CASE WHEN abstained THEN 0.0::DOUBLE ELSE faithfulness END), 6) AS faithful_answer_rate FROM cases GROUP BY 1, 2"""),
+        "q_chain_contents": oracle(_EVERYTHING + _MADE + """,
+            c_links AS (SELECT assertion_id, string_agg(concat(evidence_id, '/', relationship), ',' ORDER BY ord) AS t FROM links GROUP BY 1), c_made AS (SELECT assertion_id, string_agg(concat(audit_id, '/', final_kind, '/', role), ',') AS t FROM made GROUP BY 1),
+            c_nodes AS (SELECT assertion_id, string_agg(t, ',' ORDER BY t) AS t FROM (SELECT root_id AS assertion_id, concat(kind, '/', ref, '/', depth) AS t FROM nodes) GROUP BY 1),
+            c_gaps AS (SELECT assertion_id, string_agg(t, ',' ORDER BY t) AS t FROM (SELECT assertion_id, concat(kind, '/', subject_id) AS t FROM all_gaps UNION ALL SELECT assertion_id, concat(kind, '/', assertion_id) FROM audit_gaps) GROUP BY 1)
+            SELECT a.assertion_id, md5(coalesce(l.t, '')) AS links_md5, md5(coalesce(m.t, '')) AS decisions_md5, md5(coalesce(x.t, '')) AS lineage_md5, md5(coalesce(q.t, '')) AS gaps_md5, array_to_string(p.path[2:], ',') AS successors
+            FROM assertion_rows a JOIN paths p USING (assertion_id) LEFT JOIN c_links l USING (assertion_id) LEFT JOIN c_made m USING (assertion_id) LEFT JOIN c_nodes x USING (assertion_id) LEFT JOIN c_gaps q USING (assertion_id)"""),
         "q_bm25_topk": f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_WORDS.format(t='text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
             p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
             q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest({_WORDS.format(t='text')}) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY 1, 2),
@@ -260,6 +331,12 @@ def oracle_sql() -> dict[str, str]:
         "q_dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 20 = 0)
             SELECT query_id, id AS assertion_id, round(round(score, 6), 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
         "q_hash_embed": "SELECT doc_id, 512 AS dim, CASE WHEN len(" + _WORDS.format(t="text") + ") > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS own_cosine FROM documents",
+        "q_embedding_components": "WITH RECURSIVE words AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(" + _WORDS.format(t="text") + ") AS w FROM documents) GROUP BY 1, 2), vocabulary AS (SELECT DISTINCT w FROM words), "
+            + "features AS (SELECT w, concat('w:', w) AS f FROM vocabulary UNION ALL SELECT w, concat('c:', substring(w, i, 3)) FROM (SELECT w, unnest(generate_series(1, greatest(length(w) - 2, 1))) AS i FROM vocabulary)), "
+            + _blake("SELECT DISTINCT f FROM features") + """, placed AS (SELECT f, CAST((h >> 56) + 256 * ((h >> 48) & 1) AS INT) AS place, CASE WHEN h & 128 > 0 THEN 1 ELSE -1 END AS sign FROM hashed),
+            counts AS (SELECT doc_id, place, CAST(sum(n * sign) AS DOUBLE) AS c FROM words JOIN features USING (w) JOIN placed USING (f) GROUP BY 1, 2), norms AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM counts GROUP BY 1),
+            told AS (SELECT doc_id, count(*) AS n, string_agg(concat(place, ':', CAST(round(c / norm * 1000000) AS BIGINT)), ',' ORDER BY place) AS t FROM counts JOIN norms USING (doc_id) WHERE c <> 0 GROUP BY 1)
+            SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_components, md5(coalesce(t, '')) AS components_md5 FROM documents LEFT JOIN told USING (doc_id)""",
         "q_graph_neighbours": oracle("+" + _NEIGHBOURS.lstrip(",\n") + " SELECT * FROM near"),
         "q_graph_topk": oracle("+" + _NEIGHBOURS.lstrip(",\n") + _SEEDS + """, every AS (
               SELECT query_id, assertion_id, round(1.0::DOUBLE / rank, 6) AS score, rank AS sr, CAST(NULL AS VARCHAR) AS via, 0 AS o FROM seeds
@@ -329,7 +406,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(a.doc_id AS VARCHAR) AS trace_id, 1 AS round, original AS original_text, CASE WHEN f.about IS NOT NULL THEN 'RECITE' WHEN w.claim IS NOT NULL THEN 'REGENERATE' ELSE 'ABSTAIN' END AS action, CASE WHEN f.about IS NULL THEN w.claim END AS new_text, f.about AS new_citation
             FROM a LEFT JOIN judged f ON f.doc_id = a.doc_id AND f.what = 'found' AND f.verdict = 'ENTAILED' LEFT JOIN judged w ON w.doc_id = a.doc_id AND w.what = 'written' AND w.verdict = 'ENTAILED'
             WHERE NOT EXISTS (SELECT 1 FROM judged c WHERE c.doc_id = a.doc_id AND c.what = 'cited' AND c.verdict = 'ENTAILED')""",
-        "q_prov_triples": oracle(_EVERYTHING + ", all_gaps AS (SELECT assertion_id, kind, subject_id FROM gaps UNION ALL SELECT root_id, kind, subject_id FROM lineage_gaps UNION ALL SELECT assertion_id, gap, gap_subject FROM paths WHERE gap IS NOT NULL)" + _triples()),
+        "q_prov_triples": oracle(_EVERYTHING + ", all_gaps AS (SELECT assertion_id, kind, subject_id FROM gaps UNION ALL SELECT root_id, kind, subject_id FROM lineage_gaps UNION ALL SELECT assertion_id, gap, gap_subject FROM paths WHERE gap IS NOT NULL)" + _triples() + " SELECT * FROM chain_triples"),
+        "q_answer_triples": oracle(_answer_triples() + " SELECT * FROM answer_triples"),
+        "q_prov_nodes": oracle(_answer_triples() + f""" SELECT trace_id, s AS node_id, string_agg(p, ',' ORDER BY p) AS properties, CAST(sum(n) AS INT) AS n_values
+            FROM (SELECT trace_id, s, p, CASE WHEN p IN ({_QUOTED(SETS)}) THEN count(*) ELSE 1 END AS n FROM answer_triples GROUP BY 1, 2, 3) GROUP BY 1, 2"""),
         "q_extractive": f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, {_WORDS.format(t='text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
             p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
             asked AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {_WORDS.format(t='text')} AS words FROM benchmark), q AS (SELECT query_id, unnest(words) AS term FROM asked), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY 1, 2),
