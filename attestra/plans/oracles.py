@@ -129,6 +129,11 @@ each AS (SELECT c.trace_id, c.i, bool_or(coalesce(g.grounded, false)) AND (NOT b
          FROM cites c LEFT JOIN links l ON l.assertion_id = c.target LEFT JOIN ground g ON g.assertion_id = c.target GROUP BY 1, 2),
 total AS (SELECT trace_id, count(*) AS sentences, count(e.good) AS cited_sentences, count(*) FILTER (e.good) AS grounded_sentences, count(e.good) AS citations, count(*) FILTER (e.good) AS grounded_citations, count(*) FILTER (e.good AND e.spanned) AS span_anchored_citations
           FROM lines LEFT JOIN each e USING (trace_id, i) GROUP BY 1)"""
+_DOCS = """,
+texts AS (SELECT assertion_id, ord, coalesce(nullif(content, ''), nullif(span_quote, '')) AS t FROM links WHERE availability = 'PRESENT' AND relationship IN ('SUPPORTS', 'DERIVED_FROM')),
+firsts AS (SELECT assertion_id, t, min(ord) AS ord FROM texts WHERE t IS NOT NULL GROUP BY 1, 2), base AS (SELECT assertion_id, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS r FROM assertion_rows),
+more AS (SELECT f.assertion_id, string_agg(t, chr(10) ORDER BY ord) AS m FROM firsts f JOIN base b ON b.assertion_id = f.assertion_id AND f.t <> b.r GROUP BY 1),
+assertion_docs AS (SELECT assertion_id, CASE WHEN m IS NULL THEN r ELSE concat(r, chr(10), m) END AS text FROM base LEFT JOIN more USING (assertion_id))"""
 _READABLE = "CASE WHEN availability = 'PRESENT' THEN coalesce(nullif(content, ''), nullif(span_quote, '')) END"
 _SEEDS = ", seeds AS (SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS query_id, concat('as_o', o_orderkey) AS assertion_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 10)"
 _NEIGHBOURS = """,
@@ -270,6 +275,38 @@ def _blake(features: str) -> str:
         hashed AS (SELECT f, xor(xor(v0, v8), {start[0]}::UBIGINT) AS h FROM mix WHERE r = 12)"""
 
 
+def _placed() -> str:
+    """Common table expressions from vocabulary (w) to placed (w, place, sign): where each of a word's features counts in a vector of 512, and with which sign."""
+    features = "features AS (SELECT w, concat('w:', w) AS f FROM vocabulary UNION ALL SELECT w, concat('c:', substring(w, i, 3)) FROM (SELECT w, unnest(generate_series(1, greatest(length(w) - 2, 1))) AS i FROM vocabulary)), "
+    # The digest's eight bytes are read from the highest, the word of the state from the lowest.
+    return features + _blake("SELECT DISTINCT f FROM features") + ", placed AS (SELECT w, CAST((h >> 56) + 256 * ((h >> 48) & 1) AS INT) AS place, CASE WHEN h & 128 > 0 THEN 1 ELSE -1 END AS sign FROM features JOIN hashed USING (f))"
+
+
+def _router(asked: str, documents: str, cosines: str, before: str = "") -> str:
+    """Route, retrieve, fuse and gate for queries (query_id, query) over documents (id, text); ``cosines`` are common table expressions that end with cos (query_id, assertion_id, score)."""
+    return oracle(_LINKS + _WALK.format(depth=16) + _NEIGHBOURS + before + f""",
+        q AS ({asked}),
+        routes AS (SELECT *, regexp_matches(query, '{X.SPARSE_CUES}') AS sparse, regexp_matches(lower(query), '{X.GRAPH_CUES}') AS graph FROM q),
+        d AS (SELECT id, text, {_WORDS.format(t='text')} AS w FROM ({documents})),
+        n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_WORDS.format(t='query')}) AS term FROM q) GROUP BY 1, 2),
+        s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
+        words AS (SELECT query_id, id AS assertion_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10),
+        every AS (SELECT query_id, assertion_id, score, rank AS sr, CAST(NULL AS VARCHAR) AS via, 0 AS o FROM words UNION ALL SELECT query_id, neighbour, round(score * 0.5::DOUBLE, 6), rank, w.assertion_id, 1 FROM words w JOIN near x ON x.assertion_id = w.assertion_id),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, assertion_id ORDER BY score DESC, o, sr) AS k FROM every) WHERE k = 1),
+        around AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, assertion_id) AS rank FROM best) WHERE rank <= 10),
+        {cosines},
+        close AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, assertion_id) AS rank FROM cos WHERE score > 0) WHERE rank <= 10),
+        lists AS (SELECT query_id, assertion_id, rank, CAST(NULL AS VARCHAR) AS via, 1 AS place FROM words JOIN routes USING (query_id) WHERE sparse UNION ALL SELECT query_id, assertion_id, rank, via, 2 FROM around JOIN routes USING (query_id) WHERE graph UNION ALL SELECT query_id, assertion_id, rank, NULL, 3 FROM close),
+        fused AS (SELECT query_id, assertion_id, sum(1.0::DOUBLE / (60 + rank)) AS total, first(via ORDER BY place) AS via FROM lists GROUP BY 1, 2),
+        seeds AS (SELECT query_id, assertion_id, round(total, 6) AS score, via, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, assertion_id) AS rank FROM fused) WHERE rank <= 10),
+        now AS (SELECT s.query_id, s.rank, s.score, s.via, s.assertion_id AS original_id, CASE WHEN c.assertion_id IS NOT NULL THEN c.assertion_id ELSE s.assertion_id END AS assertion_id FROM seeds s JOIN succ x ON x.assertion_id = s.assertion_id LEFT JOIN assertion_rows c ON c.assertion_id = x.current_assertion_id),
+        judged AS (SELECT n.*, a.status <> 'ACTIVE' AS inactive, NOT g.grounded AS ungrounded FROM now n JOIN assertion_rows a USING (assertion_id) JOIN ground g USING (assertion_id)),
+        passing AS (SELECT *, CASE WHEN NOT inactive AND NOT ungrounded THEN 1 ELSE 0 END AS ok, sum(CASE WHEN NOT inactive AND NOT ungrounded THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, assertion_id ORDER BY rank) AS nth FROM judged),
+        counted AS (SELECT *, coalesce(sum(CASE WHEN ok = 1 AND nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM passing)
+        SELECT query_id, CAST(rank AS INT) AS rank, original_id, assertion_id, score, via, CASE WHEN ok = 1 AND nth = 1 THEN 'kept' WHEN nth >= 1 THEN 'repeated' WHEN inactive THEN 'inactive' ELSE 'ungrounded' END AS outcome, CASE WHEN ok = 1 AND nth = 1 THEN CAST(before + 1 AS BIGINT) END AS kept_rank FROM counted WHERE before < 5""")
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "q_spans": oracle(_SPANNED + " SELECT evidence_id, locator, chunk_index, s_start AS span_start, s_end AS span_end, CASE WHEN s_start IS NOT NULL THEN own END AS typed, s_end - s_start AS span_length FROM ev"),
@@ -332,9 +369,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, id AS assertion_id, round(round(score, 6), 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
         "q_hash_embed": "SELECT doc_id, 512 AS dim, CASE WHEN len(" + _WORDS.format(t="text") + ") > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS own_cosine FROM documents",
         "q_embedding_components": "WITH RECURSIVE words AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(" + _WORDS.format(t="text") + ") AS w FROM documents) GROUP BY 1, 2), vocabulary AS (SELECT DISTINCT w FROM words), "
-            + "features AS (SELECT w, concat('w:', w) AS f FROM vocabulary UNION ALL SELECT w, concat('c:', substring(w, i, 3)) FROM (SELECT w, unnest(generate_series(1, greatest(length(w) - 2, 1))) AS i FROM vocabulary)), "
-            + _blake("SELECT DISTINCT f FROM features") + """, placed AS (SELECT f, CAST((h >> 56) + 256 * ((h >> 48) & 1) AS INT) AS place, CASE WHEN h & 128 > 0 THEN 1 ELSE -1 END AS sign FROM hashed),
-            counts AS (SELECT doc_id, place, CAST(sum(n * sign) AS DOUBLE) AS c FROM words JOIN features USING (w) JOIN placed USING (f) GROUP BY 1, 2), norms AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM counts GROUP BY 1),
+            + _placed() + """,
+            counts AS (SELECT doc_id, place, CAST(sum(n * sign) AS DOUBLE) AS c FROM words JOIN placed USING (w) GROUP BY 1, 2), norms AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM counts GROUP BY 1),
             told AS (SELECT doc_id, count(*) AS n, string_agg(concat(place, ':', CAST(round(c / norm * 1000000) AS BIGINT)), ',' ORDER BY place) AS t FROM counts JOIN norms USING (doc_id) WHERE c <> 0 GROUP BY 1)
             SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_components, md5(coalesce(t, '')) AS components_md5 FROM documents LEFT JOIN told USING (doc_id)""",
         "q_graph_neighbours": oracle("+" + _NEIGHBOURS.lstrip(",\n") + " SELECT * FROM near"),
@@ -355,10 +391,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, CAST(rank AS INT) AS rank, original_id, assertion_id, CASE WHEN ok = 1 AND nth = 1 THEN 'kept' WHEN nth >= 1 THEN 'repeated' WHEN inactive THEN 'inactive' ELSE 'ungrounded' END AS outcome, CASE WHEN ok = 1 AND nth = 1 THEN CAST(before + 1 AS BIGINT) END AS kept_rank FROM counted WHERE before < 3"""),
         "q_route": "SELECT conv_id, turn, concat_ws(',', CASE WHEN s THEN 'sparse' END, CASE WHEN g THEN 'graph' END, 'dense') AS modes, concat_ws('; ', CASE WHEN s THEN 'exact tokens (quotes/numbers/identifiers)' END, CASE WHEN g THEN 'relational or provenance question' END, 'semantic backstop') AS reason"
             f" FROM (SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '{X.SPARSE_CUES}') AS s, regexp_matches(lower(coalesce(text, '')), '{X.GRAPH_CUES}') AS g FROM conversations)",
-        "q_docs": oracle(_LINKS + """, texts AS (SELECT assertion_id, ord, coalesce(nullif(content, ''), nullif(span_quote, '')) AS t FROM links WHERE availability = 'PRESENT' AND relationship IN ('SUPPORTS', 'DERIVED_FROM')),
-            firsts AS (SELECT assertion_id, t, min(ord) AS ord FROM texts WHERE t IS NOT NULL GROUP BY 1, 2), base AS (SELECT assertion_id, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS r FROM assertion_rows),
-            more AS (SELECT f.assertion_id, string_agg(t, chr(10) ORDER BY ord) AS m FROM firsts f JOIN base b ON b.assertion_id = f.assertion_id AND f.t <> b.r GROUP BY 1)
-            SELECT assertion_id, md5(CASE WHEN m IS NULL THEN r ELSE concat(r, chr(10), m) END) AS text_md5 FROM base LEFT JOIN more USING (assertion_id)"""),
+        "q_docs": oracle(_LINKS + _DOCS + " SELECT assertion_id, md5(text) AS text_md5 FROM assertion_docs"),
         "q_chain_payload": oracle(_EVERYTHING + _MADE + """,
             c_links AS (SELECT assertion_id, count(*) AS n, count(*) FILTER (backs) AS present FROM links GROUP BY 1), c_made AS (SELECT assertion_id, count(*) AS n FROM made GROUP BY 1), c_nodes AS (SELECT root_id AS assertion_id, count(*) AS n FROM nodes GROUP BY 1),
             c_gaps AS (SELECT assertion_id, count(*) AS n FROM seen_gaps GROUP BY 1)
@@ -430,26 +463,18 @@ def oracle_sql() -> dict[str, str]:
         "q_render": oracle("SELECT assertion_id, subject_identity, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS statement FROM assertion_rows"),
         "q_iri": "SELECT doc_id, md5(concat('urn:x:evidence:', url_encode(text))) AS iri_md5, CAST(least(length(text), 257) AS INT) AS n_bounded FROM documents",
     }
-    found["q_router_statements"] = oracle(_LINKS + _WALK.format(depth=16) + _NEIGHBOURS + f""",
-        q AS (SELECT CAST(n_nationkey AS VARCHAR) AS query_id, CASE n_nationkey % 3 WHEN 0 THEN concat('why is nation/', n_nationkey, ' order sum related') WHEN 1 THEN concat('customer/', n_nationkey, ' order total') ELSE concat('order totals of ', lower(n_name)) END AS query FROM nation),
-        routes AS (SELECT *, regexp_matches(query, '{X.SPARSE_CUES}') AS sparse, regexp_matches(lower(query), '{X.GRAPH_CUES}') AS graph FROM q),
-        d AS (SELECT id, text, {_WORDS.format(t='text')} AS w FROM (SELECT assertion_id AS id, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS text FROM assertion_rows)),
-        n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-        qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_WORDS.format(t='query')}) AS term FROM q) GROUP BY 1, 2),
-        s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2),
-        words AS (SELECT query_id, id AS assertion_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10),
-        every AS (SELECT query_id, assertion_id, score, rank AS sr, CAST(NULL AS VARCHAR) AS via, 0 AS o FROM words UNION ALL SELECT query_id, neighbour, round(score * 0.5::DOUBLE, 6), rank, w.assertion_id, 1 FROM words w JOIN near x ON x.assertion_id = w.assertion_id),
-        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, assertion_id ORDER BY score DESC, o, sr) AS k FROM every) WHERE k = 1),
-        around AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, assertion_id) AS rank FROM best) WHERE rank <= 10),
-        dv AS (SELECT id, {_LETTERS.format(t='text')} AS v FROM d), qv AS (SELECT query_id, {_LETTERS.format(t='query')} AS v FROM q), cos AS (SELECT query_id, id AS assertion_id, list_cosine_similarity(qv.v, dv.v) AS score FROM qv, dv),
-        close AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, assertion_id) AS rank FROM cos WHERE score > 0) WHERE rank <= 10),
-        lists AS (SELECT query_id, assertion_id, rank, CAST(NULL AS VARCHAR) AS via, 1 AS place FROM words JOIN routes USING (query_id) WHERE sparse UNION ALL SELECT query_id, assertion_id, rank, via, 2 FROM around JOIN routes USING (query_id) WHERE graph UNION ALL SELECT query_id, assertion_id, rank, NULL, 3 FROM close),
-        fused AS (SELECT query_id, assertion_id, sum(1.0::DOUBLE / (60 + rank)) AS total, first(via ORDER BY place) AS via FROM lists GROUP BY 1, 2),
-        seeds AS (SELECT query_id, assertion_id, round(total, 6) AS score, via, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, assertion_id) AS rank FROM fused) WHERE rank <= 10),
-        now AS (SELECT s.query_id, s.rank, s.score, s.via, s.assertion_id AS original_id, CASE WHEN c.assertion_id IS NOT NULL THEN c.assertion_id ELSE s.assertion_id END AS assertion_id FROM seeds s JOIN succ x ON x.assertion_id = s.assertion_id LEFT JOIN assertion_rows c ON c.assertion_id = x.current_assertion_id),
-        judged AS (SELECT n.*, a.status <> 'ACTIVE' AS inactive, NOT g.grounded AS ungrounded FROM now n JOIN assertion_rows a USING (assertion_id) JOIN ground g USING (assertion_id)),
-        passing AS (SELECT *, CASE WHEN NOT inactive AND NOT ungrounded THEN 1 ELSE 0 END AS ok, sum(CASE WHEN NOT inactive AND NOT ungrounded THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, assertion_id ORDER BY rank) AS nth FROM judged),
-        counted AS (SELECT *, coalesce(sum(CASE WHEN ok = 1 AND nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM passing)
-        SELECT query_id, CAST(rank AS INT) AS rank, original_id, assertion_id, score, via, CASE WHEN ok = 1 AND nth = 1 THEN 'kept' WHEN nth >= 1 THEN 'repeated' WHEN inactive THEN 'inactive' ELSE 'ungrounded' END AS outcome, CASE WHEN ok = 1 AND nth = 1 THEN CAST(before + 1 AS BIGINT) END AS kept_rank FROM counted WHERE before < 5""")
+    found["q_router_statements"] = _router(
+        """SELECT CAST(n_nationkey AS VARCHAR) AS query_id, CASE n_nationkey % 3 WHEN 0 THEN concat('why is nation/', n_nationkey, ' order sum related') WHEN 1 THEN concat('customer/', n_nationkey, ' order total') ELSE concat('order totals of ', lower(n_name)) END AS query FROM nation""",
+        "SELECT assertion_id AS id, concat(subject_identity, ' ', replace(predicate, '_', ' '), ' ', object_value_json) AS text FROM assertion_rows",
+        f"dv AS (SELECT id, {_LETTERS.format(t='text')} AS v FROM d), qv AS (SELECT query_id, {_LETTERS.format(t='query')} AS v FROM q), cos AS (SELECT query_id, id AS assertion_id, list_cosine_similarity(qv.v, dv.v) AS score FROM qv, dv)",
+    )
+    found["q_router"] = _router(
+        "SELECT CAST(item_id AS VARCHAR) AS query_id, coalesce(text, '') AS query FROM benchmark", "SELECT assertion_id AS id, text FROM assertion_docs",
+        "vocabulary AS (SELECT term AS w FROM tf UNION SELECT term FROM qt), " + _placed() + """, signed AS (SELECT w AS term, place, sum(sign) AS k FROM placed GROUP BY 1, 2),
+        dc AS (SELECT id, place, CAST(sum(tf * k) AS DOUBLE) AS c FROM tf JOIN signed USING (term) GROUP BY 1, 2), qc AS (SELECT query_id, place, CAST(sum(qtf * k) AS DOUBLE) AS c FROM qt JOIN signed USING (term) GROUP BY 1, 2),
+        dl2 AS (SELECT id, sqrt(sum(c * c)) AS norm FROM dc GROUP BY 1), ql2 AS (SELECT query_id, sqrt(sum(c * c)) AS norm FROM qc GROUP BY 1),
+        dots AS (SELECT query_id, id, sum(dc.c * qc.c) AS dot FROM dc JOIN qc USING (place) GROUP BY 1, 2), cos AS (SELECT query_id, id AS assertion_id, dot / dl2.norm / ql2.norm AS score FROM dots JOIN dl2 USING (id) JOIN ql2 USING (query_id) WHERE dot > 0)""",
+        before=_DOCS,
+    )
     found |= {"q_links_bucketed": found["q_links"], "q_refreshed_docs": found["q_docs"]}
     return found
