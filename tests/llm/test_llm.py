@@ -73,6 +73,18 @@ def test_quality_rules(spark, odd, data):
     assert np.mean([r["kept"] == bool(r["quality"]) for r in rows]) > 0.95
 
 
+def test_quality_rules_on_rows_that_the_fit_has_not_seen(spark, data):
+    """Each fifth labelled row is judged by a model of the other four; what it says is told as a probability that is right about as often."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    for left in (0, 3):
+        model = quality_rules.learn(docs, labels.where(f"doc_id % 5 <> {left}"))
+        rows = quality_rules.apply(docs, model).join(labels.where(f"doc_id % 5 = {left}"), "doc_id").collect()
+        assert len(rows) > 20 and len({r["quality"] for r in rows}) == 2
+        assert np.mean([r["kept"] == bool(r["quality"]) for r in rows]) > 0.9
+        passed = [r for r in rows if not r["base_failed"]]
+        assert np.mean([(r["probability"] - r["quality"]) ** 2 for r in passed]) < 0.1
+
+
 def test_toxicity(spark, odd, data):
     rows = queries.op1_toxicity(spark, data)
     assert rows.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
