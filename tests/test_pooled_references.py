@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from attestra.operators import links
+from attestra.operators import correct, links, retrieve
 from tests.world import assertion, evidence, tables
 
 GROUNDS = ("SUPPORTS", "DERIVED_FROM")
@@ -89,3 +89,17 @@ def test_what_candidates_add_is_not_shuffled(spark):
     assert links.links(t).count() == 90_000
     for found in (links.links(t), links.link_gaps(t), links.grounded(t)):
         assert shuffled(spark, found) < 10_000
+
+
+def test_texts_are_gathered_once_a_pool(spark):
+    """Documents and passages of 300 assertions that name a candidate of 300 references."""
+    names = [f"a{i}" for i in range(300)]
+    t = tables(spark, [assertion(n, [("e7", "SUPPORTS")], candidates=("c",)) for n in names], [evidence(f"e{i}", content=f"text {i % 250}") for i in range(300)], [("c", i, f"e{i}", "SUPPORTS" if i % 2 else "CONTRADICTS") for i in range(300)])
+    docs = retrieve.documents(t)
+    ranking = spark.createDataFrame([("q", i + 1, n) for i, n in enumerate(names)], "query_id string, rank int, assertion_id string")
+    said = correct.passages(t, docs, ranking)
+    told = [f"text {i % 250}" for i in (7, *(i for i in range(1, 300, 2) if i != 7))]
+    assert {r["text"] for r in docs.collect()} == {"\n".join(["s has 1", *dict.fromkeys(told)])}
+    assert {r["passage"] for r in said.collect()} == {"\n".join(told)}
+    assert shuffled(spark, docs) < 10_000
+    assert shuffled(spark, said) < 20_000
