@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from attestra.functions.verdict import with_verdict
+from attestra.operators import answers as A
 from attestra.operators import verify
 from attestra.schemas import ANSWERS
 from tests.test_pooled_references import shuffled
@@ -46,3 +47,11 @@ def test_checks(spark, world):
     speaks = [e for j, (_, _, e, r) in enumerate(refs) if r != "CONTRADICTS" and j % 10 != 9]
     assert got == sorted((f"t{i}", c, e) for i in range(N) for c in (0, 1) for e in speaks if c == 0 or e == "e4")
     assert shuffled(spark, found.where("evidence_id is not null")) < 10_000
+
+
+def test_score_of_citations_through_candidates(spark, world):
+    t, _ = world
+    cites = [("a0", [], 1.0), ("a0", ["e4"], 1.0), ("a0", ["nothing"], 1.0), ("a0", ["nothing", "e8"], 1.0), ("gone", [], 1.0)]
+    answers = spark.createDataFrame([("t", "", "x", "m", None, [("x", 0, 1, [c]) for c in cites])], ANSWERS)
+    row = A.score(t, answers).first()
+    assert (row["citations"], row["grounded_citations"], row["span_anchored_citations"], row["grounded_sentences"]) == (5, 3, 3, 3)
