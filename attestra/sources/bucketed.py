@@ -1,8 +1,9 @@
-"""Tables kept by the keys that they are joined on, so that links, gaps and grounding join without a shuffle.
+"""Tables kept by the keys that they are joined on, so that links join without a shuffle.
 
-References (own ones and those of candidates, already told apart) and evidence are kept in equally many
-buckets of evidence_id, assertions in buckets of assertion_id. A join of references and evidence then
-reads bucket by bucket; what is counted by assertion afterwards is shuffled without any text.
+The assertions' own references and evidence are kept in equally many buckets of evidence_id, assertions in
+buckets of assertion_id. What candidates add is kept once a pool (see operators/links.py), not once an
+assertion, which would grow with the square of the tables: the links of each pool, with the evidence they
+name, and the pool's assertions, both in buckets of the pool. Links are then told bucket by bucket.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
-from attestra.operators.links import references
-from attestra.tables import ProvenanceTables
+from attestra.operators.links import by_pool, members, named, own_references, pooled
+from attestra.plans.store import checkpointed
+from attestra.tables import KeptPools, ProvenanceTables
 
 
 def bucketed(t: ProvenanceTables, name: str, buckets: int = 64) -> ProvenanceTables:
-    """Save the tables as ``name``_assertions, ``name``_evidence and ``name``_refs in the session's warehouse, replacing tables of these names, and give the tables that read them."""
+    """Save the tables as ``name``_assertions, ``name``_evidence, ``name``_refs and, if candidates add references, ``name``_pool_links and ``name``_pool_members in the session's warehouse, replacing tables of these names, and give the tables that read them."""
     spark = t.assertions.sparkSession
 
     def kept(df: DataFrame, table: str, key: str) -> DataFrame:
@@ -25,10 +27,22 @@ def bucketed(t: ProvenanceTables, name: str, buckets: int = 64) -> ProvenanceTab
 
     evidence = kept(t.evidence, "evidence", "evidence_id")
     assertions = kept(t.assertions, "assertions", "assertion_id")
-    return replace(t, assertions=assertions, evidence=evidence, refs=kept(references(t), "refs", "evidence_id"), lookups=t.lookups | {"assertions", "evidence"})
+    held, pools = replace(t, evidence=evidence, assertions=assertions), None
+    refs = kept(own_references(held), "refs", "evidence_id")
+    if by_pool(held):
+        pool_refs = checkpointed(pooled(held))
+        links = kept(named(held, pool_refs), "pool_links", "pool")
+        pools = KeptPools(links, kept(members(held, None, pool_refs), "pool_members", "pool"), evidence)
+    else:
+        for table in ("pool_links", "pool_members"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{table}")
+    return replace(held, refs=refs, pools=pools, lookups=t.lookups | {"assertions", "evidence"})
 
 
 def reopened(t: ProvenanceTables, name: str) -> ProvenanceTables:
     """``t`` with the tables that ``bucketed`` has saved under ``name``."""
-    table = t.assertions.sparkSession.table
-    return replace(t, assertions=table(f"{name}_assertions"), evidence=table(f"{name}_evidence"), refs=table(f"{name}_refs"), lookups=t.lookups | {"assertions", "evidence"})
+    spark = t.assertions.sparkSession
+    evidence, pools = spark.table(f"{name}_evidence"), None
+    if spark.catalog.tableExists(f"{name}_pool_links"):
+        pools = KeptPools(spark.table(f"{name}_pool_links"), spark.table(f"{name}_pool_members"), evidence)
+    return replace(t, assertions=spark.table(f"{name}_assertions"), evidence=evidence, refs=spark.table(f"{name}_refs"), pools=pools, lookups=t.lookups | {"assertions", "evidence"})
