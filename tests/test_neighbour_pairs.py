@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from attestra.operators import walks
+from pyspark.sql import functions as F
+
+from attestra.operators import retrieve, walks
 from tests.test_pooled_references import shuffled
 from tests.world import assertion, evidence, tables
 
@@ -37,3 +39,19 @@ def test_pairs_are_not_shuffled(spark):
     t = tables(spark, [assertion(f"a{i}", subject=f"s{i % 10}") for i in range(300)], [evidence("e")])
     found = walks.neighbours(t)
     assert found.count() == 8700 and shuffled(spark, found) < 2000
+
+
+def test_graph_equals_the_plain_ranking(spark):
+    draw = random.Random(8)
+    seeds = [(f"q{q}", f"n{draw.randrange(30)}", draw.choice((1.0, 0.5, 0.25, 0.1)), r + 1) for q in range(12) for r in range(draw.randrange(1, 9))]
+    edges = {(f"n{draw.randrange(30)}", f"n{draw.randrange(30)}") for _ in range(150)}
+    for k in (1, 3, 6):
+        want = set()
+        for q in {s[0] for s in seeds}:
+            every = [(a, s, 1, r, None) for p, a, s, r in seeds if p == q] + [(b, round(s * 0.5, 6), 0, r, a) for p, a, s, r in seeds if p == q for x, b in edges if x == a]
+            best = {}
+            for a, s, o, r, via in sorted(every, key=lambda x: (-x[1], -x[2], x[3])):
+                best.setdefault(a, (s, via))
+            want |= {(q, a, s, i + 1, via) for i, (a, (s, via)) in enumerate(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:k])}
+        found = retrieve.graph(spark.createDataFrame(seeds, "query_id string, assertion_id string, score double, rank int").withColumn("via", F.lit(None).cast("string")), spark.createDataFrame(sorted(edges), "assertion_id string, neighbour string"), k)
+        assert {tuple(r) for r in found.collect()} == want
